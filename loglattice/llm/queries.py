@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import phrases, radix
+from . import nbsvm, packing, phrases, radix, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": phrases.op2,
+        "op4_simhash_near_dedup": simhash.op4,
         "op6_suffix_dedup": radix.op6,
+        "op9_quality_classifier": nbsvm.op9,
+        "op10_packing": packing.op10,
     }
 
 
