@@ -21,23 +21,32 @@ from pyspark.sql import functions as F
 
 from .common import DID, TKEY, identified, joinable, let, table
 
-WINDOW, GRAM = 13, 5
-_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOW, GRAM = 13, 6
+#: ASCII signs that part words, once A-Z are lower-cased or counted as letters.
+_SIGNS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+_SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _split(text: Column) -> Column:
+    """The words in their own case."""
+    bare = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(_SIGNS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPLIT))
+
+
 def words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(lower, _SPLIT), lambda w: w != "")
+    return _split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER))
 
 
 def _codes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda w: F.xxhash64(w))
+    """A hash for each word.  ``lower`` folds more than A-Z, so that equal words still agree; hits are confirmed later."""
+    return F.transform(tokens, lambda w: F.xxhash64(F.lower(w)))
 
 
 def _grams(codes: Column, size: int) -> Column:
     """Hashes of all grams of ``size`` words; needs at least that many."""
-    return F.transform(F.sequence(F.lit(0), F.size(codes) - size), lambda i: F.xxhash64(*(F.get(codes, i + k) for k in range(size))))
+    hashed = F.transform(codes, lambda c, i: F.xxhash64(c, *(F.get(codes, i + k) for k in range(1, size))))
+    return F.slice(hashed, 1, F.size(codes) - (size - 1))
 
 
 def _none() -> Column:
@@ -83,7 +92,7 @@ def _short_key(tokens: Column) -> Column:
     n = F.size(tokens)
     whole = F.lit(None).cast("bigint")
     for size in range(WINDOW - 1, 0, -1):
-        whole = F.when(n == size, F.xxhash64(F.lit(size), F.xxhash64(*(F.xxhash64(F.get(tokens, F.lit(k))) for k in range(size))))).otherwise(whole)
+        whole = F.when(n == size, F.xxhash64(F.lit(size), F.xxhash64(*(F.xxhash64(F.lower(F.get(tokens, F.lit(k)))) for k in range(size))))).otherwise(whole)
     return whole
 
 
@@ -102,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     lengths = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < window).distinct().collect())  # at most 12
     prints = joinable(items.select("item_id", F.inline("fps")).select("item_id", F.col("h"), F.col("p").alias("ip")))
     seeds = own.select(
-        DID, TKEY, F.inline(let(_codes(words(F.col("text"))), lambda c: F.concat(winnow(c, window), *(_every(c, n) for n in lengths))))
+        DID, TKEY, F.inline(let(_codes(_split(F.col("text"))), lambda c: F.concat(winnow(c, window), *(_every(c, n) for n in lengths))))
     ).join(prints, "h")
     shifts = seeds.select(DID, TKEY, "item_id", (F.col("p") - F.col("ip")).alias("shift")).distinct()
     texts = joinable(items.select(F.col("item_id").alias("_item"), F.col("words").alias("iw")))
@@ -134,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     none = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<bigint>").alias("items"))
     joined = own.join(found.hint("shuffle_hash"), [DID, TKEY], "left")
-    clean = none.withField("n_words", F.size(words(F.col("text"))).cast("long"))
+    clean = none.withField("n_words", F.size(_split(F.col("text"))).cast("long"))
     out = joined.select(DID, TKEY, "doc_id", F.when(F.col("seeds").isNull(), clean).otherwise(let(words(F.col("text")), extend)).alias("x"))
     return out.select(DID, TKEY, "doc_id", "x.*")
 

@@ -25,7 +25,8 @@ BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.4
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-_GRAMS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+#: Runs of letters and digits (all beyond ASCII counts as letters), or runs of other signs.
+_GRAMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
 
 
 def _text() -> Column:
@@ -33,39 +34,45 @@ def _text() -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
 def repeated_words(tokens: Column, size: int = REPEAT_WINDOW) -> Column:
-    """Words inside windows of ``size`` words whose word sequence occurs at least twice in ``tokens``."""
+    """Words inside windows of ``size`` words whose word sequence occurs at least twice in ``tokens``.
 
-    def count(hashes: Column) -> Column:
-        order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    Windows are hashed; if two hashes agree, the sorted hashes tell which occur twice.  Of a few such hashes every
+    window is looked up; of many, windows are sorted with their places.
+    """
+    zero = F.lit(0).cast("long")
+
+    def covered(starts: Column) -> Column:
+        """Words under windows that begin at the sorted ``starts``: each covers ``size``, or as far as the next start."""
+        gap = lambda p, i: F.least(F.coalesce(F.get(starts, i + 1) - p, F.lit(size)), F.lit(size))
+        return F.aggregate(F.transform(starts, gap), zero, lambda a, v: a + v)
+
+    def few(hashes: Column, twice: Column) -> Column:
+        found = F.transform(hashes, lambda h, i: F.when(F.array_contains(twice, h), i))
+        return let(F.filter(found, lambda i: i.isNotNull()), covered)
 
+    def many(hashes: Column) -> Column:
         def starts(o: Column) -> Column:
-            again = F.filter(
-                F.transform(
-                    o,
-                    lambda x, i: F.when(
-                        ((i > 0) & (x["h"] == F.get(o, i - 1)["h"])) | (x["h"] == F.get(o, i + 1)["h"]), x["i"]
-                    ),
-                ),
-                lambda i: i.isNotNull(),
-            )
-            covered = lambda s: F.aggregate(  # noqa: E731  every start covers size words, or as far as the next start
-                F.transform(s, lambda p, i: F.least(F.coalesce(F.get(s, i + 1) - p, F.lit(size)), F.lit(size))),
-                F.lit(0).cast("long"),
-                lambda a, v: a + v,
-            )
-            return let(F.sort_array(again), covered)
-
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(order, starts))
-
-    codes = lambda t: F.transform(t, lambda w: F.xxhash64(w))
-    windows = lambda c: F.transform(
-        F.sequence(F.lit(0), F.size(c) - size), lambda i: F.xxhash64(*(F.get(c, i + k) for k in range(size)))
+            again = lambda x, i: ((i > 0) & (x["h"] == F.get(o, i - 1)["h"])) | (x["h"] == F.get(o, i + 1)["h"])
+            places = F.filter(F.transform(o, lambda x, i: F.when(again(x, i), x["i"])), lambda i: i.isNotNull())
+            return let(F.sort_array(places), covered)
+
+        return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), starts)
+
+    def count(hashes: Column) -> Column:
+        twice = lambda o: F.array_distinct(F.filter(o, lambda x, i: x == F.get(o, i + 1)))
+        choose = lambda t: F.when(F.size(t) <= 24, few(hashes, t)).otherwise(many(hashes))
+        again = let(F.sort_array(hashes), lambda o: let(twice(o), choose))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), zero).otherwise(again)
+
+    windows = lambda w: F.slice(
+        F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, size)))), 1, F.size(w) - (size - 1)
     )
-    return F.when(F.size(tokens) < size, F.lit(0).cast("long")).otherwise(let(codes(tokens), lambda c: let(windows(c), count)))
+    return F.when(F.size(tokens) < size, zero).otherwise(let(windows(tokens), count))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -88,24 +95,26 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def _buckets(text: Column, buckets: int) -> Column:
-    """Hashed 1- and 2-grams of a text, as bucket numbers."""
-    tokens = F.regexp_extract_all(text, F.lit(_GRAMS), F.lit(0))
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_GRAMS), F.lit(0))
+
+
+def _bucket(hashed: Column, buckets: int) -> Column:
+    return hashed.bitwiseAND(F.lit(buckets - 1)).cast("int")  # buckets is a power of two
 
-    def both(h: Column) -> Column:
-        last = F.lit(buckets - 1)  # buckets is a power of two
-        two = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)).bitwiseAND(last))
-        return F.concat(F.transform(h, lambda x: x.bitwiseAND(last)), F.slice(two, 1, F.size(h) - 1))
 
-    none = F.array().cast("array<bigint>")
-    return let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) == 0, none).otherwise(both(h)))
+def _buckets(tokens: Column, buckets: int) -> Column:
+    """Bucket numbers of the 1- and 2-grams of an array of tokens (the last token's pair is with nothing)."""
+    one = F.transform(tokens, lambda w: _bucket(F.xxhash64(w), buckets))
+    two = F.transform(tokens, lambda w, i: _bucket(F.xxhash64(w, F.get(tokens, i + 1)), buckets))
+    return F.concat(one, two)
 
 
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """log p_target(bucket) / p_raw(bucket) for every bucket; the counts are summed on the cluster."""
     trusted = joinable(labels.filter("quality = 1 and doc_id is not null").select("doc_id", F.lit(1).alias("_trusted")).distinct())
     rows = docs.select("doc_id", _text().alias("text")).join(trusted, "doc_id", "left")
-    grams = rows.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(_buckets(F.col("text"), buckets)).alias("b"))
+    grams = rows.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(let(_tokens(F.col("text")), lambda t: _buckets(t, buckets))).alias("b"))
     got = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # at most BUCKETS rows
     raw, target = [smoothing] * buckets, [smoothing] * buckets
     for r in got:
@@ -120,8 +129,10 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing
 def llr(text: Column, ratio: list[float]) -> Column:
     """Mean log ratio per n-gram; 0 for a text without n-grams."""
     model = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folded into one constant
-    total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(model, x.cast("int"))) / F.greatest(F.size(b), F.lit(1))
-    return let(_buckets(text, len(ratio)), total)
+    at = lambda h: F.get(model, _bucket(h, len(ratio)))
+    pair = lambda t: F.transform(t, lambda w, i: at(F.xxhash64(w)) + at(F.xxhash64(w, F.get(t, i + 1))))
+    total = lambda t: F.aggregate(pair(t), F.lit(0.0), lambda a, x: a + x) / F.greatest(2 * F.size(t), F.lit(1))
+    return let(_tokens(text), total)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nbsvm, packing, phrases, radix, simhash
+import corpus_pipeline
+
+from . import decontaminate, html_text, linetree, nbsvm, packing, phrases, quality_rules, radix, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.op1,
         "op2_substring_dedup": phrases.op2,
+        "op3_html_extraction": html_text.op3,
         "op4_simhash_near_dedup": simhash.op4,
+        "op5_secret_scan": secrets.op5,
         "op6_suffix_dedup": radix.op6,
+        "op7_line_dedup": linetree.op7,
+        "op8_quality_rules": quality_rules.op8,
         "op9_quality_classifier": nbsvm.op9,
         "op10_packing": packing.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
