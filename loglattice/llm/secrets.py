@@ -3,7 +3,7 @@
 A document is a chain of tokens.  Each token is tagged begin, inside or outside of a secret from: its shape class, the
 classes of the two neighbours on either side, and a feature of the file (how many of its tokens look like code).  The
 weights are fitted by gradient steps on exact forward-backward likelihood; the labels are the base patterns' matches in a
-bounded sample (SAMPLE rows with the smallest hash of doc_id), so the model carries their contexts over to other values.
+bounded sample (SAMPLE rows with the smallest hash of doc_id; LEAST: shortest code-like token that a tagged span may begin or end with), so the model carries their contexts over to other values.
 Viterbi decodes whole chains: a token whose lead for "outside" exceeds what all transitions could win back is outside on
 every best path, so the chain may be cut there without changing the result, and most text is decided at once.
 
@@ -24,32 +24,37 @@ from pyspark.sql import functions as F
 
 from .common import DID, TKEY, identified, table
 
-SAMPLE, STEPS, MARGIN = 3000, 150, 1.0
+SAMPLE, STEPS, LEAST = 3000, 60, 8
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
-ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=\-]+|[^\sA-Za-z0-9+/_.=\-]+")
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")  # runs are maximal: bounds drop short ones
+#: Tokens: runs without blanks, quotes, brackets and separators; quotes, colons and equals signs by themselves.
+_TOKEN = re.compile(r"[^\s\"':,;<>(){}\[\]|=]+|[\"':=]")
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HINT = re.compile(r"pass|pwd|secret|token|key|cred|auth|bearer", re.I)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns' matches, by start, then kind."""
-    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= 16]
+    low, out = text.lower(), []
+    if any(w in low for w in _WORDS):
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    if "AKIA" in text:
+        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
+    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def shape(token: str) -> tuple:
     """The token's class."""
     n = len(token)
-    if not token[0].isascii() or not (token[0].isalnum() or token[0] in "+/_.=-"):
-        return ("sign", "q" if token in "\"'" else "=" if token in ":=" else "o")
+    if n == 1 and token in "\"':=":
+        return ("sign", token in ":=")
     if _HINT.search(token):
-        return ("hint", "=" in token)
-    if token in ("=", ":=", "=="):
-        return ("sign", "=")
-    bare = token.strip("._-=+/")
+        return ("hint",)
+    bare = "".join(c for c in token if c.isalnum())
+    if not bare:
+        return ("sign", "other")
     digits = sum(c.isdigit() for c in bare)
     if not digits:
         return ("word", min(len(bare) // 8, 3), bare[1:] != bare[1:].lower() and not bare.isupper())
@@ -85,32 +90,42 @@ class Model:
         self.file, self.trans = np.zeros((4, 3)), np.zeros((3, 3))
         self.trans[0, 2] = -8.0  # inside can't follow outside
 
-    def scores(self, ids: np.ndarray, file: int) -> np.ndarray:
-        padded = np.concatenate(([0, 0], ids, [0, 0]))
-        out = np.tile(self.file[file], (len(ids), 1))
+    def decode(self, chains: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+        """Tags (0 outside, 1 begin, 2 inside) of the best path of every chain (class ids, file feature), in lockstep."""
+        edge = np.zeros(2, np.int64)
+        padded = np.concatenate([x for ids, _ in chains for x in (ids, edge)] + [edge])
+        sizes = np.array([len(ids) for ids, _ in chains])
+        ends = np.cumsum(sizes + 2)
+        padded = np.concatenate((edge, padded))
+        inner = np.concatenate([np.arange(e - 2 - n, e - 2) for e, n in zip(ends, sizes, strict=True)]) + 2
+        e = np.repeat(self.file[[f for _, f in chains]], sizes, axis=0)
         for p, off in enumerate(self.PLACES):
-            out += self.emit[p][padded[2 + off : 2 + off + len(ids)]]
-        return out
-
-    def decode(self, ids: np.ndarray, file: int) -> np.ndarray:
-        """Tags (0 outside, 1 begin, 2 inside) of the best path."""
-        e = self.scores(ids, file)
-        tags = np.zeros(len(ids), np.int8)
-        sure = e[:, 0] - e[:, 1:].max(axis=1) > 2 * (self.trans.max() - self.trans.min()) + 1e-6
-        open_ = np.flatnonzero(~sure)
-        if not len(open_):
-            return tags
-        for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
-            best, back = e[run[0]] + self.trans[0], []
-            for i in run[1:]:
-                step = best[:, None] + self.trans
-                back.append(step.argmax(axis=0))
-                best = step.max(axis=0) + e[i]
-            t = int((best + self.trans[:, 0]).argmax())  # what follows is outside
-            for i, b in zip(run[::-1], [*back[::-1], None], strict=True):
-                tags[i] = t
-                t = int(b[t]) if b is not None else 0
-        return tags
+            e += self.emit[p][padded[inner + off]]
+        tags = np.zeros(len(e), np.int64)
+        lead = max(self.trans[p, y] + self.trans[y, q] - self.trans[p, 0] - self.trans[0, q] for p in range(3) for y in (1, 2) for q in range(3))
+        doubt = np.flatnonzero(e[:, 0] - e[:, 1:].max(axis=1) <= lead + 1e-6)
+        if len(doubt):
+            chain = np.repeat(np.arange(len(sizes)), sizes)
+            cut = np.flatnonzero((np.diff(doubt) > 1) | (np.diff(chain[doubt]) > 0)) + 1
+            start = doubt[np.concatenate(([0], cut))]
+            size = np.diff(np.concatenate(([0], cut, [len(doubt)])))
+            order = np.argsort(-size, kind="stable")
+            start, size = start[order], size[order]
+            back = np.zeros((len(e), 3), np.int8)
+            best = e[start] + self.trans[0]
+            alive = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")  # runs longer than k
+            for k in range(1, size[0]):
+                n = alive[k]
+                step = best[:n, :, None] + self.trans
+                back[start[:n] + k] = step.argmax(axis=1)
+                best[:n] = step.max(axis=1) + e[start[:n] + k]
+            t = (best + self.trans[:, 0]).argmax(axis=1)  # what follows is outside
+            for k in range(size[0] - 1, -1, -1):
+                n = alive[k]
+                at = start[:n] + k
+                tags[at] = t[:n]
+                t[:n] = back[at, t[:n]]
+        return np.split(tags, np.cumsum(sizes)[:-1])
 
 
 def fit(chains: list[tuple[list[tuple], list[int], int]], steps: int = STEPS) -> Model:
@@ -165,7 +180,6 @@ def fit(chains: list[tuple[list[tuple], list[int], int]], steps: int = STEPS) ->
             w += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         model.trans[0, 2] = -8.0
     model.emit[:, 1] = 0.0
-    model.file[:, 0] += MARGIN
     return model
 
 
@@ -217,7 +231,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = sorted((r[0], bytes(r[1])) for r in picked.toLocalIterator())
     chains = [c for _, x in rows for c in pickle.loads(x)]  # noqa: S301  written by the tasks above
     quiet = [c for c in chains if not any(c[1])]
-    return fit([c for c in chains if any(c[1])][:6000] + quiet[:6000])
+    return fit([c for c in chains if any(c[1])][:2000] + quiet[:2000])
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -225,27 +239,40 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int64()), ("e", pa.int64())]))
 
+    def tagged(text: str, classes: list[tuple], tags: np.ndarray, base: list) -> list[tuple[int, int, str]]:
+        """Runs of tagged tokens from their first to their last code-like token, apart from base spans."""
+        at = [(x.start(), x.end()) for x in _TOKEN.finditer(text)]
+        runs: list[list[int]] = []
+        for i in np.flatnonzero(tags):
+            if tags[i] == 2 and runs and runs[-1][-1] == i - 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        out = []
+        for r in runs:
+            code = [i for i in r if classes[i][0] == "code" and at[i][1] - at[i][0] >= LEAST]
+            if code and all(at[code[-1]][1] <= x or at[code[0]][0] >= y for x, y, _ in base):
+                out.append((at[code[0]][0], at[code[-1]][1], "crf"))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = sent.value, {}
         for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                spans = base_spans(text)
-                classes = tokens(text, known)
-                if any(c[0] in ("code", "hint", "sign") for c in classes) or classes:
-                    ids = np.array([m.index.get(c, 1) for c in classes], np.int64)
-                    tags = m.decode(ids, _file(classes)) if len(ids) else ids
+            texts, at = b.column("text").to_pylist(), 0
+            out: list[list] = []
+            while at < len(texts):
+                held, chains, size = [], [], 0
+                while at < len(texts) and size < 400_000:
+                    classes = tokens(texts[at], known)
+                    held.append((texts[at], classes))
+                    chains.append((np.array([m.index.get(c, 1) for c in classes], np.int64), _file(classes)))
+                    size += len(classes) + 1
+                    at += 1
+                for (text, classes), tags in zip(held, m.decode(chains), strict=True):
+                    spans = base_spans(text)
                     if tags.any():
-                        at = [(x.start(), x.end()) for x in _TOKEN.finditer(text)]
-                        runs: list[list[int]] = []
-                        for i in np.flatnonzero(tags):
-                            if tags[i] == 2 and runs and runs[-1][2] == i - 1:
-                                runs[-1][1:] = [at[i][1], i]
-                            else:
-                                runs.append([at[i][0], at[i][1], i])
-                        spans = spans + [(s, e, "crf") for s, e, _ in runs if all(e <= x or s >= y for x, y, _ in spans)]
-                        spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-                out.append([{"kind": k, "s": s, "e": e} for s, e, k in spans])
+                        spans = sorted(spans + tagged(text, classes, tags, spans), key=lambda s: (s[0], KINDS.index(s[2])))
+                    out.append([{"kind": k, "s": s, "e": e} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,s:long,e:long>>")
