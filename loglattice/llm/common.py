@@ -66,3 +66,33 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def joinable(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted size allows it, else left to a shuffled join."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """As ``identified``, but ``_tk`` is 0 unless several rows have the doc_id: a constant costs nothing in a shuffle."""
+    own = identified(docs)
+    again = own.groupBy(DID).agg(F.count("*").alias("_n")).filter("_n > 1").select(DID, F.lit(True).alias("_again"))
+    marked = own.join(joinable(again), DID, "left")
+    return marked.select(DID, F.when(F.col("_again"), F.col(TKEY)).otherwise(F.lit(0).cast("long")).alias(TKEY), "doc_id", "text")
+
+
+def pressed(docs: DataFrame) -> DataFrame:
+    """``text`` as compressed bytes ``z``, for rows that are about to be shuffled whole."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            z = [press(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(DID), b.column(TKEY), b.column("doc_id"), pa.array(z, pa.binary())], [DID, TKEY, "doc_id", "z"])
+
+    return docs.select(DID, TKEY, "doc_id", "text").mapInArrow(run, f"{DID} long, {TKEY} long, doc_id long, z binary")
+
+
+def unpressed(column) -> list[bytes]:
+    """The texts of an Arrow column of compressed bytes."""
+    import zstandard
+
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import DID, TKEY, identified, stash, table
+from .common import DID, TKEY, placed, pressed, stash, table, unpressed
 
 #: Windows of this many bytes; grams of this many bytes are hashed for the anchors; digits of the last passes.
-SIZE, GRAM, PARTS = 100, 24, 4
+SIZE, GRAM, PARTS = 100, 40, 4
 
 
 def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
@@ -56,13 +56,13 @@ def merge(ranges: list[dict] | None) -> list[tuple[int, int]]:
 
 def dedup_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
     """One row per document: doc_id, removed array<struct<s,e>> (byte runs), kept binary."""
-    own = identified(docs)
+    own = placed(docs)
     ranges = removed_spans(own, size, gram, parts).groupBy(DID, TKEY).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             runs, kept = [], []
-            for text, r in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("ranges").to_pylist(), strict=True):
+            for text, r in zip(unpressed(b.column("z")), b.column("ranges").to_pylist(), strict=True):
                 m = merge(r)
                 runs.append([{"s": x, "e": y} for x, y in m])
                 edges = [0, *(v for pair in m for v in pair), len(text)]
@@ -72,7 +72,7 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int
                 ["doc_id", "removed", "kept"],
             )
 
-    return own.join(ranges.hint("shuffle_hash"), [DID, TKEY], "left").select("doc_id", "text", "ranges").mapInArrow(
+    return pressed(own).join(ranges.hint("shuffle_hash"), [DID, TKEY], "left").select("doc_id", "z", "ranges").mapInArrow(
         cut, "doc_id long, removed array<struct<s:long,e:long>>, kept binary"
     )
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY
+from .common import DID, TKEY, pressed, unpressed
 
 DUP, CHECK = 1, 2
 SPAN_SCHEMA = f"kind int, anchor long, span long, {DID} long, {TKEY} long, s long, n long, off long, f_did long, f_s long"
@@ -129,7 +129,8 @@ def scan_spans(docs: DataFrame, encode: Callable[[bytes], np.ndarray], size: int
             keep = new | later | (tk != tk[first])
             spread = mix(did.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)).astype(np.int64)
             cols = [np.where(later, DUP, 0), np.where(later, spread, anchor), span, did, tk, s, n, off, np.where(later, did[first], 0), np.where(later, s[first], 0)]
-            return _columns([c[keep] for c in cols])
+            back = np.argsort(order[keep], kind="stable")  # rows of one document side by side: they compress well
+            return _columns([c[keep][back] for c in cols])
 
         for batch in batches:
             dids, tks = batch.column(DID).to_numpy(), batch.column(TKEY).to_numpy()
@@ -203,40 +204,45 @@ def check_lists(resolved: DataFrame) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, lists: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, parts: int) -> DataFrame:
-    """The single windows of the CHECK spans, as rows of SPAN_SCHEMA plus ``parts`` digits.
+    """The single windows of the CHECK spans: anchor, digits, _did, _tk, s.
 
-    Digit ``p`` of a window is the hash of its ``p``-th stretch of ``size / parts`` symbols.  ``anchor`` becomes
-    the hash of the span's anchor and the window's distance from it: equal windows agree in both.
+    A window's digits are hashes of its ``parts`` stretches of ``size / parts`` symbols, 64 / ``parts`` bits each, the first
+    in the highest bits of ``digits``.  ``anchor`` becomes the hash of the span's anchor and the window's distance from
+    it: equal windows agree in both.
     """
-    step = size // parts
-    digits = [f"d{p}" for p in range(parts)]
+    step, bits = size // parts, 64 // parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", "digits", DID, TKEY, "s"])
+
         for batch in batches:
             lists_ = batch.column("spans").to_pylist()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
             dids, tks = batch.column(DID).to_numpy(), batch.column(TKEY).to_numpy()
             out: list[list[np.ndarray]] = []
             held = 0
-            for i, text in enumerate(texts):
+            for i, text in enumerate(unpressed(batch.column("z"))):
                 h = Hashes(encode(text))
                 s, n, off, anchor = (np.array([x[k] for x in lists_[i]], np.int64) for k in ("s", "n", "off", "anchor"))
                 which = np.repeat(np.arange(len(s)), n)
                 nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 at = s[which] + nth
                 key = mix(anchor[which].view(np.uint64) ^ mix((off[which] - nth).astype(np.uint64)))
-                d = [h.slices(at + p * step, at + (size if p == parts - 1 else (p + 1) * step)).view(np.int64) for p in range(parts)]
+                d = np.zeros(len(at), np.uint64)
+                for p in range(parts):
+                    part = h.slices(at + p * step, at + (size if p == parts - 1 else (p + 1) * step))
+                    d = part if parts == 1 else (d << np.uint64(bits)) | (part >> np.uint64(64 - bits))
                 one = np.ones(len(at), np.int64)
-                out.append([key.view(np.int64), *d, one * dids[i], one * tks[i], at])
+                out.append([key.view(np.int64), d.view(np.int64), one * dids[i], one * tks[i], at])
                 held += len(at)
                 if held >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", *digits, DID, TKEY, "s"])
+                    yield made(out)
                     out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", *digits, DID, TKEY, "s"])
+                yield made(out)
 
-    joined = docs.select(DID, TKEY, "text").join(lists.hint("shuffle_hash"), [DID, TKEY])
-    return joined.mapInArrow(run, "anchor long, " + ", ".join(f"{d} long" for d in digits) + f", {DID} long, {TKEY} long, s long")
+    joined = pressed(docs).join(lists.hint("shuffle_hash"), [DID, TKEY])
+    return joined.select(DID, TKEY, "z", "spans").mapInArrow(run, f"anchor long, digits long, {DID} long, {TKEY} long, s long")
 
 
 WORD_CODES: dict[bytes, int] = {}
@@ -273,24 +279,24 @@ def equal_windows(rows: DataFrame, parts: int) -> DataFrame:
     and the passes over the sorted rows refine the buckets digit by digit: a row that is alone in its bucket
     after a pass takes no part in the next.  State: one row.
     """
-    digits = [f"d{p}" for p in range(parts)]
+    bits = 64 // parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in ["anchor", *digits, DID, TKEY, "s"]]
+            cols = [batch.column(c).to_numpy() for c in ["anchor", "digits", DID, TKEY, "s"]]
             if carry is not None:
                 cols = [np.concatenate(([v], c)) for v, c in zip(carry, cols, strict=True)]
             rows = np.arange(len(cols[0]))
             change = np.concatenate(([True], cols[0][1:] != cols[0][:-1]))
-            for digit in cols[1 : 1 + parts]:
-                d = digit[rows]
+            for p in range(parts):
+                d = cols[1][rows].view(np.uint64) >> np.uint64(64 - bits * (p + 1))
                 change = change | np.concatenate(([True], d[1:] != d[:-1]))
                 alone = change & np.append(change[1:], False)  # the last row may go on in the next batch
                 rows, change = rows[~alone], change[~alone]
-            did, tk, s = (c[rows] for c in cols[1 + parts :])
+            did, tk, s = (c[rows] for c in cols[2:])
             first = np.maximum.accumulate(np.where(change, np.arange(len(rows)), 0))
             later = (did != did[first]) | (s != s[first])
             if later.any():
@@ -299,5 +305,5 @@ def equal_windows(rows: DataFrame, parts: int) -> DataFrame:
             if len(rows):
                 carry = [c[rows[first[-1]]] for c in cols]
 
-    order = ["anchor", *digits, DID, "s"]
+    order = ["anchor", "digits", DID, "s"]
     return rows.repartition("anchor").sortWithinPartitions(*order).mapInArrow(run, f"{DID} long, {TKEY} long, s long, f_did long, f_s long")
