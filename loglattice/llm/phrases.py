@@ -1,8 +1,8 @@
 """Removal of passages of words that occur earlier, located by sharded Aho-Corasick automata.
 
 1. Confirm: spans of windows that recur (see ``repeats``), and single windows of spans that share only an anchor.
-2. Compile: documents are dealt to shards by a hash; a shard gets the recurring passages known to occur in it, once
-   each, and compiles them (as sequences of word numbers) into one automaton.  Shards grow in number, not size.
+2. Compile: documents are dealt to shards by a hash; a shard gets the recurring passages known to occur in it (joined
+   where they go on in the same earlier document) and compiles them (as sequences of word numbers) into one automaton.  Shards grow in number, not size.
 3. Stream: every document of the shard runs through its automaton; each occurrence that starts later than the
    passage's first place is removed.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import DID, TKEY, identified, stash, table
+from .common import DID, TKEY, placed, pressed, stash, table, unpressed
 
 #: Windows of this many words; grams of this many words are hashed for the anchors; characters of text in a shard.
 SIZE, GRAM, SHARD_CHARS = 20, 7, 8_000_000
@@ -38,8 +38,8 @@ def confirmed(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     single = repeats.equal_windows(windows, 1)
     return (
         resolved.filter(F.col("kind") == repeats.DUP)
-        .select("span", DID, TKEY, "s", (F.col("n") - 1 + size).alias("words"), "f_did", "f_s")
-        .unionByName(single.select(F.xxhash64("f_did", "f_s").alias("span"), DID, TKEY, "s", F.lit(size).cast("long").alias("words"), "f_did", "f_s"))
+        .select(DID, TKEY, "s", (F.col("n") - 1 + size).alias("words"), "f_did", "f_s")
+        .unionByName(single.select(DID, TKEY, "s", F.lit(size).cast("long").alias("words"), "f_did", "f_s"))
     )
 
 
@@ -47,22 +47,35 @@ def _shard(shards: int):
     return F.pmod(F.xxhash64(DID, TKEY), F.lit(shards))
 
 
+def _joined(found: list[dict]) -> list[list[int]]:
+    """Passages of a document, those that go on in the same earlier document joined: first word, end, earlier place."""
+    out: list[list[int]] = []
+    for f_did, shift, s, e in sorted((p["f_did"], p["s"] - p["f_s"], p["s"], p["s"] + p["words"]) for p in found):
+        last = out[-1] if out else None
+        if last and last[2] == f_did and last[0] - last[3] == shift and s <= last[1]:
+            last[1] = max(last[1], e)
+        else:
+            out.append([s, e, f_did, s - shift])
+    return out
+
+
 def _locate(key: tuple, docs: pa.Table, passages: pa.Table) -> pa.Table:
     dids, tks = docs.column(DID).to_pylist(), docs.column(TKEY).to_pylist()
-    texts = docs.column("text").cast(pa.binary()).to_pylist()
+    texts = unpressed(docs.column("z"))
     where = {k: i for i, k in enumerate(zip(dids, tks, strict=True))}
     numbers: dict[bytes, int] = {}
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     split: dict[int, list[bytes]] = {}
-    columns = [passages.column(c).to_pylist() for c in (DID, TKEY, "s", "words", "f_did", "f_s")]
-    for d, t, s, n, f_did, f_s in zip(*columns, strict=True):
+    columns = [passages.column(c).to_pylist() for c in (DID, TKEY, "found")]
+    for d, t, found in zip(*columns, strict=True):
         i = where[d, t]
         if i not in split:
             split[i] = texts[i].split()
-        pattern = tuple([numbers.setdefault(w, len(numbers) + 1) for w in split[i][s : s + n]])
-        old = machine.get(pattern, None)
-        if old is None or (f_did, f_s) < old[:2]:
-            machine.add_word(pattern, (f_did, f_s, n))
+        for s, e, f_did, f_s in _joined(found):
+            pattern = tuple([numbers.setdefault(w, len(numbers) + 1) for w in split[i][s:e]])
+            old = machine.get(pattern, None)
+            if old is None or (f_did, f_s) < old[:2]:
+                machine.add_word(pattern, (f_did, f_s, e - s))
     if len(machine):
         machine.make_automaton()
     total, gone_n, kept = [], [], []
@@ -88,18 +101,18 @@ def _locate(key: tuple, docs: pa.Table, passages: pa.Table) -> pa.Table:
 
 def dedup_phrases(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (kept words joined by a blank)."""
-    own = identified(docs)
+    own = placed(docs)
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     passages = (
         confirmed(own, size, gram)
+        .groupBy(DID, TKEY)
+        .agg(F.collect_list(F.struct("s", "words", "f_did", "f_s")).alias("found"))
         .withColumn("shard", _shard(shards))
-        .groupBy("shard", "span", "words")
-        .agg(F.min(F.struct("f_did", "f_s")).alias("f"), F.min(F.struct(DID, TKEY, "s")).alias("o"))
-        .select("shard", f"o.{DID}", f"o.{TKEY}", "o.s", "words", "f.f_did", "f.f_s")
     )
     return (
-        own.withColumn("shard", _shard(shards))
+        pressed(own)
+        .withColumn("shard", _shard(shards))
         .groupBy("shard")
         .cogroup(passages.groupBy("shard"))
         .applyInArrow(_locate, "doc_id long, n_words long, n_removed long, kept string")
