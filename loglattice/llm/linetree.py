@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, let, stash, table
+from .common import DID, TKEY, let, small, stash, table
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 5, 0.6
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -29,25 +29,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn(DID, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(TKEY, F.xxhash64(body))
 
 
-def _masked(line: Column) -> Column:
-    """Tokens joined by one blank, those with a digit as ``<*>``."""
-    plain = F.trim(F.regexp_replace(line, _BLANKS, " "))
-    return F.when(F.translate(plain, "0123456789", "") == plain, plain).otherwise(F.regexp_replace(plain, r"(?<!\S)[^\s\d]*+\d\S*", WILD))
+def _masked(plain: Column) -> Column:
+    """``plain`` with every token that has a digit as ``<*>``."""
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)[^\s\d]*+\d\S*", WILD)).otherwise(plain)
+
+
+def _parted(line: Column) -> Column:
+    """The tokens joined by one blank."""
+    return F.when(line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(line, _BLANKS, " "))).otherwise(line)
 
 
 def lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """_did, _tk, place, leaf (hash of the path) and masked text of every line with a token."""
+    """_did, _tk, place, leaf (hash of the path) and plain text of every line with a token."""
     rows = _keyed(docs).select(DID, TKEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    rows = rows.select(DID, TKEY, "place", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
-    n = F.length("masked") - F.length(F.translate("masked", " ", "")) + 1
-    return rows.withColumn("leaf", F.xxhash64(n, F.substring_index("masked", " ", depth)))
+    rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(DID, TKEY, "place", _parted(F.col("line")).alias("plain"))
+    n = F.octet_length("plain") - F.octet_length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))) + 1
+    return rows.withColumn("leaf", F.xxhash64(n, _masked(F.substring_index("plain", " ", depth))))
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """Lines to drop: _did, _tk, place."""
     every = lines(docs, depth)
-    leaves = every.groupBy("leaf").agg(F.count_distinct(DID).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
-    inside = stash(every.join(leaves.hint("shuffle_hash"), "leaf", "left_semi"))
+    leaves = stash(every.groupBy("leaf").agg(F.count_distinct(DID).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"))
+    near = F.broadcast(leaves) if small(leaves) else leaves.hint("shuffle_hash")
+    inside = every.join(near, "leaf")
+    inside = stash(inside.select("leaf", DID, TKEY, "place", _masked(F.col("plain")).alias("masked")))
     kinds = inside.groupBy("leaf", "masked").agg(F.count("*").alias("n"))
     tokens = kinds.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("p", "token"))
     common = tokens.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
@@ -85,7 +91,7 @@ def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
         return F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")
 
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), cut))
-    n = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     joined = _keyed(own).join(gone.hint("shuffle_hash"), [DID, TKEY], "left")
     out = joined.withColumns({"_n": n, "_d": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_t": text})
     columns = [F.col("_t").alias("text") if c == "text" else F.col(c) for c in docs.columns]
