@@ -78,19 +78,18 @@ def repeated_words(tokens: Column, size: int = REPEAT_WINDOW) -> Column:
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; needs doc_id and text."""
     t = _text()
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumns(
         {
             "_counts": let(
                 words(t),
-                lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")),
+                lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeated_words(w).alias("r")),
             ),
-            "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "n_symbols": (F.octet_length(t) - F.octet_length(F.regexp_replace(t, f"[{SYMBOLS}]+", ""))).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         }
     )
-    out = out.withColumns({"n_words": F.col("_counts.n"), "n_repeat_words": F.col("_counts.r")}).drop("_counts")
+    out = out.withColumns({"n_words": F.col("_counts.n"), "word_chars": F.col("_counts.c"), "n_repeat_words": F.col("_counts.r")}).drop("_counts")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
