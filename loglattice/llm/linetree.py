@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, let, small, stash, table
+from .common import DID, TKEY, joinable, let, stash, table
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 5, 0.6
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -51,8 +51,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, sim
     """Lines to drop: _did, _tk, place."""
     every = lines(docs, depth)
     leaves = stash(every.groupBy("leaf").agg(F.count_distinct(DID).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"))
-    near = F.broadcast(leaves) if small(leaves) else leaves.hint("shuffle_hash")
-    inside = every.join(near, "leaf")
+    inside = every.join(joinable(leaves), "leaf")
     inside = stash(inside.select("leaf", DID, TKEY, "place", _masked(F.col("plain")).alias("masked")))
     kinds = inside.groupBy("leaf", "masked").agg(F.count("*").alias("n"))
     tokens = kinds.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("p", "token"))
@@ -78,7 +77,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, sim
         .agg(F.count_distinct(DID).alias("docs"), F.min(F.struct(DID, TKEY, "place")).alias("first"))
         .filter(F.col("docs") >= min_docs)
     )
-    return rows.join(many, "template").filter(F.struct(DID, TKEY, "place") != F.col("first")).select(DID, TKEY, "place")
+    return rows.join(joinable(stash(many)), "template").filter(F.struct(DID, TKEY, "place") != F.col("first")).select(DID, TKEY, "place")
 
 
 def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
