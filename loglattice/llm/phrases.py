@@ -34,7 +34,7 @@ def _encode(text: bytes) -> np.ndarray:
 def confirmed(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """Recurring passages: place (document, first word, number of words) of an occurrence and an earlier place of it."""
     resolved = stash(repeats.resolve(repeats.scan_spans(docs, _encode, size, gram)))
-    windows = repeats.window_rows(docs, repeats.check_lists(resolved), _encode, size, 1)
+    windows = repeats.window_rows(pressed(docs), repeats.check_lists(resolved), _encode, size, 1)
     single = repeats.equal_windows(windows, 1)
     return (
         resolved.filter(F.col("kind") == repeats.DUP)

@@ -31,11 +31,11 @@ from .common import DID, TKEY, placed, pressed, stash, table, unpressed
 SIZE, GRAM, PARTS = 100, 40, 4
 
 
-def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
-    """Per identified document the byte ranges [s, e) that repeat an earlier window, not merged yet."""
+def removed_spans(docs: DataFrame, texts: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
+    """Per identified document the byte ranges [s, e) that repeat an earlier window, not merged yet; ``texts``: ``docs`` pressed."""
     resolved = repeats.resolve(repeats.scan_spans(docs, repeats.bytes_to_codes, size, gram))
     resolved = stash(resolved)
-    windows = repeats.window_rows(docs, repeats.check_lists(resolved), repeats.bytes_to_codes, size, parts)
+    windows = repeats.window_rows(texts, repeats.check_lists(resolved), repeats.bytes_to_codes, size, parts)
     single = repeats.equal_windows(windows, parts)
     whole = resolved.filter(F.col("kind") == repeats.DUP)
     return whole.select(DID, TKEY, "s", (F.col("s") + F.col("n") - 1 + size).alias("e")).unionByName(
@@ -57,7 +57,8 @@ def merge(ranges: list[dict] | None) -> list[tuple[int, int]]:
 def dedup_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int = PARTS) -> DataFrame:
     """One row per document: doc_id, removed array<struct<s,e>> (byte runs), kept binary."""
     own = placed(docs)
-    ranges = removed_spans(own, size, gram, parts).groupBy(DID, TKEY).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    texts = pressed(own)  # one frame, so that both joins by document read one exchange of the texts
+    ranges = removed_spans(own, texts, size, gram, parts).groupBy(DID, TKEY).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,7 +73,7 @@ def dedup_bytes(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int
                 ["doc_id", "removed", "kept"],
             )
 
-    return pressed(own).join(ranges.hint("shuffle_hash"), [DID, TKEY], "left").select("doc_id", "z", "ranges").mapInArrow(
+    return texts.join(ranges.hint("shuffle_hash"), [DID, TKEY], "left").select("doc_id", "z", "ranges").mapInArrow(
         cut, "doc_id long, removed array<struct<s:long,e:long>>, kept binary"
     )
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, pressed, unpressed
+from .common import DID, TKEY, unpressed
 
 DUP, CHECK = 1, 2
 SPAN_SCHEMA = f"kind int, anchor long, span long, {DID} long, {TKEY} long, s long, n long, off long, f_did long, f_s long"
@@ -203,8 +203,11 @@ def check_lists(resolved: DataFrame) -> DataFrame:
     )
 
 
-def window_rows(docs: DataFrame, lists: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, parts: int) -> DataFrame:
-    """The single windows of the CHECK spans: anchor, digits, _did, _tk, s.
+def window_rows(texts: DataFrame, lists: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, parts: int) -> DataFrame:
+    """The single windows of the CHECK spans of ``pressed`` texts: anchor, digits, _did, _tk, s.
+
+    All rows and columns of ``texts`` go through the exchange (a left join), so that a caller who joins the same frame
+    by the same keys again shares it; texts without CHECK spans are left out behind it, still compressed.
 
     A window's digits are hashes of its ``parts`` stretches of ``size / parts`` symbols, 64 / ``parts`` bits each, the first
     in the highest bits of ``digits``.  ``anchor`` becomes the hash of the span's anchor and the window's distance from
@@ -217,6 +220,7 @@ def window_rows(docs: DataFrame, lists: DataFrame, encode: Callable[[bytes], np.
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", "digits", DID, TKEY, "s"])
 
         for batch in batches:
+            batch = batch.filter(batch.column("spans").is_valid())
             lists_ = batch.column("spans").to_pylist()
             dids, tks = batch.column(DID).to_numpy(), batch.column(TKEY).to_numpy()
             out: list[list[np.ndarray]] = []
@@ -241,8 +245,8 @@ def window_rows(docs: DataFrame, lists: DataFrame, encode: Callable[[bytes], np.
             if out:
                 yield made(out)
 
-    joined = pressed(docs).join(lists.hint("shuffle_hash"), [DID, TKEY])
-    return joined.select(DID, TKEY, "z", "spans").mapInArrow(run, f"anchor long, digits long, {DID} long, {TKEY} long, s long")
+    joined = texts.join(lists.hint("shuffle_hash"), [DID, TKEY], "left")
+    return joined.select(*texts.columns, "spans").mapInArrow(run, f"anchor long, digits long, {DID} long, {TKEY} long, s long")
 
 
 WORD_CODES: dict[bytes, int] = {}
