@@ -2,8 +2,8 @@
 
 A line falls down a tree of fixed depth: by its number of tokens, then by each of its first DEPTH tokens, where a
 token with a digit counts as ``<*>``.  Only leaves that lines of at least MIN_DOCS documents reach can hold a recurring
-template.  Within such a leaf, a position keeps a token that at least half of the leaf's (document, line) pairs
-have there and is variable (``<*>``) otherwise.  A line whose masked tokens agree with the leaf's template in at least
+template.  Within such a leaf, a position keeps a token that more than half of the leaf's (document, line) pairs
+have there and is variable (``<*>``) otherwise, so two lines share a template only by what they have in common.  A line whose masked tokens agree with the leaf's template in at least
 SIMILARITY of the positions behind the leading ones takes the leaf's template; other lines keep their own masked text
 as template.  A template that lines of MIN_DOCS or more documents have is recurring: of its lines the first (smallest
 doc_id, then line) stays and all others are dropped, so text that is copied as a whole survives once.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import DID, TKEY, joinable, let, stash, table
 
-DEPTH, MIN_DOCS, SIMILARITY = 3, 5, 0.6
+DEPTH, MIN_DOCS, SIMILARITY = 3, 2, 0.6
 _BLANKS = r"[\x20\x09-\x0D]+"
 WILD = "<*>"
 
@@ -57,7 +57,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, sim
     tokens = kinds.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("p", "token"))
     common = tokens.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
     best = common.groupBy("leaf", "p").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
-    token = F.when(2 * F.col("top.n") >= F.col("all"), F.col("top.token")).otherwise(F.lit(WILD))
+    token = F.when(2 * F.col("top.n") > F.col("all"), F.col("top.token")).otherwise(F.lit(WILD))
     made = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("p", token.alias("token")))).alias("path"))
     made = made.select("leaf", F.transform("path", lambda x: x["token"]).alias("tree"))
 
@@ -122,7 +122,7 @@ def brute(rows: list[tuple[int, str | None]], depth: int = DEPTH, min_docs: int
             for p in range(leaf[0]):
                 c = Counter(w[p] for _, w in m)
                 n, tok = max((n, tok.encode()) for tok, n in c.items())
-                out.append(tok.decode() if 2 * n >= len(m) else WILD)
+                out.append(tok.decode() if 2 * n > len(m) else WILD)
             tree[leaf] = tuple(out)
     places = defaultdict(list)
     for (d, i), (leaf, w) in leaf_of.items():
