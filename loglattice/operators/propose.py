@@ -23,9 +23,11 @@ def sample(lines: DataFrame, keys: list[str], n: int, seed: int | None = None) -
     return lines.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def samples(lines: DataFrame, keys: list[str], n: int, seed: int | None = None, words: int = 0) -> DataFrame:
-    """Each group's sample lines, sorted, as one array of at most ``n``."""
-    return sample(lines, keys, n, seed).groupBy(*keys).agg(F.array_sort(F.collect_list(text.truncated(F.col("Content"), words))).alias("samples"))
+def samples(lines: DataFrame, keys: list[str], n: int, seed: int | None = None, words: int = 0, few: int | None = None) -> DataFrame:
+    """Each group's sample lines, sorted, as one array of at most ``n``; with ``few`` also the ``few`` of lowest rank, as column few."""
+    line = text.truncated(F.col("Content"), words)
+    lists = {"samples": line} if few is None else {"samples": line, "few": F.when(F.col("rank") <= few, line)}
+    return sample(lines, keys, n, seed).groupBy(*keys).agg(*[F.array_sort(F.collect_list(c)).alias(k) for k, c in lists.items()])
 
 
 def prompts(grouped: DataFrame, template: str) -> DataFrame:
@@ -56,13 +58,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, on, how).drop(*[f"_{k}" for k in keys])
 
 
-def ask(grouped: DataFrame, keys: list[str], proposer: Proposer, max_concurrent: int) -> DataFrame:
-    """Raw templates from a callable, a batch of leaves at a time; a failed answer falls back to the first sample line."""
+def ask(grouped: DataFrame, keys: list[str], proposer: Proposer, max_concurrent: int, shown: str = "samples") -> DataFrame:
+    """Raw templates from a callable that sees the lines in ``shown``, a batch of leaves at a time; a failed answer falls back to the first sample line."""
     schema = grouped.schema.simpleString()[7:-1] + ",raw_template:string,failed:boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lists = [list(s) for s in pdf["samples"]]
+            lists = [list(s) for s in pdf[shown]]
             try:
                 answers = proposer(lists)
             except Exception:  # the service may fail in any way; every leaf of the batch then falls back

@@ -38,12 +38,12 @@ def proposals(lines: DataFrame, options: Options, proposer: propose.Proposer | N
     tokens = partition.tokenise(lines)
     found = partition.leaves(tokens, options.goodness, options.lower_bound, static=False, max_pairs=options.max_pairs)
     assigned = saved(partition.assignment(tokens, found).select("row_nr", "Content", "words", "leaf"))
-    samples = propose.samples(assigned, LEAF, max(options.sample_n, options.infer_n), 42, options.max_words)
+    samples = propose.samples(assigned, LEAF, max(options.sample_n, options.infer_n), 42, options.max_words, options.sample_n)
     if proposer is None:
         raw = propose.structural(assigned.select("leaf", "words").distinct(), assigned, LEAF)
         asked = samples.join(raw, "leaf").withColumn("failed", F.lit(False))
     else:
-        asked = propose.ask(samples.withColumn("samples", F.slice("samples", 1, options.sample_n)), LEAF, proposer, options.max_concurrent)
+        asked = propose.ask(samples, LEAF, proposer, options.max_concurrent, "few")
     done = asked.withColumns(
         {"template": text.finish(F.col("raw_template"), options.template_correction), "slot_types": text.slot_types(F.col("raw_template"))}
     )
@@ -51,7 +51,7 @@ def proposals(lines: DataFrame, options: Options, proposer: propose.Proposer | N
         done = slots.infer(done)
     else:
         done = done.withColumn("slot_regexes", F.lit(None).cast("array<string>"))
-    ranked = cat.entries(done.drop("samples").withColumn("insert_seq", F.lit(step).cast("long")))
+    ranked = cat.entries(done.drop("samples", "few").withColumn("insert_seq", F.lit(step).cast("long")))
     own = assigned.join(ranked.select("leaf", "pattern"), "leaf").filter(F.expr("Content rlike pattern")).select("leaf").distinct()
     kept = saved(ranked.join(own, "leaf", "left_semi"))
     return kept.dropDuplicates(["template"])

@@ -1,0 +1,16 @@
+"""What the findings of the first review asked for."""
+
+from loglattice.options import Options
+from loglattice.plans.discover import discover
+
+
+def test_proposer_sees_random_lines_and_slots_all(spark):
+    logs = spark.createDataFrame([(i, f"job number {'a' if i >= 40 else ''}{100 + i} is done") for i in range(50)], "row_nr long, Content string")
+
+    def proposer(lists):
+        assert all(len(s) <= 3 for s in lists)
+        return ["job number <SID> is done" for _ in lists]
+
+    found = discover(logs, Options(sample_n=3, repool_passes=0, singleton_fallback=False), proposer)
+    assert [r["slot_regexes"] for r in found.catalogue.collect()] == [["[0-9a-fA-F]+"]]
+    assert found.stats.first()["noise"] == 0
