@@ -11,7 +11,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import text
@@ -33,14 +33,26 @@ def entries(templates: DataFrame) -> DataFrame:
     return out.withColumns({"pattern": text.pattern(t, F.col("slot_regexes")), "literal_len": text.literal_len(t), "n_slots": text.n_slots(t)})
 
 
+def distinct(catalogue: DataFrame) -> DataFrame:
+    """One entry per template and slot regexes: the earliest (ties: the smallest slot types), with the largest counter."""
+    keys = ["template", "slot_regexes"]
+    rest = ["insert_seq", "slot_types", "pattern", "literal_len", "n_slots"]
+    one = catalogue.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("e"), F.max("match_frequency").alias("match_frequency"))
+    return one.select("template", "slot_regexes", "e.slot_types", "match_frequency", *[f"e.{c}" for c in ("insert_seq", "pattern", "literal_len", "n_slots")])
+
+
+def _order() -> list[Column]:
+    return [*[F.desc(c) for c in ORDER], F.col("insert_seq"), F.col("template"), F.to_json(F.struct("slot_regexes"))]
+
+
 def ordered(catalogue: DataFrame) -> DataFrame:
-    return catalogue.orderBy(*[F.desc(c) for c in ORDER], "insert_seq", "template")
+    return catalogue.orderBy(*_order())
 
 
 def match_by_join(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The readable form, for small catalogues: every full match, then the cheapest per line."""
     hit = lines.join(F.broadcast(catalogue), F.expr("Content rlike pattern"))
-    best = Window.partitionBy("row_nr").orderBy(*[F.desc(c) for c in ORDER], "insert_seq", "template")
+    best = Window.partitionBy("row_nr").orderBy(*_order())
     return hit.withColumn("r", F.row_number().over(best)).filter("r = 1").select("row_nr", F.col("template").alias("EventTemplate"))
 
 

@@ -54,7 +54,7 @@ def proposals(lines: DataFrame, options: Options, proposer: propose.Proposer | N
     ranked = cat.entries(done.drop("samples", "few").withColumn("insert_seq", F.lit(step).cast("long")))
     own = assigned.join(ranked.select("leaf", "pattern"), "leaf").filter(F.expr("Content rlike pattern")).select("leaf").distinct()
     kept = saved(ranked.join(own, "leaf", "left_semi"))
-    return kept.dropDuplicates(["template"])
+    return cat.distinct(kept)
 
 
 def discover(logs: DataFrame, options: Options = Options(), proposer: propose.Proposer | None = None, seed: DataFrame | None = None) -> Discovery:  # noqa: B008
@@ -72,8 +72,8 @@ def discover(logs: DataFrame, options: Options = Options(), proposer: propose.Pr
         parts.append(first.filter("EventTemplate is not null"))
         left = first.filter("EventTemplate is null").select(*left.columns)
     for step in range(options.repool_passes + 1):
-        new = proposals(left, options, proposer, step).select("template", "slot_regexes", "slot_types", "match_frequency", "insert_seq", "pattern", "literal_len", "n_slots")
-        known = new if known is None else known.select(*new.columns).unionByName(new).dropDuplicates(["template"])
+        new = proposals(left, options, proposer, step)
+        known = new if known is None else cat.distinct(known.select(*new.columns).unionByName(new))
         known = saved(known)
         done = saved(cat.match(left, known))
         parts.append(done.filter("EventTemplate is not null"))

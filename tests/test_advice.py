@@ -14,3 +14,11 @@ def test_proposer_sees_random_lines_and_slots_all(spark):
     found = discover(logs, Options(sample_n=3, repool_passes=0, singleton_fallback=False), proposer)
     assert [r["slot_regexes"] for r in found.catalogue.collect()] == [["[0-9a-fA-F]+"]]
     assert found.stats.first()["noise"] == 0
+
+
+def test_one_template_with_two_regexes_keeps_both(spark):
+    rows = [(i, f"port {i} open", 0) for i in range(4)] + [(10 + i, f"port x{i} open", 1) for i in range(4)]
+    logs = spark.createDataFrame(rows, "row_nr long, Content string, chunk_id long")
+    found = discover(logs, Options(repool_passes=0, singleton_fallback=False), lambda lists: ["port <SID> open"] * len(lists))
+    assert {tuple(r["slot_regexes"]) for r in found.catalogue.collect()} == {(r"\d+",), (r"\S+",)}
+    assert {r["EventTemplate"] for r in found.result.collect()} == {"port <*> open"}
