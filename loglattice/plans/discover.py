@@ -57,6 +57,17 @@ def proposals(lines: DataFrame, options: Options, proposer: propose.Proposer | N
     return cat.distinct(kept)
 
 
+def singles(lines: DataFrame, options: Options, proposer: propose.Proposer | None, step: int) -> DataFrame:
+    """An entry for each distinct text of ``lines``, proposed for that line alone, where it matches the line."""
+    alone = lines.filter("Content is not null").select("Content").distinct().withColumn("samples", F.array("Content"))
+    if proposer is None:
+        asked = alone.withColumn("raw_template", F.col("Content"))
+    else:
+        asked = propose.ask(alone, ["Content"], proposer, options.max_concurrent)
+    done = asked.select("Content", text.finish(F.col("raw_template"), options.template_correction).alias("template"), text.slot_types(F.col("raw_template")).alias("slot_types"))
+    return saved(cat.entries(done.withColumn("insert_seq", F.lit(step).cast("long"))).filter(F.expr("template <> '' and Content rlike pattern")))
+
+
 def discover(logs: DataFrame, options: Options = Options(), proposer: propose.Proposer | None = None, seed: DataFrame | None = None) -> Discovery:  # noqa: B008
     """Templates of ``logs`` (row_nr, Content, maybe LineId).
 
@@ -80,14 +91,19 @@ def discover(logs: DataFrame, options: Options = Options(), proposer: propose.Pr
         left = done.filter("EventTemplate is null").select(*left.columns)
         if left.filter("Content is not null").isEmpty():
             break
-    if options.singleton_fallback:
-        single = left.withColumn("EventTemplate", text.finish(F.col("Content"), options.template_correction))
-        fits = F.expr("Content rlike pattern")
-        single = single.withColumn("pattern", text.pattern(F.col("EventTemplate"))).withColumn("ok", F.coalesce(fits & (F.col("EventTemplate") != ""), F.lit(False)))
-        groups = F.transform(F.sequence(F.lit(1), F.greatest(text.n_slots(F.col("EventTemplate")), F.lit(1))), lambda i: F.call_function("regexp_extract", F.col("Content"), F.col("pattern"), i))
-        params = F.when(text.n_slots(F.col("EventTemplate")) > 0, groups).otherwise(F.array().cast("array<string>"))
-        parts.append(single.filter("ok").select(*left.columns, "EventTemplate", params.alias("ParameterList"), F.array().cast("array<string>").alias("SlotTypes")))
-        left = single.filter("not ok").select(*left.columns)
+    if options.singleton_fallback and not left.filter("Content is not null").isEmpty():
+        found = singles(left, options, proposer, options.repool_passes + 1)
+        single = left.join(found.withColumnRenamed("template", "EventTemplate"), "Content", "left")
+        groups = F.transform(F.sequence(F.lit(1), F.greatest("n_slots", F.lit(1))), lambda i: F.call_function("regexp_extract", F.col("Content"), F.col("pattern"), i))
+        params = F.when(F.col("n_slots") > 0, groups).otherwise(F.array().cast("array<string>"))
+        parts.append(single.filter("EventTemplate is not null").select(*left.columns, "EventTemplate", params.alias("ParameterList"), F.col("slot_types").alias("SlotTypes")))
+        left = saved(single.filter("EventTemplate is null").select(*left.columns))
+        new = cat.distinct(found)
+        known = saved(cat.distinct(known.select(*new.columns).unionByName(new)))
+        if not left.filter("Content is not null").isEmpty():
+            done = saved(cat.match(left, new))
+            parts.append(done.filter("EventTemplate is not null"))
+            left = done.filter("EventTemplate is null").select(*left.columns)
     null = [F.lit(None).cast(t).alias(c) for c, t in (("EventTemplate", "string"), ("ParameterList", "array<string>"), ("SlotTypes", "array<string>"))]
     every = left.select(*left.columns, *null)
     for p in parts:

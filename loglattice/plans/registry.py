@@ -75,7 +75,7 @@ def _apply_stream(s: SparkSession, d: str) -> DataFrame:
 
 def _discover_stream(s: SparkSession, d: str) -> DataFrame:
     def step(frame: DataFrame, folder: str) -> DataFrame:
-        streams.discover_stream(frame, folder, f"{folder}/cp", Options(singleton_fallback=False, repool_passes=0)).awaitTermination()
+        streams.discover_stream(frame, folder, f"{folder}/cp", Options()).awaitTermination()
         return s.read.parquet(f"{folder}/result").drop("v")
 
     return _stream(s, d, step)

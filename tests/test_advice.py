@@ -1,5 +1,6 @@
 """What the findings of the first review asked for."""
 
+from loglattice.operators import catalogue as cat
 from loglattice.options import Options
 from loglattice.plans.discover import discover
 
@@ -22,3 +23,12 @@ def test_one_template_with_two_regexes_keeps_both(spark):
     found = discover(logs, Options(repool_passes=0, singleton_fallback=False), lambda lists: ["port <SID> open"] * len(lists))
     assert {tuple(r["slot_regexes"]) for r in found.catalogue.collect()} == {(r"\d+",), (r"\S+",)}
     assert {r["EventTemplate"] for r in found.result.collect()} == {"port <*> open"}
+
+
+def test_single_lines_are_proposed_and_known(spark):
+    logs = spark.createDataFrame([(0, "alpha  beta 1 x"), (1, "gamma delta y")], "row_nr long, Content string")
+    asked = lambda lists: [("alpha  beta <OBA> x" if s[0].startswith("alpha") else "gamma <OID> y") if len(s) == 1 else None for s in lists]
+    seed = cat.entries(spark.createDataFrame([("no such line",)], "template string"))
+    found = discover(logs, Options(repool_passes=-1, template_correction=False), asked, seed)
+    assert {(r["EventTemplate"], *r["ParameterList"], *r["SlotTypes"]) for r in found.result.collect()} == {("alpha  beta <*> x", "1", "OBA"), ("gamma <*> y", "delta", "OID")}
+    assert {r["template"] for r in found.catalogue.collect()} == {"no such line", "alpha  beta <*> x", "gamma <*> y"}
