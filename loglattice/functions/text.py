@@ -50,23 +50,27 @@ def _pieces(c: Column, delimiters: str, change) -> Column:
     return F.array_join(F.transform(parts, change), "")
 
 
+def _is_path(t: Column) -> Column:
+    """One or more non-empty segments, each behind a slash; no regex, whose stack would grow with the segments."""
+    return t.startswith("/") & ~t.endswith("/") & ~t.contains("//")
+
+
 def correct(c: Column) -> Column:
     """The correction rules for a template, in their fixed order."""
     c = normalise(c)
-    c = _pieces(c, _PATH, lambda t: F.when(t.rlike(r"^(/[^/]+)+$"), SLOT).otherwise(t))
+    c = _pieces(c, _PATH, lambda t: F.when(_is_path(t), SLOT).otherwise(t))
     c = _pieces(
         c, _MORE, lambda t: F.when(t.rlike(r"(?U)^\d+$") | (t.contains(SLOT) & ~t.rlike(r"(?U)[\s/]")), SLOT).otherwise(t)
     )
-    for joint in (r"\.",):
-        c = F.regexp_replace(c, rf"<\*>(?:{joint}<\*>)+", SLOT)
-    c = F.regexp_replace(c, r"(?:<\*>){2,}", SLOT)
+    c = F.regexp_replace(c, r"<\*>(?:\.<\*>)++", SLOT)
+    c = F.regexp_replace(c, r"(?:<\*>){2,}+", SLOT)
     c = F.regexp_replace(c, r"(?<= )#<\*>#?(?= )", SLOT)
     for joint in (":", "#", "/", "@", r"\."):
-        c = F.regexp_replace(c, rf"<\*>(?:{joint}<\*>)+", SLOT)
+        c = F.regexp_replace(c, rf"<\*>(?:{joint}<\*>)++", SLOT)
     c = F.regexp_replace(c, r'(?<= )"<\*>"(?= )', SLOT)
     c = F.regexp_replace(c, r"(?<= )'<\*>'(?= )", SLOT)
-    c = F.regexp_replace(c, r"(?:<\*>){2,}", SLOT)
-    return F.regexp_replace(c, r"<\*>(?: <\*>){4,}", SLOT)
+    c = F.regexp_replace(c, r"(?:<\*>){2,}+", SLOT)
+    return F.regexp_replace(c, r"<\*>(?: <\*>){4,}+", SLOT)
 
 
 def finish(raw: Column, correction: bool = True) -> Column:
@@ -88,16 +92,16 @@ def n_slots(template: Column) -> Column:
 
 
 def escaped(c: Column) -> Column:
-    return F.regexp_replace(c, r"([^\p{Alnum}\s])", r"\\$1")
+    return F.regexp_replace(c, r"(?U)([^\p{Alnum}\s])", r"\\$1")
 
 
 def pattern(template: Column, slots: Column | None = None) -> Column:
     """Anchored pattern with a group for each slot; ``slots``: a regex for each (default: no blanks)."""
     parts = F.transform(literals(template), escaped)
     if slots is None:
-        return F.concat(F.lit("(?s)^"), F.array_join(parts, r"(\S+)"), F.lit(r"\z"))
+        return F.concat(F.lit("(?sU)^"), F.array_join(parts, r"(\S+)"), F.lit(r"\z"))
     groups = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit("("), F.coalesce(F.get(slots, i), F.lit(r"\S+")), F.lit(")"))).otherwise(p))
-    return F.concat(F.lit("(?s)^"), F.array_join(groups, ""), F.lit(r"\z"))
+    return F.concat(F.lit("(?sU)^"), F.array_join(groups, ""), F.lit(r"\z"))
 
 
 def listed(c: Column) -> Column:

@@ -2,11 +2,16 @@
 
 On a full match the captured characters are the line's length less the template's literal length, so the winner is
 the first hit in the order (literal length desc, slots desc, match frequency desc, insertion): one small sort, and a worker
-stops at its first hit.  Templates without slots are plain equality and always win: an equi-join.
+stops at its first hit.  Templates without slots are plain equality: a lookup.
+
+A catalogue reaches the workers as a broadcast variable of at most SLICE entries at a time, is compiled once per worker, and a larger one
+is matched slice after slice of its order, so neither driver nor worker ever holds more.
 """
 
 from __future__ import annotations
 
+import heapq
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,10 +21,13 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import text
 from loglattice.operators.slots import compiled
+from loglattice.sources.io import Saved, free_name, joinable, row_index
 
-#: Entries that are sent to the workers at once; a larger catalogue is matched in slices of its order.
+#: Entries that are held by the driver and sent to the workers at once.
 SLICE = 20_000
 ORDER = ["literal_len", "n_slots", "match_frequency"]
+FOUND = [("EventTemplate", "string"), ("ParameterList", "array<string>"), ("SlotTypes", "array<string>"), ("entry", "long")]
+_ENTRY = ["template", "slot_regexes", "slot_types", "insert_seq"]
 
 
 def entries(templates: DataFrame) -> DataFrame:
@@ -42,7 +50,12 @@ def distinct(catalogue: DataFrame) -> DataFrame:
 
 
 def _order() -> list[Column]:
-    return [*[F.desc(c) for c in ORDER], F.col("insert_seq"), F.col("template"), F.to_json(F.struct("slot_regexes"))]
+    return [*[F.desc(c) for c in ORDER], *insertion()]
+
+
+def insertion() -> list[Column]:
+    """The order of insertion, ties by content."""
+    return [F.col("insert_seq"), F.col("template"), F.to_json(F.struct("slot_regexes"))]
 
 
 def ordered(catalogue: DataFrame) -> DataFrame:
@@ -56,82 +69,234 @@ def match_by_join(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     return hit.withColumn("r", F.row_number().over(best)).filter("r = 1").select("row_nr", F.col("template").alias("EventTemplate"))
 
 
-def match(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``lines`` with EventTemplate, ParameterList and SlotTypes (null where nothing matches)."""
-    slices = [r for r in ordered(catalogue).select("template", "slot_regexes", "slot_types").toLocalIterator()]
-    plain = [c for c in lines.columns if c not in ("EventTemplate", "ParameterList", "SlotTypes")]
-    out = lines.select(*plain, *[F.lit(None).cast(t).alias(c) for c, t in (("EventTemplate", "string"), ("ParameterList", "array<string>"), ("SlotTypes", "array<string>"))])
-    for i in range(0, len(slices), SLICE):
-        out = out.mapInArrow(_first_hit([tuple(r) for r in slices[i : i + SLICE]]), out.schema)
-    return out
+def _slices(catalogue: DataFrame) -> Iterator[list[tuple]]:
+    """The entries in matching order, at most SLICE at a time."""
+    cut = catalogue.orderBy(*_order()).limit(SLICE + 1).select(*_ENTRY).collect()
+    if len(cut) <= SLICE:
+        if cut:
+            yield [tuple(r) for r in cut]
+        return
+    ranked = row_index(catalogue, *_order())
+    at = 0
+    while rows := ranked.filter(F.col("row_nr").between(at, at + SLICE - 1)).orderBy("row_nr").select(*_ENTRY).collect():
+        yield [tuple(r) for r in rows]
+        at += SLICE
+
+
+class _Index:
+    """Compiled entries in matching order; few of them are tried on a line."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = rows
+        self.exact: dict[str, list] = defaultdict(list)
+        self.heads: dict[str, list] = defaultdict(list)  # by the literal before the first slot: its first characters
+        for rank, (t, s, _, _) in enumerate(rows):
+            parts = t.split(text.SLOT)
+            if len(parts) == 1:
+                self.exact[t].append((rank, None, len(t)))
+            else:
+                self.heads[parts[0][:4]].append((rank, compiled(t, s), sum(map(len, parts))))
+        self.tries: dict[str, list] = {}
+
+    def hits(self, line: str) -> Iterator[tuple[int, tuple]]:
+        """Ranks of the entries that match the line, in order, with the captured values."""
+        head = line[:4]
+        if head not in self.tries:
+            if len(self.tries) > 50_000:
+                self.tries.clear()
+            self.tries[head] = sorted((e for n in range(len(head) + 1) for e in self.heads.get(head[:n], ())), key=lambda e: e[0])
+        tries = self.tries[head]
+        for rank, pattern, least in heapq.merge(self.exact[line], tries, key=lambda e: e[0]) if line in self.exact else tries:
+            if pattern is None:
+                yield rank, ()
+            elif len(line) >= least:
+                m = pattern.fullmatch(line)
+                if m:
+                    yield rank, m.groups()
+
+
+_INDEXES: dict[str, _Index] = {}
+
 
+def _sent(spark, rows: list[tuple]):
+    """Gives every worker the index of ``rows``, compiled once."""
+    key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(rows)
+
+    def index() -> _Index:
+        if key not in _INDEXES:
+            if len(_INDEXES) > 3:
+                _INDEXES.clear()
+            _INDEXES[key] = _Index(sent.value)
+        return _INDEXES[key]
+
+    return index
+
+
+def match(lines: DataFrame, catalogue: DataFrame, own: str | None = None, keep_entry: bool = False) -> DataFrame:
+    """``lines`` with EventTemplate, ParameterList and SlotTypes (null where nothing matches).
+
+    ``own`` names a column with a line's own insert_seq: such a line takes the best entry that was inserted before its own, else its own.
+    ``keep_entry`` adds the insert_seq of the entry.
+    """
+    names = [c for c, _ in FOUND]
+    plain = [c for c in lines.columns if c not in names]
+    sure = free_name(lines, "sure")
+    out = lines.select(*plain, *[F.lit(None).cast(t).alias(c) for c, t in FOUND], F.lit(False).alias(sure))
+    for rows in _slices(catalogue):
+        out = out.mapInArrow(_best(_sent(lines.sparkSession, rows), own, sure), out.schema)
+    return out.drop(sure) if keep_entry else out.drop(sure, "entry")
+
+
+def _best(index, own: str | None, sure: str):
+    kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.bool_())
+    names = [*(c for c, _ in FOUND), sure]
 
-def _first_hit(rows: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact = {t: list(k or ()) for t, _, k in rows if "<*>" not in t}
-        # by the literal before the first slot: its first characters leave few patterns to try for a line
-        by_head: dict[str, list] = defaultdict(list)
-        for rank, (t, s, k) in enumerate(rows):
-            if "<*>" in t:
-                by_head[t.split("<*>")[0][:4]].append((rank, compiled(t, s), t, list(k or ()), sum(map(len, t.split("<*>")))))
-        heads = sorted({len(h) for h in by_head})
-        seen: dict[str, tuple] = {}
-
-        def find(line: str) -> tuple:
-            if line in exact:
-                return line, [], exact[line]
-            tries = [e for n in heads for e in by_head.get(line[:n], ()) if len(line) >= e[4]]
-            for _, pattern, t, k, _ in sorted(tries, key=lambda e: e[0]):
-                m = pattern.fullmatch(line)
-                if m:
-                    return t, list(m.groups()), k
-            return None, None, None
+        entries = index()
+        seen: dict[tuple, tuple | None] = {}
+
+        def find(line: str, mine: int | None) -> tuple | None:
+            spare = None
+            for rank, values in entries.hits(line):
+                t, _, k, seq = entries.rows[rank]
+                if own is None or seq < mine:
+                    return t, list(values), list(k or ()), seq, True
+                if seq == mine:
+                    spare = t, list(values), list(k or ()), seq, False
+            return spare
 
         for b in batches:
-            old = b.column("EventTemplate").to_pylist()
-            found = []
+            old = [b.column(c).to_pylist() if b.column(c).null_count < b.num_rows else [None] * b.num_rows for c in names]
+            mine = b.column(own).to_pylist() if own else [None] * b.num_rows
+            out = []
             for i, line in enumerate(b.column("Content").to_pylist()):
-                if old[i] is not None or line is None:
-                    found.append((old[i], b.column("ParameterList")[i].as_py(), b.column("SlotTypes")[i].as_py()))
-                    continue
-                if line not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[line] = find(line)
-                found.append(seen[line])
+                found = None
+                if line is not None and not old[4][i]:
+                    key = (line, mine[i])
+                    if key not in seen:
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen[key] = find(*key)
+                    found = seen[key]
+                out.append(found or tuple(o[i] for o in old))
             cols = {c: b.column(c) for c in b.schema.names}
-            for j, (c, t) in enumerate((("EventTemplate", pa.string()), ("ParameterList", pa.list_(pa.string())), ("SlotTypes", pa.list_(pa.string())))):
-                cols[c] = pa.array([f[j] for f in found], t)
+            cols |= {c: pa.array([f[j] for f in out], kinds[j]) for j, c in enumerate(names)}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return run
 
 
+def hits(lines: DataFrame, catalogue: DataFrame, own: str) -> DataFrame:
+    """Distinct (own, hits): which entries that were inserted no later than its own leaf's a line matches (sorted)."""
+    out = lines.select("Content", own, F.array().cast("array<long>").alias("hits"))
+    for rows in _slices(catalogue):
+        out = out.mapInArrow(_every(_sent(lines.sparkSession, rows), own), out.schema)
+    return out.select(own, F.array_sort("hits").alias("hits")).filter(F.size("hits") > 0).distinct()
+
+
+def _every(index, own: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = index()
+        seen: dict[tuple, list] = {}
+        for b in batches:
+            out = []
+            for line, mine, before in zip(b.column("Content").to_pylist(), b.column(own).to_pylist(), b.column("hits").to_pylist(), strict=True):
+                key = (line, mine)
+                if key not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seqs = (entries.rows[rank][3] for rank, _ in entries.hits(line))
+                    seen[key] = [s for s in seqs if s <= mine]
+                out.append(before + seen[key])
+            yield pa.RecordBatch.from_arrays([b.column("Content"), b.column(own), pa.array(out, pa.list_(pa.int64()))], ["Content", own, "hits"])
+
+    return run
+
+
+def useful(seen: DataFrame, own: str, saved: Saved) -> DataFrame:
+    """``own`` of the entries that a reconcile in order keeps: those that match a line of their own that no kept earlier entry matches.
+
+    ``seen`` is that of ``hits``.  Entries with a line that they alone match are kept; what the others become follows from the earlier
+    ones, round by round; each round settles at least the first entry left.
+    """
+    mine = seen.filter(F.array_contains("hits", F.col(own))).select(own, F.array_remove("hits", F.col(own)).alias("earlier"))
+    sure = F.max((F.size("earlier") == 0).cast("int")) == 1
+    state = saved(mine.groupBy(own).agg(F.when(sure, True).alias("kept")))
+    while not state.filter("kept is null").isEmpty():
+        rest = mine.join(state.filter("kept is null"), own, "left_semi")
+        before = state.select(F.col(own).alias("e"), F.lit(True).alias("there"), F.col("kept").alias("k"))
+        told = rest.select(own, "earlier", F.explode("earlier").alias("e")).join(before, "e", "left")
+        # an entry that matches no line of its own isn't in ``state``: it was never kept
+        open_ = F.coalesce(F.max((F.col("there") & F.col("k").isNull()).cast("int")), F.lit(0)) == 1
+        one = told.groupBy(own, "earlier").agg(F.max(F.coalesce("k", F.lit(False))).alias("blocked"), open_.alias("open"))
+        settled = one.groupBy(own).agg(F.max(~F.col("blocked") & ~F.col("open")).alias("free"), F.min("blocked").alias("blocked"))
+        now = F.when(F.col("free"), True).when(F.col("blocked"), False)
+        state = saved(state.join(settled, own, "left").select(own, F.coalesce("kept", now).alias("kept")))
+    return state.filter("kept").select(own)
+
+
+def kept(lines: DataFrame, new: DataFrame, own: str, saved: Saved) -> DataFrame:
+    """The entries of ``new`` (a written table) that stay when leaves are reconciled in the order of insert_seq (``own`` of their lines).
+
+    Of entries with equal templates and regexes only the first is tried, until lines are left that a later one would take.
+    """
+    kind = F.xxhash64("template", F.to_json(F.struct("slot_regexes"))).alias("kind")
+    rep = new.groupBy(kind).agg(F.min("insert_seq").alias("rep"), F.count("*").alias("n"))
+    alone = rep.filter("n > 1").isEmpty()
+    if not alone:
+        named = saved(new.select(F.col("insert_seq").alias(own), kind).join(rep, "kind").select(own, "rep"))
+        tried = saved(named.select(F.col("rep").alias("insert_seq")).distinct())
+    while True:
+        entries_ = new if alone else saved(new.join(tried, "insert_seq", "left_semi"))
+        seen = saved(hits(lines, entries_, own))
+        good = useful(seen, own, saved)
+        if not alone:
+            others = named.join(tried, F.col(own) == F.col("insert_seq"), "left_anti")
+            rows = seen.join(others, own).filter(F.array_contains("hits", F.col("rep")))
+            there = rows.select(own, "rep", "hits", F.explode("hits").alias("e")).join(good.select(F.col(own).alias("e"), F.lit(1).alias("k")), "e", "left")
+            missed = there.groupBy(own, "rep", "hits").agg(F.max("k").alias("k")).filter("k is null")
+            more = saved(missed.groupBy("rep").agg(F.min(own).alias("insert_seq")).select("insert_seq"))
+            if not more.isEmpty():
+                tried = saved(tried.unionByName(more))
+                continue
+        return entries_.join(good, F.col("insert_seq") == F.col(own), "left_semi")
+
+
 def counts(matched: DataFrame) -> DataFrame:
     return matched.filter(F.col("EventTemplate").isNotNull()).groupBy(F.col("EventTemplate").alias("template")).agg(F.count("*").alias("match_frequency"))
 
 
 def counted(catalogue: DataFrame, matched: DataFrame) -> DataFrame:
-    """The catalogue with its entries' counters raised by a batch's matches."""
-    new = counts(matched).withColumnRenamed("match_frequency", "_more")
-    return catalogue.join(new, "template", "left").withColumn("match_frequency", F.col("match_frequency") + F.coalesce("_more", F.lit(0))).drop("_more")
+    """The catalogue with its entries' counters raised by a batch's matches (by entry, if ``matched`` tells it, else by template)."""
+    key, mine = ("insert_seq", "entry") if "entry" in matched.columns else ("template", "EventTemplate")
+    new = matched.filter(F.col(mine).isNotNull()).groupBy(F.col(mine).alias(key)).agg(F.count("*").alias("_more"))
+    return catalogue.join(new, key, "left").withColumn("match_frequency", F.col("match_frequency") + F.coalesce("_more", F.lit(0))).select(*catalogue.columns)
 
 
 def listing(catalogue: DataFrame) -> DataFrame:
     return catalogue.orderBy(F.desc("match_frequency"), "template")
 
 
-def event_ids(templates: DataFrame) -> DataFrame:
-    """EventTemplate, EventId: E1..En by the templates' byte order; over distinct templates only."""
+def event_ids(templates: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """EventTemplate, EventId: E1..En by the templates' byte order; over distinct templates only.
+
+    Templates in ``known`` (EventTemplate, EventId) keep their ids and new ones are numbered behind them.
+    """
     distinct = templates.select("EventTemplate").filter(F.col("EventTemplate").isNotNull()).distinct()
-    return distinct.withColumn("EventId", F.concat(F.lit("E"), F.row_number().over(Window.orderBy("EventTemplate")).cast("string")))
+    after = 0
+    if known is not None:
+        distinct = distinct.join(known, "EventTemplate", "left_anti")
+        after = known.agg(F.max(F.substring("EventId", 2, 20).cast("long"))).first()[0] or 0
+    ids = row_index(distinct, F.col("EventTemplate"))
+    ids = ids.select("EventTemplate", F.concat(F.lit("E"), (F.col("row_nr") + 1 + after).cast("string")).alias("EventId"))
+    return ids if known is None else known.select("EventTemplate", "EventId").unionByName(ids)
 
 
-def result(matched: DataFrame) -> DataFrame:
+def result(matched: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """The result table: noise lines have null event columns; unsorted (sort at the sink if needed)."""
     line = F.col("LineId") if "LineId" in matched.columns else F.col("row_nr")
-    ids = event_ids(matched)
-    return matched.join(ids, "EventTemplate", "left").select(line.alias("LineId"), "EventId", "Content", "EventTemplate", "ParameterList", "SlotTypes")
+    ids = event_ids(matched) if ids is None else ids
+    return matched.join(joinable(ids), "EventTemplate", "left").select(line.alias("LineId"), "EventId", "Content", "EventTemplate", "ParameterList", "SlotTypes")
 
 
 def run_stats(done: DataFrame) -> DataFrame:

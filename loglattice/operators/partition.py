@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import text
+from loglattice.sources.io import Saved, row_index
 
 PART = ["chunk_id", "token_len", "s2_pos", "s2_value"]
 
@@ -26,8 +27,9 @@ def chunked(logs: DataFrame, size: int) -> DataFrame:
 
 
 def vectors(lines: DataFrame) -> DataFrame:
-    """Distinct token vectors of a chunk with their lines and first line; all later steps read these."""
-    return lines.groupBy("chunk_id", "token_len", "words").agg(F.count("*").alias("n"), F.min("row_nr").alias("first"))
+    """Distinct token vectors of a chunk with their lines, first line and smallest row hash; all later steps read these."""
+    pick = F.min(F.xxhash64(F.lit(42), "row_nr")).alias("pick")
+    return lines.groupBy("chunk_id", "token_len", "words").agg(F.count("*").alias("n"), F.min("row_nr").alias("first"), pick)
 
 
 def sizes(lines: DataFrame) -> DataFrame:
@@ -105,8 +107,11 @@ def relations(table: DataFrame, lower_bound: float) -> DataFrame:
     return out.withColumn("s3_side", side)
 
 
-def relations_in_order(table: DataFrame, lower_bound: float, max_pairs: int) -> DataFrame:
-    """The same visiting pairs by first line, each removed pair shrinking later counts; large tables take the static form."""
+def relations_in_order(table: DataFrame, lower_bound: float) -> DataFrame:
+    """The same visiting pairs by first line, each removed pair shrinking later counts.
+
+    A group is one partition of one chunk, so it never has more pairs than a chunk has lines.
+    """
 
     def visit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first", kind="stable")
@@ -127,44 +132,90 @@ def relations_in_order(table: DataFrame, lower_bound: float, max_pairs: int) ->
             c1s.append(c1), c2s.append(c2), sides.append(side)
         return pdf.assign(c1=c1s, c2=c2s, s3_side=sides)
 
-    sized = table.withColumn("pairs", F.count("*").over(Window.partitionBy(*PART)))
-    small = sized.filter(F.col("pairs") <= max_pairs).drop("pairs")
-    large = relations(sized.filter(F.col("pairs") > max_pairs).drop("pairs"), lower_bound)
-    return small.groupBy(*PART).applyInPandas(visit, large.schema).unionByName(large)
-
-
-def leaves(lines: DataFrame, limit: float = 0.3, lower_bound: float = 0.25, static: bool = True, max_pairs: int = 1_000_000) -> DataFrame:
-    """Every distinct token vector with its leaf: the partition keys, s3_side and s3_value."""
-    vec = s2(vectors(lines))
-    good = goodness(vec)
-    table = pair_table(vec, good, limit)
-    rel = relations(table, lower_bound) if static else relations_in_order(table, lower_bound, max_pairs)
-    todo = good.filter(F.col("goodness") <= limit).select(*PART, position_pair(F.col("nus")).alias("pp"))
-    v = lambda k: F.get("words", F.col(f"pp.{k}"))
-    keyed = join_parts(vec, todo, "left").withColumns({"v1": v("p1"), "v2": v("p2")}).drop("pp")
+    return table.groupBy(*PART).applyInPandas(visit, relations(table, lower_bound).schema)
+
+
+def _shares(vec: DataFrame, keys: list[str], parent: Column, total: Column, file_support: float, partition_support: float) -> Column:
+    """Whether the group of ``keys`` has too small a share of its chunk or of its parent."""
+    n = F.sum("n").over(Window.partitionBy(*keys))
+    return (F.lit(file_support > 0) & (n / total < file_support)) | (F.lit(partition_support > 0) & (n / parent < partition_support))
+
+
+def leaves(
+    vec: DataFrame, limit: float = 0.3, lower_bound: float = 0.25, static: bool = True, file_support: float = 0.0, partition_support: float = 0.0
+) -> DataFrame:
+    """Every distinct token vector (of ``vectors``) with its leaf: the partition keys, s3_side and s3_value.
+
+    p1, p2, v1, v2 are the compared positions and tokens where the partition went to the third step.  ``outlier`` names the step
+    (S1, S2, S3) that made a partition with too little support; such a partition is a leaf and isn't split any further.
+    """
+    pruning = file_support > 0 or partition_support > 0
+    part = s2(vec).withColumn("outlier", F.lit(None).cast("string"))
+    if pruning:
+        total, length = F.sum("n").over(Window.partitionBy("chunk_id")), F.sum("n").over(Window.partitionBy("chunk_id", "token_len"))
+        part = part.withColumn("outlier", F.when(_shares(part, ["chunk_id", "token_len"], total, total, file_support, 0.0), "S1"))
+        alone = F.col("outlier") == "S1"
+        part = part.withColumns({c: F.when(alone, None).otherwise(F.col(c)) for c in ("s2_pos", "s2_value")})
+        few = F.col("outlier").isNull() & F.col("s2_value").isNotNull() & _shares(part, PART, length, total, file_support, partition_support)
+        part = part.withColumn("outlier", F.when(few, "S2").otherwise(F.col("outlier")))
+    good = goodness(part.filter("outlier is null") if pruning else part)
+    todo = good.filter(F.col("goodness") <= limit).select(*PART, position_pair(F.col("nus")).alias("pp")).filter("pp is not null")
+    keyed = join_parts(part, todo, "left").withColumns({"p1": F.col("pp.p1"), "p2": F.col("pp.p2")}).drop("pp")
+    keyed = keyed.withColumns({"v1": F.get("words", F.col("p1")), "v2": F.get("words", F.col("p2"))})
+    table = keyed.filter("p1 is not null").groupBy(*PART, "v1", "v2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    rel = relations(table, lower_bound) if static else relations_in_order(table, lower_bound)
     out = join_parts(keyed, rel.select(*PART, "v1", "v2", "s3_side"), "left", ["v1", "v2"])
-    return out.withColumn("s3_value", F.when(F.col("s3_side") == "v1", F.col("v1")).when(F.col("s3_side") == "v2", F.col("v2"))).drop("v1", "v2")
+    out = out.withColumn("s3_value", F.when(F.col("s3_side") == "v1", F.col("v1")).when(F.col("s3_side") == "v2", F.col("v2")))
+    if pruning:
+        parent, total = F.sum("n").over(Window.partitionBy(*PART)), F.sum("n").over(Window.partitionBy("chunk_id"))
+        few = F.col("s3_side").isNotNull() & _shares(out, [*PART, "s3_side", "s3_value"], parent, total, file_support, partition_support)
+        out = out.withColumn("outlier", F.when(few, "S3").otherwise(F.col("outlier")))
+    return out
 
 
-def leaf_id() -> Column:
-    """A readable, unique text of the leaf's keys."""
+def leaf_id(chunk: bool = True) -> Column:
+    """A readable, unique text of the leaf's keys; without ``chunk``, leaves of several chunks with equal keys share it."""
     part = lambda c: F.coalesce(F.to_json(F.struct(c)), F.lit("{}"))
-    return F.concat_ws("|", F.col("chunk_id").cast("string"), F.col("token_len").cast("string"), part("s2_pos"), part("s2_value"), part("s3_side"), part("s3_value"))
+    first = [F.col("chunk_id").cast("string")] if chunk else []
+    return F.concat_ws("|", *first, F.col("token_len").cast("string"), part("s2_pos"), part("s2_value"), part("s3_side"), part("s3_value"))
 
 
 def assignment(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """row_nr, leaf, token_len of every line with content."""
-    return lines.join(found.drop("n", "first"), ["chunk_id", "token_len", "words"]).withColumn("leaf", leaf_id())
+    """Every line with content, with its leaf.
+
+    A line finds its leaf by three tables of keys (the split position of its length, the compared positions of its part, the
+    side of its pair); lines aren't joined with token vectors.  ``found`` is read several times; if it is a written table, the planner
+    knows the sizes and broadcasts the small ones.
+    """
+    split = found.select("chunk_id", "token_len", "s2_pos", F.col("s2_value").isNotNull().alias("_split")).distinct()
+    places = found.filter("p1 is not null").select(*PART, "p1", "p2").distinct()
+    sides = found.filter("s3_side is not null").select(*PART, "v1", "v2", "s3_side").distinct()
+    out = lines.join(split, ["chunk_id", "token_len"])
+    out = out.withColumn("s2_value", F.when(F.col("_split"), F.get("words", F.col("s2_pos")))).drop("_split")
+    out = join_parts(out, places, "left").withColumns({"v1": F.get("words", F.col("p1")), "v2": F.get("words", F.col("p2"))})
+    out = join_parts(out, sides, "left", ["v1", "v2"])
+    out = out.withColumn("s3_value", F.when(F.col("s3_side") == "v1", F.col("v1")).when(F.col("s3_side") == "v2", F.col("v2")))
+    return out.drop("p1", "p2", "v1", "v2").withColumn("leaf", leaf_id())
 
 
 def leaf_summary(found: DataFrame) -> DataFrame:
-    keys = [*PART, "s3_side", "s3_value"]
-    return found.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-
-
-def pruned(summary: DataFrame, file_support: float, partition_support: float) -> DataFrame:
-    """Leaves with their share of all lines and of their token-count group, and whether they are outliers."""
-    total = F.sum("n").over(Window.partitionBy("chunk_id"))
-    parent = F.sum("n").over(Window.partitionBy("chunk_id", "token_len"))
-    out = summary.withColumns({"file_share": F.col("n") / total, "parent_share": F.col("n") / parent})
-    return out.withColumn("outlier", (F.col("file_share") < file_support) | (F.col("parent_share") < partition_support))
+    """One row per leaf: lines, first line, the steps that made it (``trace``) and whether it is an outlier."""
+    out = found.groupBy(*PART, "s3_side", "s3_value").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max(F.coalesce("outlier", F.lit(""))).alias("outlier"))
+    trace = F.concat(F.lit("S1 "), F.when(F.col("s2_value").isNotNull(), "S2 ").otherwise(""), F.when(F.col("s3_side").isNotNull(), "S3 ").otherwise(""))
+    return out.withColumns({"trace": trace, "outlier": F.nullif("outlier", F.lit(""))})
+
+
+def in_order(summary: DataFrame, saved: Saved | None = None) -> DataFrame:
+    """Leaves numbered by ``leaf_ord``: by the first line of their length, their part, then what stayed before the children, outliers last."""
+    by = lambda *keys: F.min("first").over(Window.partitionBy(*keys))
+    side = F.when(F.col("s3_side").isNull(), 0).when(F.col("s3_side") == "v1", 1).otherwise(2)
+    late = F.col("outlier").isNotNull()
+    keys = summary.select("*", late.alias("_late"), by("chunk_id", "token_len").alias("_a"), by(*PART).alias("_b"), side.alias("_c"))
+    order = ["chunk_id", "_late", "_a", "_b", "_c", "first"]
+    return row_index(keys, *map(F.col, order), saved=saved).drop("_late", "_a", "_b", "_c").withColumnRenamed("row_nr", "leaf_ord")
+
+
+def leaf_listing(assigned: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Every leaf's lines: leaf_ord, trace, token_len, n, outlier, row_nr and Content."""
+    keys = ordered.withColumn("leaf", leaf_id()).select("leaf", "leaf_ord", "trace", "n", "outlier")
+    return assigned.select("leaf", "token_len", "row_nr", "Content").join(keys, "leaf").drop("leaf")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,8 +11,23 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import text
 
-#: Takes lists of sample lines, returns a raw template for each (same order); None or an exception means no answer.
-Proposer = Callable[[list[list[str]]], list[str | None]]
+#: Takes lists of sample lines and returns for each a raw template, or (raw template, input tokens, output tokens).
+#: It is called with one list at a time; None or an exception means no answer.
+Proposer = Callable[[list[list[str]]], list]
+#: Prompt texts by name; ``{}`` is where the sample lines go.  The simple one asks for untyped slots.
+PROMPTS = {
+    "default": (
+        "These log lines come from one statement of a program. Write its template: copy what is fixed, and put a tag where a value "
+        "varies. Tags: <OID> an object's id, <LOI> a place, <OBN> an object's name, <TID> a type, <SID> a switch or number, <TDA> a time or date, "
+        "<CRS> a resource, <OBA> an amount, <STC> a status code, <OTP> anything else.\n"
+        "Example: 'Sent 17 bytes to node-3' and 'Sent 4 bytes to node-9' have the template 'Sent <OBA> bytes to <LOI>'.\n{}\nTemplate:"
+    ),
+    "no_example": (
+        "These log lines come from one statement of a program. Write its template: copy what is fixed, and put one of the tags "
+        "<OID>, <LOI>, <OBN>, <TID>, <SID>, <TDA>, <CRS>, <OBA>, <STC>, <OTP> where a value varies.\n{}\nTemplate:"
+    ),
+    "simple": "Write the template of these log lines, with <*> for each value that varies.\n{}\nTemplate:",
+}
 
 
 def sample(lines: DataFrame, keys: list[str], n: int, seed: int | None = None) -> DataFrame:
@@ -23,29 +39,35 @@ def sample(lines: DataFrame, keys: list[str], n: int, seed: int | None = None) -
     return lines.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def samples(lines: DataFrame, keys: list[str], n: int, seed: int | None = None, words: int = 0, few: int | None = None) -> DataFrame:
-    """Each group's sample lines, sorted, as one array of at most ``n``; with ``few`` also the ``few`` of lowest rank, as column few."""
+def samples(lines: DataFrame, keys: list[str], n: int, seed: int | None = None, words: int = 0) -> DataFrame:
+    """Each group's sample lines, sorted, as one array of at most ``n``."""
     line = text.truncated(F.col("Content"), words)
-    lists = {"samples": line} if few is None else {"samples": line, "few": F.when(F.col("rank") <= few, line)}
-    return sample(lines, keys, n, seed).groupBy(*keys).agg(*[F.array_sort(F.collect_list(c)).alias(k) for k, c in lists.items()])
+    return sample(lines, keys, n, seed).groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("samples"))
 
 
 def prompts(grouped: DataFrame, template: str) -> DataFrame:
     return grouped.withColumn("prompt", F.replace(F.lit(template), F.lit("{}"), F.array_join("samples", "\n")))
 
 
-def structural(found: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The offline proposer: tokens that are constant in a leaf stay, others become slots; separators of the first line are kept."""
-    at = found.select(*keys, F.posexplode("words").alias("pos", "token"))
-    constant = at.groupBy(*keys, "pos").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
-    flags = constant.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("lo") == F.col("hi")).alias("same")))).alias("flags"))
-    first = lines.groupBy(*keys).agg(F.min(F.struct("row_nr", "Content")).alias("first")).select(*keys, F.col("first.Content").alias("line"))
+def prompted(model: Callable[[str], object], prompt: str = "default") -> Proposer:
+    """A proposer that sends one of PROMPTS (or a text of one's own with ``{}``) to ``model``: prompt in, answer out."""
+    whole = PROMPTS.get(prompt, prompt)
+    return lambda lists: [model(whole.replace("{}", "\n".join(sorted(s)))) for s in lists]
+
+
+def structural(found: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """The offline proposer: tokens that are constant in a leaf stay, others become slots.
+
+    ``found``: words of each leaf's token vectors; ``firsts``: each leaf's first ``line``, whose separators are kept.
+    """
+    at = found.select(*keys, F.posexplode("words").alias("pos", "token")).withColumn("h", F.xxhash64("token"))
+    constant = at.groupBy(*keys, "pos").agg((F.min("h") == F.max("h")).alias("same"))
+    flags = constant.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "same"))), lambda x: x["same"]).alias("flags"))
     parts = F.regexp_extract_all("line", F.lit(r"(?U)[\s=:,]+|[^\s=:,]+"), F.lit(0))
     lead = F.when(F.get("parts", F.lit(0)).rlike(r"(?U)^[\s=:,]"), 1).otherwise(0)
-    built = F.transform(
-        "parts", lambda p, i: F.when(p.rlike(r"(?U)^[\s=:,]") | F.get("flags", ((i - F.col("lead")) / 2).cast("int"))["same"], p).otherwise(text.SLOT)
-    )
-    joined = null_safe_join(first, flags, keys).withColumn("parts", parts).withColumn("lead", lead)
+    kept = lambda i: F.get("flags", ((i - F.col("lead")) / 2).cast("int"))
+    built = F.transform("parts", lambda p, i: F.when(p.rlike(r"(?U)^[\s=:,]") | kept(i), p).otherwise(text.SLOT))
+    joined = null_safe_join(firsts, flags, keys, "left").withColumn("parts", parts).withColumn("lead", lead)
     return joined.select(*keys, F.array_join(built, "").alias("raw_template"))
 
 
@@ -58,24 +80,42 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, on, how).drop(*[f"_{k}" for k in keys])
 
 
-def ask(grouped: DataFrame, keys: list[str], proposer: Proposer, max_concurrent: int, shown: str = "samples") -> DataFrame:
-    """Raw templates from a callable that sees the lines in ``shown``, a batch of leaves at a time; a failed answer falls back to the first sample line."""
-    schema = grouped.schema.simpleString()[7:-1] + ",raw_template:string,failed:boolean"
+def _answer(proposer: Proposer, lines: list[str], seconds: float) -> tuple[str | None, int, int]:
+    """One call in a thread of its own; no answer after ``seconds``, or on any error, is None."""
+    got: list = []
+
+    def call() -> None:
+        try:
+            got.append(proposer([lines])[0])
+        except Exception:  # the service may fail in any way; the leaf then falls back
+            got.append(None)
+
+    worker = threading.Thread(target=call, daemon=True)
+    worker.start()
+    worker.join(seconds or None)
+    answer = got[0] if got else None
+    raw, sent, back = answer if isinstance(answer, tuple) else (answer, 0, 0)
+    return (raw if isinstance(raw, str) else None), int(sent or 0), int(back or 0)
+
+
+def ask(grouped: DataFrame, proposer: Proposer, max_concurrent: int, shown: str = "samples", seconds: float = 60.0) -> DataFrame:
+    """Raw templates from a callable that sees the lines in ``shown``, leaf by leaf; ``max_concurrent`` tasks call at a time.
+
+    A leaf without an answer in time falls back to its first line; ``failed``, input_tokens and output_tokens tell of each call.
+    """
+    schema = grouped.schema.simpleString()[7:-1] + ",raw_template:string,failed:boolean,input_tokens:bigint,output_tokens:bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lists = [list(s) for s in pdf[shown]]
-            try:
-                answers = proposer(lists)
-            except Exception:  # the service may fail in any way; every leaf of the batch then falls back
-                answers = [None] * len(lists)
-            yield pdf.assign(raw_template=[a if a is not None else s[0] for a, s in zip(answers, lists, strict=True)], failed=[a is None for a in answers])
+            told = [_answer(proposer, s, seconds) for s in lists]
+            raw = [a[0] if a[0] is not None else s[0] for a, s in zip(told, lists, strict=True)]
+            yield pdf.assign(raw_template=raw, failed=[a[0] is None for a in told], input_tokens=[a[1] for a in told], output_tokens=[a[2] for a in told])
 
-    return grouped.repartition(max_concurrent, *keys).mapInPandas(run, schema)
+    return grouped.repartition(max_concurrent).mapInPandas(run, schema)
 
 
 def call_totals(proposals: DataFrame) -> DataFrame:
     """Calls and tokens; calls that failed count."""
-    return proposals.agg(
-        F.count("*").alias("llm_calls"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens")
-    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return proposals.agg(F.count("*").alias("llm_calls"), total("input_tokens"), total("output_tokens"))

@@ -1,4 +1,4 @@
-"""Slot regexes from captured sample values, and the matcher that worker tasks run."""
+"""Slot regexes from captured sample values, and the compiled patterns that worker tasks run."""
 
 from __future__ import annotations
 
@@ -6,10 +6,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 
 from loglattice.functions.text import SLOT, SLOT_TYPES
 
+#: Seconds that one line may take to be captured; a line that takes longer is left out.
+CAPTURE_SECONDS = 1.0
+#: What isn't white space in Unicode's sense, as the JVM's patterns have it.
+_NO_BLANKS = r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
 
 def slot_regex(values: list[str], kind: str | None, trailing: bool) -> str:
     """The regex for a slot from its sample values, its semantic type, and whether it ends the template."""
@@ -28,21 +34,31 @@ def slot_regex(values: list[str], kind: str | None, trailing: bool) -> str:
 
 def compiled(template: str, slots: list[str] | None) -> re.Pattern:
     parts = template.split(SLOT)
-    slots = list(slots or ()) + [r"\S+"] * len(parts)
+    slots = [_NO_BLANKS if s is None or s == r"\S+" else s for s in [*(slots or ()), *[None] * len(parts)]]
     body = "".join(re.escape(p) + (f"({slots[i]})" if i < len(parts) - 1 else "") for i, p in enumerate(parts))
     return re.compile(body, re.S)
 
 
+def captures(template: str, lines: list[str], seconds: float = CAPTURE_SECONDS) -> list[tuple[str, ...]]:
+    """For each slot the values that it takes in the lines that fit, each slot as short as the literals allow."""
+    loose = regex.compile("(.+?)".join(map(regex.escape, template.split(SLOT))), regex.S)
+    rows = []
+    for line in lines:
+        try:
+            found = loose.fullmatch(line, timeout=seconds)
+        except TimeoutError:
+            continue
+        if found:
+            rows.append(found.groups())
+    return list(zip(*rows, strict=True)) or [()] * loose.groups
+
+
 def inferred(template: str, lines: list[str], kinds: list[str]) -> list[str]:
     """Regexes of a template's slots from sample lines."""
-    parts = template.split(SLOT)
-    if len(parts) == 1:
-        return []
-    loose = compiled(template, ["(?:.+?)"] * (len(parts) - 1))
-    found = [m.groups() for m in map(loose.fullmatch, lines) if m]
-    return [
-        slot_regex([g[i] for g in found], kinds[i] if i < len(kinds) else None, i == len(parts) - 2 and template.endswith(SLOT)) for i in range(len(parts) - 1)
-    ]
+    columns = captures(template, lines)
+    last = len(columns) - 1 if template.endswith(SLOT) else -1
+    named = [*kinds, *[None] * len(columns)]
+    return [slot_regex(list(values), named[i], i == last) for i, values in enumerate(columns)]
 
 
 def infer(proposals: DataFrame) -> DataFrame:

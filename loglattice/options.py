@@ -8,17 +8,22 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Options:
     content_col: str = "Content"
-    chunk_size: int = 1_000_000  # larger than for one machine: chunks only bound the catalogue's growth steps
-    sample_n: int = 10
-    infer_n: int = 50
+    chunk_size: int = 1_000_000  # lines that are partitioned together; larger than for one machine
+    sample_n: int = 10  # lines that a proposer sees
+    infer_n: int = 50  # lines that slot regexes are inferred from (at least sample_n)
     repool_passes: int = 2
     template_correction: bool = True
     infer_slot_regexes: bool = True
     singleton_fallback: bool = True
     goodness: float = 0.3  # a partition with a larger share of constant positions is a leaf
     lower_bound: float = 0.25
-    file_support: float = 0.0
-    partition_support: float = 0.0
+    file_support: float = 0.0  # partitions with a smaller share of their chunk aren't split further
+    partition_support: float = 0.0  # nor those with a smaller share of their parent
     max_words: int = 0  # of a sampled line; 0 is off
-    max_concurrent: int = 3
-    max_pairs: int = 1_000_000  # larger pair tables take the static split
+    max_concurrent: int = 3  # calls of the proposer at a time
+    timeout: float = 60.0  # seconds for one call; 0 is off
+    prompt: str = "default"  # a name or a text, see operators.propose
+
+    def __post_init__(self) -> None:
+        if self.prompt == "simple":  # its slots have no types to infer from
+            object.__setattr__(self, "infer_slot_regexes", False)

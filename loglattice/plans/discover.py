@@ -1,20 +1,31 @@
-"""Discover templates: match, partition what is left, propose, validate, repool, and finish single lines."""
+"""Discover templates: match, partition what is left, propose, reconcile in order, repool, and finish single lines.
+
+Chunks are worked on in waves of 1, 2, 4, … chunks, so the catalogue grows from wave to wave and a log of n chunks takes about
+log2(n) waves.  Lines are matched first; only what no entry matches is partitioned, chunk by chunk, and leaves of several chunks of a
+wave that have the same keys are one leaf: the proposer is asked once for it.
+
+Lines are never shuffled: a line finds its leaf by small tables of keys, and proposals come from distinct token vectors and a few
+sampled lines.  What is decided (proposals, kept entries, matches) is written to the shared folder, so a proposer isn't asked again
+when an executor is lost.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import text
 from loglattice.operators import catalogue as cat
 from loglattice.operators import partition, propose, slots
 from loglattice.options import Options
+from loglattice.sources.io import Saved, row_index
 
-LEAF = ["leaf"]
+#: Each reconcile numbers its entries from a multiple of this.
+_STEP = 1 << 40
+_KEYS = ["token_len", "s2_pos", "s2_value", "s3_side", "s3_value"]
 
 
 @dataclass(frozen=True)
@@ -22,91 +33,167 @@ class Discovery:
     result: DataFrame
     catalogue: DataFrame
     stats: DataFrame
+    matched: DataFrame  # as result, with row_nr instead of event ids
+
+
+@dataclass
+class _Run:
+    options: Options
+    proposer: propose.Proposer | None
+    saved: Saved
+    known: DataFrame | None = None
+    next_seq: int = 0
+    parts: list[DataFrame] = field(default_factory=list)
+    asked: list[int] = field(default_factory=lambda: [0, 0, 0])  # calls, tokens sent, tokens back
+
+
+def _leaves(run: _Run, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Token vectors with their leaf, and the leaves in their order (insert_seq)."""
+    o = run.options
+    vec = run.saved(partition.vectors(lines))
+    found = run.saved(partition.leaves(vec, o.goodness, o.lower_bound, False, o.file_support, o.partition_support))
+    one = partition.leaf_summary(found).groupBy(*_KEYS).agg(
+        F.min("chunk_id").alias("chunk_id"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("outlier").alias("outlier")
+    )
+    order = partition.in_order(one, run.saved)
+    return found, order.select(*_KEYS, F.col("first").alias("start"), (F.col("leaf_ord") + run.next_seq).alias("insert_seq"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the cluster's shared folder: proposals must not be asked for twice."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loglattice-")
-    path = f"{folder.rstrip('/')}/pass-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def proposals(lines: DataFrame, options: Options, proposer: propose.Proposer | None, step: int) -> DataFrame:
-    """One finished template per leaf of ``lines``, with slot types and regexes, that matches a line of its own leaf."""
-    tokens = partition.tokenise(lines)
-    found = partition.leaves(tokens, options.goodness, options.lower_bound, static=False, max_pairs=options.max_pairs)
-    assigned = saved(partition.assignment(tokens, found).select("row_nr", "Content", "words", "leaf"))
-    samples = propose.samples(assigned, LEAF, max(options.sample_n, options.infer_n), 42, options.max_words, options.sample_n)
-    if proposer is None:
-        raw = propose.structural(assigned.select("leaf", "words").distinct(), assigned, LEAF)
-        asked = samples.join(raw, "leaf").withColumn("failed", F.lit(False))
-    else:
-        asked = propose.ask(samples, LEAF, proposer, options.max_concurrent, "few")
-    done = asked.withColumns(
-        {"template": text.finish(F.col("raw_template"), options.template_correction), "slot_types": text.slot_types(F.col("raw_template"))}
+def _sampled(run: _Run, lines: DataFrame, own: DataFrame) -> DataFrame:
+    """Each leaf's first line, its sampled lines (``samples``) and those that a proposer sees (``few``).
+
+    ``own``: token vectors with insert_seq.  Lines are drawn in a random order (by a hash of the row number), one of each token vector.
+    """
+    o = run.options
+    own = own.select("insert_seq", "pick", F.col("first").alias("row_nr"), "start")
+    rank = F.row_number().over(Window.partitionBy("insert_seq").orderBy("pick", "row_nr"))
+    drawn = own.withColumn("rank", rank).filter(F.col("rank") <= max(o.sample_n, o.infer_n)).select("insert_seq", "row_nr", "rank")
+    begin = own.filter("row_nr = start").select("insert_seq", "row_nr", F.lit(None).cast("int").alias("rank"))
+    wanted = run.saved(drawn.unionByName(begin))
+    got = lines.select("row_nr", "Content").join(wanted, "row_nr")
+    return got.groupBy("insert_seq").agg(
+        F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.col("Content")))).alias("samples"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= o.sample_n, text.truncated(F.col("Content"), o.max_words)))).alias("few"),
+        F.array_min(F.collect_list(F.when(F.col("rank").isNull(), F.col("Content")))).alias("line"),
     )
-    if options.infer_slot_regexes:
-        done = slots.infer(done)
+
+
+def _entries(run: _Run, asked: DataFrame, infer: bool) -> DataFrame:
+    """Catalogue entries of raw proposals, written; counts calls and tokens."""
+    done = asked.withColumns({"template": text.finish(F.col("raw_template"), run.options.template_correction), "slot_types": text.slot_types(F.col("raw_template"))})
+    done = slots.infer(done) if infer else done.withColumn("slot_regexes", F.lit(None).cast("array<string>"))
+    tokens = [c for c in ("input_tokens", "output_tokens") if c in done.columns]
+    out = run.saved(cat.entries(done.select("insert_seq", "template", "slot_types", "slot_regexes", *tokens)))
+    if tokens:
+        run.asked = [a + b for a, b in zip(run.asked, propose.call_totals(out).first(), strict=True)]
+    return out.drop(*tokens)
+
+
+def _reconcile(run: _Run, lines: DataFrame, new: DataFrame) -> DataFrame:
+    """Match lines (with their own leaf's insert_seq) with ``new`` entries, leaf by leaf in order; what is left.
+
+    A line takes the best of the entries kept from earlier leaves, else its own leaf's; an entry is kept if a line takes it as its own.
+    """
+    kept = run.saved(cat.kept(lines, new, "own", run.saved))
+    run.next_seq += _STEP
+    done = run.saved(cat.match(lines, kept, "own", keep_entry=True).drop("own"))
+    run.parts.append(done.filter("EventTemplate is not null"))
+    run.known = kept if run.known is None else run.saved(run.known.select(*kept.columns).unionByName(kept))
+    return done.filter("EventTemplate is null").select(*[c for c in done.columns if c not in dict(cat.FOUND)])
+
+
+def _known(run: _Run, lines: DataFrame) -> DataFrame:
+    """Match lines with what is known; what is left."""
+    if run.known is None:
+        return lines
+    done = run.saved(cat.match(lines, run.known, keep_entry=True))
+    run.parts.append(done.filter("EventTemplate is not null"))
+    return done.filter("EventTemplate is null").select(*lines.columns)
+
+
+def _round(run: _Run, lines: DataFrame) -> DataFrame:
+    """Propose a template for each leaf of ``lines`` and match them; what is left."""
+    o, tokens = run.options, partition.tokenise(lines)
+    found, leaves = _leaves(run, tokens)
+    own = propose.null_safe_join(found, leaves, _KEYS)
+    grouped = _sampled(run, lines, own)
+    if run.proposer is None:
+        grouped = run.saved(grouped)
+        asked = grouped.join(propose.structural(own.select("insert_seq", "words"), grouped.select("insert_seq", "line"), ["insert_seq"]), "insert_seq")
     else:
-        done = done.withColumn("slot_regexes", F.lit(None).cast("array<string>"))
-    ranked = cat.entries(done.drop("samples", "few").withColumn("insert_seq", F.lit(step).cast("long")))
-    own = assigned.join(ranked.select("leaf", "pattern"), "leaf").filter(F.expr("Content rlike pattern")).select("leaf").distinct()
-    kept = saved(ranked.join(own, "leaf", "left_semi"))
-    return cat.distinct(kept)
-
-
-def singles(lines: DataFrame, options: Options, proposer: propose.Proposer | None, step: int) -> DataFrame:
-    """An entry for each distinct text of ``lines``, proposed for that line alone, where it matches the line."""
-    alone = lines.filter("Content is not null").select("Content").distinct().withColumn("samples", F.array("Content"))
-    if proposer is None:
-        asked = alone.withColumn("raw_template", F.col("Content"))
+        asked = propose.ask(grouped, run.proposer, o.max_concurrent, "few", o.timeout)
+    new = _entries(run, asked, o.infer_slot_regexes)
+    keyed = propose.null_safe_join(partition.assignment(tokens, found), leaves.select(*_KEYS, F.col("insert_seq").alias("own")), _KEYS)
+    return _reconcile(run, keyed.select(*lines.columns, "own"), new)
+
+
+def _singles(run: _Run, lines: DataFrame) -> DataFrame:
+    """Propose a template for each distinct text of ``lines`` alone and match them, first lines first; what is left."""
+    texts = lines.groupBy("Content").agg(F.min("row_nr").alias("first"))
+    texts = row_index(texts, F.col("first"), saved=run.saved).select("Content", (F.col("row_nr") + run.next_seq).alias("insert_seq"))
+    if run.proposer is None:
+        asked = texts.withColumn("raw_template", F.col("Content"))
     else:
-        asked = propose.ask(alone, ["Content"], proposer, options.max_concurrent)
-    done = asked.select("Content", text.finish(F.col("raw_template"), options.template_correction).alias("template"), text.slot_types(F.col("raw_template")).alias("slot_types"))
-    return saved(cat.entries(done.withColumn("insert_seq", F.lit(step).cast("long"))).filter(F.expr("template <> '' and Content rlike pattern")))
+        asked = propose.ask(texts.withColumn("samples", F.array("Content")), run.proposer, run.options.max_concurrent, seconds=run.options.timeout)
+    new = _entries(run, asked, False)
+    return _reconcile(run, lines.join(texts.withColumnRenamed("insert_seq", "own"), "Content").select(*lines.columns, "own"), new)
+
+
+def _waves(low: int | None, high: int | None):
+    size = 1
+    while low is not None and low <= high:
+        yield low, min(low + size - 1, high)
+        low, size = low + size, 2 * size
 
 
 def discover(logs: DataFrame, options: Options = Options(), proposer: propose.Proposer | None = None, seed: DataFrame | None = None) -> Discovery:  # noqa: B008
-    """Templates of ``logs`` (row_nr, Content, maybe LineId).
+    """Templates of ``logs`` (the text column, maybe row_nr, LineId and chunk_id), with ``seed`` as what is known before.
 
-    Leaves of a pass are proposed together and lines take the best entry of the whole catalogue (the order-free form
-    of reconciling), so the result doesn't depend on how rows are dealt out.
+    Without a proposer the structural one is used.  Null texts are in the result, without a template and uncounted.
     """
-    columns = [c for c in ("row_nr", "LineId", "Content", "chunk_id") if c in logs.columns]
-    base = partition.chunked(logs, options.chunk_size) if "chunk_id" not in logs.columns else logs
-    known = seed
-    left, parts = base.select(*dict.fromkeys([*columns, "chunk_id"])), []
-    if known is not None:
-        first = saved(cat.match(left, known))
-        parts.append(first.filter("EventTemplate is not null"))
-        left = first.filter("EventTemplate is null").select(*left.columns)
-    for step in range(options.repool_passes + 1):
-        new = proposals(left, options, proposer, step)
-        known = new if known is None else cat.distinct(known.select(*new.columns).unionByName(new))
-        known = saved(known)
-        done = saved(cat.match(left, known))
-        parts.append(done.filter("EventTemplate is not null"))
-        left = done.filter("EventTemplate is null").select(*left.columns)
-        if left.filter("Content is not null").isEmpty():
-            break
-    if options.singleton_fallback and not left.filter("Content is not null").isEmpty():
-        found = singles(left, options, proposer, options.repool_passes + 1)
-        single = left.join(found.withColumnRenamed("template", "EventTemplate"), "Content", "left")
-        groups = F.transform(F.sequence(F.lit(1), F.greatest("n_slots", F.lit(1))), lambda i: F.call_function("regexp_extract", F.col("Content"), F.col("pattern"), i))
-        params = F.when(F.col("n_slots") > 0, groups).otherwise(F.array().cast("array<string>"))
-        parts.append(single.filter("EventTemplate is not null").select(*left.columns, "EventTemplate", params.alias("ParameterList"), F.col("slot_types").alias("SlotTypes")))
-        left = saved(single.filter("EventTemplate is null").select(*left.columns))
-        new = cat.distinct(found)
-        known = saved(cat.distinct(known.select(*new.columns).unionByName(new)))
-        if not left.filter("Content is not null").isEmpty():
-            done = saved(cat.match(left, new))
-            parts.append(done.filter("EventTemplate is not null"))
-            left = done.filter("EventTemplate is null").select(*left.columns)
-    null = [F.lit(None).cast(t).alias(c) for c, t in (("EventTemplate", "string"), ("ParameterList", "array<string>"), ("SlotTypes", "array<string>"))]
-    every = left.select(*left.columns, *null)
-    for p in parts:
-        every = every.unionByName(p)
-    every = saved(every)
-    return Discovery(cat.result(every), cat.counted(known.withColumn("match_frequency", F.lit(0).cast("long")), every), cat.run_stats(every))
+    start = time.monotonic()
+    run = _Run(options, proposer, Saved(logs.sparkSession))
+    base = logs.withColumnRenamed(options.content_col, "Content")
+    base = row_index(base.select(*[c for c in ("row_nr", "LineId", "Content", "chunk_id") if c in base.columns]), saved=run.saved)
+    chunk = F.col("chunk_id") if "chunk_id" in base.columns else F.floor(F.col("row_nr") / options.chunk_size).cast("long")
+    columns = [c for c in ("row_nr", "LineId", "Content") if c in base.columns]
+    lines = base.select(*columns, chunk.alias("chunk_id"))
+    if seed is not None:
+        numbered = row_index(cat.distinct(seed), *cat.insertion(), saved=run.saved)
+        run.known = run.saved(numbered.drop("insert_seq").withColumnRenamed("row_nr", "insert_seq"))
+        run.next_seq = _STEP
+    cores = logs.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < cores:  # a small table in few files: all cores get a part of it
+        lines = run.saved(lines.repartition(cores))
+    noise = []
+    whole = lines.filter("Content is not null")
+    for low, high in _waves(*whole.agg(F.min("chunk_id"), F.max("chunk_id")).first()):
+        # rows, not chunk numbers, are filtered where they can be: files outside a wave's rows aren't read
+        bound = F.col("chunk_id").between(low, high) if "chunk_id" in base.columns else F.col("row_nr").between(low * options.chunk_size, (high + 1) * options.chunk_size - 1)
+        left = whole.filter(bound)
+        for step in range(options.repool_passes + 1):
+            if step and left.isEmpty():
+                break
+            left = _known(run, left)
+            if left.isEmpty():
+                break
+            left = _round(run, left)
+        if options.singleton_fallback and not left.isEmpty():
+            left = _known(run, left)
+            left = left if left.isEmpty() else _singles(run, left)
+        noise.append(left)
+    rest = None
+    for left in noise:
+        rest = left if rest is None else rest.unionByName(left)
+    if rest is not None and run.known is not None and len(noise) > 1 and not rest.isEmpty():
+        rest = _known(run, rest)
+    null = [F.lit(None).cast(t).alias(c) for c, t in cat.FOUND]
+    every = lines.filter("Content is null").select("*", *null)
+    for p in [*run.parts, *([rest.select("*", *null)] if rest is not None else [])]:
+        every = every.unionByName(p.select(*every.columns))
+    found = run.saved(every.drop("chunk_id"))
+    known = run.known if run.known is not None else cat.entries(logs.sparkSession.createDataFrame([], "template string"))
+    totals = dict(zip(("llm_calls", "input_tokens", "output_tokens"), run.asked, strict=True))
+    stats = cat.run_stats(found).withColumns({k: F.lit(v).cast("long") for k, v in totals.items()}).withColumn("total_time", F.lit(time.monotonic() - start))
+    run.saved.clear(found, known)
+    return Discovery(cat.result(found), cat.counted(known, found), stats, found)

@@ -29,16 +29,49 @@ def _vec(s: SparkSession, d: str) -> DataFrame:
     return partition.s2(partition.vectors(_lines(s, d)))
 
 
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return partition.pair_table(_vec(s, d), partition.goodness(_vec(s, d)), 0.3)
+def _leaves(s: SparkSession, d: str, static: bool = True, **support: float) -> DataFrame:
+    return partition.leaves(partition.vectors(_lines(s, d)), static=static, **support)
 
 
-def _leaves(s: SparkSession, d: str, static: bool = True) -> DataFrame:
-    return partition.leaves(_lines(s, d), static=static)
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    found = _leaves(s, d).filter("p1 is not null")
+    return found.groupBy(*PARTS, "v1", "v2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
-    return partition.assignment(_lines(s, d), _leaves(s, d))
+    return partition.assignment(_lines(s, d), io.Saved(s)(_leaves(s, d)))
+
+
+def _outliers(s: SparkSession, d: str) -> DataFrame:
+    """Leaves of the customer lines under both support limits."""
+    return partition.leaf_summary(_leaves(s, d, file_support=0.004, partition_support=0.06)).select("chunk_id", "s2_value", "s3_side", "s3_value", "n", "outlier")
+
+
+def _proposed(s: SparkSession, d: str) -> DataFrame:
+    """Structural proposals of the customer leaves."""
+    found = _leaves(s, d).withColumn("leaf", partition.leaf_id())
+    first = found.groupBy("leaf").agg(F.min("first").alias("row_nr")).join(views.customers(s, d), "row_nr").select("leaf", F.col("Content").alias("line"))
+    return propose.structural(found.select("leaf", "words"), first, ["leaf"]).select("raw_template")
+
+
+def _kind(line: str) -> str:
+    """A stand-in for a model: knows the event log, but for its errors."""
+    first = line.split(" ")[0]
+    known = {"Click": "Click by user <OID> on widget:<OID> ok", "Order": "Order <OTP> total=<OBA> cents", "View": "View page <SID> by user <OID> now"}
+    return known.get(first, line if first == "New" else None)
+
+
+def _with_proposer(s: SparkSession, d: str):
+    """Discovery with a proposer that has no answer for error lines; leaves and then single lines fall back to themselves."""
+    return discover(views.logs(s, d).select("row_nr", "LineId", "Content"), Options(chunk_size=400), lambda lists: [(_kind(x[0]), 10, 3) for x in lists])
+
+
+def _ordered(s: SparkSession, d: str) -> DataFrame:
+    """Reconcile of event lines whose leaves have entries that also match lines of later leaves."""
+    lines = views.logs(s, d).select("row_nr", "Content", F.expr(views.OWN).alias("own"))
+    rows = [("View page 1 by user <*> now", 1), ("View page <*> by user <*> now", 2), ("View <*> <*> by user <*> now", 3), ("Click by user <*> on widget:<*> ok", 4), ("Error code 7: retry in <*> s", 5)]
+    new = cat.entries(s.createDataFrame(rows, "template string, insert_seq long"))
+    return cat.match(lines, cat.kept(lines, new, "own", io.Saved(s)), "own").select("row_nr", "EventTemplate")
 
 
 def _true_catalogue(s: SparkSession, d: str) -> DataFrame:
@@ -57,7 +90,7 @@ def _stream(s: SparkSession, d: str, step) -> DataFrame:
     """Run a streaming query over the events as a source; returns what it wrote."""
     import uuid
 
-    folder = f"{(s.conf.get('spark.checkpoint.dir', None) or '/tmp/loglattice').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{io.shared_folder(s)}/stream-{uuid.uuid4().hex}"
     schema = s.read.parquet(f"{d}/events.parquet").schema
     source = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     frame = source.select(F.col("event_id").cast("long").alias("row_nr"), F.col("event_id").cast("long").alias("LineId"), F.expr(views.CONTENT).alias("Content"))
@@ -97,7 +130,8 @@ def queries() -> dict[str, Query]:
         "tokenise": lambda s, d: views.logs(s, d).select("row_nr", F.array_join(text.tokens(F.col("Content")), "|").alias("words"), F.size(text.tokens(F.col("Content"))).cast("long").alias("token_len")),
         "token_count_sizes": lambda s, d: partition.sizes(partition.tokenise(views.logs(s, d))).select(F.col("token_len").cast("long").alias("token_len"), "n"),
         "chunk_assignment": lambda s, d: partition.chunked(views.logs(s, d), 5000).groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("row_nr").alias("lo"), F.max("row_nr").alias("hi")),
-        "row_index": lambda s, d: io.row_index(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), F.col("o_orderkey")).select("o_orderkey", "row_nr"),
+        "row_index": lambda s, d: io.row_index(s.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")),
+        "row_index_in_place": lambda s, d: io.row_index(s.read.parquet(f"{d}/orders.parquet")).agg(F.count_distinct("row_nr").alias("numbers"), F.min("row_nr").alias("lo"), F.max("row_nr").alias("hi"), F.count_distinct("o_orderkey").alias("keys")),
         "position_cardinality": lambda s, d: partition.cardinality(partition.vectors(_lines(s, d)), ["chunk_id", "token_len"]).select("chunk_id", F.col("token_len").cast("long").alias("token_len"), F.col("pos").cast("long").alias("pos"), "nu"),
         "split_position": lambda s, d: partition.split_position(partition.cardinality(partition.vectors(_lines(s, d)), ["chunk_id", "token_len"]), ["chunk_id", "token_len"]).select("chunk_id", F.col("s2_pos").cast("long").alias("s2_pos"), "min_nu"),
         "s2_partitions": lambda s, d: partition.s2(partition.vectors(partition.tokenise(views.logs(s, d)))).groupBy("token_len", "s2_value").agg(F.sum("n").alias("n")).select(F.col("token_len").cast("long").alias("token_len"), "s2_value", "n"),
@@ -108,11 +142,13 @@ def queries() -> dict[str, Query]:
         "s3_static_leaves": lambda s, d: _assigned(s, d).select("row_nr", "s2_value", "s3_side", "s3_value"),
         "s3_sequential_leaves": lambda s, d: partition.leaf_summary(_leaves(s, d, static=False)),
         "leaf_summary": lambda s, d: partition.leaf_summary(_leaves(s, d)).select("chunk_id", "s3_side", "s3_value", "n", "first"),
-        "support_pruning": lambda s, d: partition.pruned(partition.leaf_summary(_leaves(s, d)), 0.01, 0.02).select("chunk_id", "s3_value", F.round("file_share", 9).alias("file_share"), "outlier"),
+        "support_pruning": _outliers,
+        "leaf_order": lambda s, d: partition.in_order(partition.leaf_summary(_leaves(s, d))).select("leaf_ord", "chunk_id", "s3_side", "s3_value", "trace", "n"),
+        "leaf_listing": lambda s, d: partition.leaf_listing(_assigned(s, d), partition.in_order(partition.leaf_summary(_leaves(s, d)))).select("leaf_ord", "row_nr", "Content"),
         "leaf_sample": lambda s, d: propose.sample(_assigned(s, d), ["leaf"], 3).select("row_nr", "s3_value", F.col("rank").cast("long").alias("rank")),
         "truncate_lines": lambda s, d: _messy(s, d).select("doc_id", F.col("place").cast("long").alias("place"), text.truncated(F.col("Content"), 5).alias("head")),
         "prompt_text": lambda s, d: propose.prompts(propose.samples(partition.tokenise(views.logs(s, d)), ["token_len"], 10), PROMPT).select(F.col("token_len").cast("long").alias("token_len"), "prompt"),
-        "structural_proposals": lambda s, d: propose.structural(_assigned(s, d), _assigned(s, d), ["leaf"]).select("raw_template"),
+        "structural_proposals": _proposed,
         "slot_types": lambda s, d: _raw(s, d).select("id", F.array_join(text.slot_types(F.col("raw")), ",").alias("kinds")),
         "placeholder_normalise": lambda s, d: _raw(s, d).select("id", text.placeholders(F.col("raw")).alias("template")),
         "correct_templates": lambda s, d: views.logs(s, d).select("LineId", text.correct(F.col("Content")).alias("template")),
@@ -123,7 +159,8 @@ def queries() -> dict[str, Query]:
         "match_catalogue": lambda s, d: _matched(s, d).select("row_nr", "EventTemplate", text.listed(F.col("ParameterList")).alias("ParameterList")),
         "match_counts": lambda s, d: cat.counts(_matched(s, d)),
         "catalogue_listing": lambda s, d: cat.listing(cat.counted(_true_catalogue(s, d), _matched(s, d))).select("template", "match_frequency"),
-        "validate_proposals": lambda s, d: views.logs(s, d).join(_true_catalogue(s, d), F.col("EventTemplate") == F.col("template")).groupBy("template").agg(F.count_if(F.expr("Content rlike pattern")).alias("matched"), F.count_if(~F.expr("Content rlike pattern")).alias("unmatched")),
+        "validate_proposals": lambda s, d: cat.kept(views.logs(s, d).select("Content", F.expr(views.OWN).alias("own")), cat.entries(s.createDataFrame([("View page <*> by user <*> now", 1), ("View <*>", 2), ("Click by user <*> on widget:<*> ok", 4)], "template string, insert_seq long")), "own", io.Saved(s)).select(F.col("insert_seq").alias("own")),
+        "ordered_reconcile": _ordered,
         "event_ids": lambda s, d: cat.event_ids(views.logs(s, d)),
         "result_table": lambda s, d: cat.result(_matched(s, d)).select("LineId", "EventId", "Content", "EventTemplate"),
         "noise_rows": lambda s, d: cat.match(views.logs(s, d).select("row_nr", "LineId", "Content"), _true_catalogue(s, d).filter("template not like 'View%'")).filter("EventTemplate is null").select("LineId", "Content"),
@@ -134,9 +171,12 @@ def queries() -> dict[str, Query]:
         "template_metrics": lambda s, d: evaluate.templates(_metrics(s, d)).select("dataset", "n_gt_templates", "n_pred_templates", "exact_template_matches", F.round("template_f1", 9).alias("template_f1")),
         "per_template_pa": lambda s, d: evaluate.per_template(_metrics(s, d)).withColumn("pa", F.round("pa", 9)),
         "worst_templates": lambda s, d: evaluate.per_template(_metrics(s, d)).filter("pa < 1").select("dataset", "gt_template"),
-        "dataset_summary": lambda s, d: evaluate.summary(views.truth(s, d), views.predicted(s, d)).select("dataset", F.round("GA", 9).alias("GA"), F.round("PA", 9).alias("PA"), "n_gt_templates"),
+        "dataset_summary": lambda s, d: evaluate.summary(views.truth(s, d), views.predicted(s, d)).select("dataset", *[F.round(c, 9).alias(c) for c in ("GA", "FGA", "PA", "template_precision", "template_recall", "template_f1")], "n_gt_templates", "n_pred_templates", "exact_template_matches"),
         "chunk_size_rule": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.chunk_size(F.col("o_orderkey") * 1000).alias("chunk_size")),
-        "messy_token_counts": lambda s, d: _messy(s, d).select(F.size(F.regexp_extract_all("Content", F.lit(r"[^\s=:,]+"), F.lit(0))).cast("long").alias("token_len")).groupBy("token_len").agg(F.count("*").alias("n")),
+        "messy_token_counts": lambda s, d: _messy(s, d).select(F.size(text.tokens(F.col("Content"))).cast("long").alias("token_len")).groupBy("token_len").agg(F.count("*").alias("n")),
+        "discover_proposer": lambda s, d: _with_proposer(s, d).result.select("LineId", "Content", "EventTemplate", text.listed(F.col("SlotTypes")).alias("SlotTypes")),
+        "singleton_fallback": lambda s, d: discover(views.logs(s, d).select("row_nr", "LineId", "Content"), Options(repool_passes=-1)).catalogue.select("template", "match_frequency"),
+        "call_totals": lambda s, d: _with_proposer(s, d).stats.select((F.col("llm_calls") > 0).alias("called"), (F.col("input_tokens") / F.col("llm_calls")).alias("sent"), (F.col("output_tokens") / F.col("llm_calls")).alias("back"), "matched", "noise"),
         "discover": flagship,
         "apply_stream": _apply_stream,
         "discover_stream": _discover_stream,
@@ -158,11 +198,11 @@ def _duck(c: str) -> str:
     x = rf"array_to_string(list_transform({parts(x, m)}, lambda t: CASE WHEN regexp_full_match(t, '\d+') OR (contains(t, '<*>') AND NOT regexp_matches(t, '[\s/]')) THEN '<*>' ELSE t END), '')"
     sub = lambda e, p: rf"regexp_replace({e}, '{p}', '<*>', 'g')"
     x = sub(sub(x, r"<\*>(?:\.<\*>)+"), r"(?:<\*>){2,}")
-    bare = lambda e, a, b, p: f"array_to_string(list_transform(string_split({e}, ' '), lambda t, i: CASE WHEN i > 1 AND i < len(string_split({e}, ' ')) AND t IN ({p}) THEN '<*>' ELSE t END), ' ')"
-    x = bare(x, 0, 0, "'#<*>#', '#<*>'")
+    bare = lambda e, p: f"array_to_string(list_transform(string_split({e}, ' '), lambda t, i: CASE WHEN i > 1 AND i < len(string_split({e}, ' ')) AND t IN ({p}) THEN '<*>' ELSE t END), ' ')"
+    x = bare(x, "'#<*>#', '#<*>'")
     for j in (":", "#", "/", "@", r"\."):
         x = sub(x, rf"<\*>(?:{j}<\*>)+")
-    x = bare(x, 0, 0, "'\"<*>\"', '''<*>'''")
+    x = bare(x, "'\"<*>\"', '''<*>'''")
     return sub(sub(x, r"(?:<\*>){2,}"), r"<\*>(?: <\*>){4,}")
 
 
@@ -177,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
     tags = "OID|LOI|OBN|TID|SID|TDA|CRS|OBA|STC|OTP"
     holes = f"replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(raw, '<({tags})>', '<*>', 'g'), '<*>', chr(1)), '\\{{[^}}]+\\}}', chr(1), 'g'), '<[^>]+>', chr(1), 'g'), '<[^>]*>', chr(1), 'g'), chr(1), '<*>')"
     true_cat = "cat AS (SELECT DISTINCT EventTemplate AS template FROM logs)"
-    pat = lambda c: f"concat('(?s)^', array_to_string(list_transform(string_split({c}, '<*>'), lambda p: {_esc('p')}), '(\\S+)'), '\\z')"
+    pat = lambda c, flags="s": f"concat('(?{flags})^', array_to_string(list_transform(string_split({c}, '<*>'), lambda p: {_esc('p')}), '(\\S+)'), '\\z')"
     ids = "ids AS (SELECT EventTemplate, concat('E', row_number() OVER (ORDER BY EventTemplate)) AS EventId FROM (SELECT DISTINCT EventTemplate FROM logs))"
     lines = "lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS place, unnest(l) AS Content FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
     good = "g0 AS (SELECT dataset, gt, pred, n, count(*) OVER (PARTITION BY dataset, pred) AS gts FROM pairs), g1 AS (SELECT dataset, gt, sum(n) AS n, (gt IS NOT NULL AND count(*) = 1 AND bool_and(pred IS NOT NULL AND gts = 1)) AS good FROM g0 GROUP BY dataset, gt)"
@@ -189,7 +229,8 @@ def oracle_sql() -> dict[str, str]:
         "tokenise": f"{logs} SELECT row_nr, array_to_string({words}, '|') AS words, cast(len({words}) AS bigint) AS token_len FROM logs",
         "token_count_sizes": f"{logs} SELECT cast(len({words}) AS bigint) AS token_len, count(*) AS n FROM logs GROUP BY ALL",
         "chunk_assignment": f"{logs} SELECT cast(floor(row_nr / 5000) AS bigint) AS chunk_id, count(*) AS n, min(row_nr) AS lo, max(row_nr) AS hi FROM logs GROUP BY ALL",
-        "row_index": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_nr FROM orders",
+        "row_index": "SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_nr FROM orders",
+        "row_index_in_place": "SELECT count(*) AS numbers, cast(0 AS bigint) AS lo, count(*) - 1 AS hi, count(DISTINCT o_orderkey) AS keys FROM orders",
         "position_cardinality": f"{cust} SELECT chunk_id, token_len, pos, nu FROM cards",
         "split_position": f"{cust} SELECT chunk_id, s2_pos, min_nu FROM split",
         "s2_partitions": f"{logs}, t AS (SELECT {words} AS w FROM logs), c AS (SELECT n, p, count(DISTINCT k) AS nu FROM (SELECT len(w) AS n, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS k FROM t) GROUP BY ALL), s AS (SELECT n, min(nu) AS m, arg_min(p, nu * 1000 + p) AS p FROM c GROUP BY ALL) SELECT cast(len(w) AS bigint) AS token_len, CASE WHEN m > 1 THEN w[p + 1] END AS s2_value, count(*) AS n FROM t JOIN s ON len(w) = s.n GROUP BY ALL",
@@ -199,7 +240,9 @@ def oracle_sql() -> dict[str, str]:
         "pair_relation": f"{cust} SELECT chunk_id, v1, v2, c1, c2, s3_side FROM rel",
         "s3_static_leaves": f"{cust} SELECT row_nr, s2_value, s3_side, s3_value FROM leaf",
         "leaf_summary": f'{cust} SELECT chunk_id, s3_side, s3_value, count(*) AS n, min(row_nr) AS "first" FROM leaf GROUP BY chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value',
-        "support_pruning": f"{cust}, u AS (SELECT chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value, count(*) AS n FROM leaf GROUP BY ALL), v AS (SELECT chunk_id, s3_value, n / sum(n) OVER (PARTITION BY chunk_id) AS f, n / sum(n) OVER (PARTITION BY chunk_id, token_len) AS g FROM u) SELECT chunk_id, s3_value, round(f, 9) AS file_share, (f < 0.01 OR g < 0.02) AS outlier FROM v",
+        "support_pruning": f"{cust}, {views.SQL_PRUNED} SELECT chunk_id, s2_value, s3_side, s3_value, n, outlier FROM pruned",
+        "leaf_order": f"{cust}, {views.SQL_ORDER} SELECT leaf_ord, chunk_id, s3_side, s3_value, trace, n FROM ordered",
+        "leaf_listing": f"{cust}, {views.SQL_ORDER} SELECT leaf_ord, row_nr, Content FROM ordered o JOIN (SELECT leaf.*, Content FROM leaf JOIN cust USING (row_nr)) l ON o.chunk_id = l.chunk_id AND o.token_len = l.token_len AND o.s2_pos IS NOT DISTINCT FROM l.s2_pos AND o.s2_value IS NOT DISTINCT FROM l.s2_value AND o.s3_side IS NOT DISTINCT FROM l.s3_side AND o.s3_value IS NOT DISTINCT FROM l.s3_value",
         "leaf_sample": f"{cust}, u AS (SELECT row_nr, s3_value, row_number() OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value ORDER BY row_nr) AS rank FROM leaf) SELECT * FROM u WHERE rank <= 3",
         "truncate_lines": f"WITH {lines} SELECT doc_id, place, array_to_string(string_split(Content, ' ')[1:5], ' ') AS head FROM lines",
         "prompt_text": f"{logs}, u AS (SELECT len({words}) AS token_len, Content, row_number() OVER (PARTITION BY len({words}) ORDER BY row_nr) AS r FROM logs) SELECT cast(token_len AS bigint) AS token_len, concat('Find the template of these lines:', chr(10), string_agg(Content, chr(10) ORDER BY Content), chr(10), 'Template:') AS prompt FROM u WHERE r <= 10 GROUP BY token_len",
@@ -207,12 +250,13 @@ def oracle_sql() -> dict[str, str]:
         "placeholder_normalise": f"{raw} SELECT id, {holes} AS template FROM raw",
         "correct_templates": f"{logs} SELECT LineId, {_duck('Content')} AS template FROM logs",
         "correct_paths": f"WITH u AS (SELECT page_id, concat('GET  ', regexp_replace(url, '^[a-z]+://[^/]+', ''), ' 200') AS c FROM pages) SELECT page_id, {_duck('c')} AS template FROM u",
-        "compile_patterns": f"{logs}, {true_cat} SELECT template, {pat('template')} AS pattern, cast(length(replace(template, '<*>', '')) AS bigint) AS literal_len, cast(len(string_split(template, '<*>')) - 1 AS bigint) AS n_slots FROM cat",
+        "compile_patterns": f"{logs}, {true_cat} SELECT template, {pat('template', 'sU')} AS pattern, cast(length(replace(template, '<*>', '')) AS bigint) AS literal_len, cast(len(string_split(template, '<*>')) - 1 AS bigint) AS n_slots FROM cat",
         "match_static": f"{logs}, {true_cat}, hit AS (SELECT row_nr, template, row_number() OVER (PARTITION BY row_nr ORDER BY length(replace(template, '<*>', '')) DESC, len(string_split(template, '<*>')) DESC, template) AS r FROM logs JOIN cat ON regexp_matches(Content, {pat('template')})) SELECT row_nr, template AS EventTemplate FROM hit WHERE r = 1",
         "match_catalogue": f"{logs} SELECT row_nr, EventTemplate, CASE WHEN EventTemplate LIKE 'New%' THEN NULL WHEN EventTemplate LIKE 'Order%' THEN concat('[''', split_part(split_part(Content, 'Order ', 2), ' total', 1), ''', ''', split_part(split_part(Content, 'total=', 2), ' ', 1), ''']') ELSE concat('[''', array_to_string(regexp_extract_all(Content, '[0-9]+'), ''', '''), ''']') END AS ParameterList FROM logs",
         "match_counts": f"{logs} SELECT EventTemplate AS template, count(*) AS match_frequency FROM logs GROUP BY ALL",
         "catalogue_listing": f"{logs} SELECT EventTemplate AS template, count(*) AS match_frequency FROM logs GROUP BY ALL",
-        "validate_proposals": f"{logs} SELECT EventTemplate AS template, count(*) FILTER (regexp_matches(Content, {pat('EventTemplate')})) AS matched, count(*) FILTER (NOT regexp_matches(Content, {pat('EventTemplate')})) AS unmatched FROM logs GROUP BY ALL",
+        "validate_proposals": f"{logs}, o AS (SELECT DISTINCT {views.OWN} AS own, Content FROM logs), h AS (SELECT own, Content FROM o WHERE (own = 1 AND regexp_full_match(Content, 'View page \\S+ by user \\S+ now')) OR (own = 4 AND regexp_full_match(Content, 'Click by user \\S+ on widget:\\S+ ok'))) SELECT DISTINCT cast(own AS bigint) AS own FROM h",
+        "ordered_reconcile": f"{logs} SELECT row_nr, CASE WHEN Content LIKE 'Click%' THEN 'Click by user <*> on widget:<*> ok' WHEN Content NOT LIKE 'View%' THEN NULL WHEN Content LIKE 'View page 1 by%' THEN 'View page 1 by user <*> now' WHEN {views.OWN} = 1 THEN NULL ELSE 'View page <*> by user <*> now' END AS EventTemplate FROM logs",
         "event_ids": f"{logs}, {ids} SELECT EventTemplate, EventId FROM ids",
         "result_table": f"{logs}, {ids} SELECT LineId, EventId, Content, EventTemplate FROM logs JOIN ids USING (EventTemplate)",
         "noise_rows": f"{logs} SELECT LineId, Content FROM logs WHERE EventTemplate LIKE 'View%'",
@@ -223,13 +267,13 @@ def oracle_sql() -> dict[str, str]:
         "template_metrics": f"{pairs}, {kinds} SELECT *, round(CASE WHEN exact_template_matches = 0 THEN 0.0 ELSE 2.0 * exact_template_matches / (n_gt_templates + n_pred_templates) END, 9) AS template_f1 FROM k2",
         "per_template_pa": f"{pairs}, {per} SELECT dataset, gt_template, coalesce(pred_templates, '') AS pred_templates, total, correct, round(correct / total, 9) AS pa FROM per",
         "worst_templates": f"{pairs}, {per} SELECT dataset, gt_template FROM per WHERE correct < total",
-        "dataset_summary": f"{pairs}, {good}, {kinds}, g2 AS (SELECT dataset, {ga} AS ga FROM g1 GROUP BY ALL), p AS (SELECT dataset, sum(CASE WHEN ok THEN n ELSE 0 END) / sum(n) AS pa FROM pairs GROUP BY ALL) SELECT dataset, round(ga, 9) AS GA, round(pa, 9) AS PA, n_gt_templates FROM g2 JOIN p USING (dataset) JOIN k2 USING (dataset)",
+        "dataset_summary": f"{pairs}, {good}, {kinds}, g2 AS (SELECT dataset, {ga} AS ga, sum(CASE WHEN good THEN 1 ELSE 0 END) AS k FROM g1 GROUP BY ALL), q AS (SELECT dataset, count(DISTINCT pred) + max(CASE WHEN pred IS NULL THEN 1 ELSE 0 END) AS np FROM pairs GROUP BY ALL), p AS (SELECT dataset, sum(CASE WHEN ok THEN n ELSE 0 END) / sum(n) AS pa FROM pairs GROUP BY ALL) SELECT dataset, round(ga, 9) AS GA, round(CASE WHEN k = 0 THEN 0.0 ELSE 2 * (k / np) * (k / n_gt) / (k / np + k / n_gt) END, 9) AS FGA, round(pa, 9) AS PA, round(exact_template_matches / n_pred_templates, 9) AS template_precision, round(exact_template_matches / n_gt_templates, 9) AS template_recall, round(CASE WHEN exact_template_matches = 0 THEN 0.0 ELSE 2.0 * exact_template_matches / (n_gt_templates + n_pred_templates) END, 9) AS template_f1, n_gt_templates, n_pred_templates, exact_template_matches FROM g2 JOIN q USING (dataset) JOIN p USING (dataset) JOIN k2 USING (dataset) JOIN {n_gt} ON dataset = d2",
         "chunk_size_rule": "WITH u AS (SELECT o_orderkey, greatest(least(o_orderkey * 1000.0, 16e6), 20e3) AS n FROM orders) SELECT o_orderkey, cast(round_even((3000 + (log10(n) - log10(20e3)) / (log10(16e6) - log10(20e3)) * 37000) / 500, 0) * 500 AS bigint) AS chunk_size FROM u",
-        "messy_token_counts": f"WITH {lines} SELECT cast(len({words}) AS bigint) AS token_len, count(*) AS n FROM lines GROUP BY ALL",
-        "discover": f"{logs}, u AS (SELECT LineId, Content, {_discovered()} AS EventTemplate FROM logs), i AS (SELECT EventTemplate, concat('E', row_number() OVER (ORDER BY EventTemplate)) AS EventId FROM (SELECT DISTINCT EventTemplate FROM u)) SELECT LineId, EventId, Content, EventTemplate FROM u JOIN i USING (EventTemplate)",
+        "messy_token_counts": f"WITH {lines}, u AS (SELECT regexp_replace(Content, '[' || chr(11) || chr(133) || chr(160) || chr(5760) || chr(8192) || '-' || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || ']', ' ', 'g') AS Content FROM lines) SELECT cast(len({words}) AS bigint) AS token_len, count(*) AS n FROM u GROUP BY ALL",
+        "structural_proposals": f"{cust} SELECT string_agg(tok, ' ' ORDER BY pos) AS raw_template FROM (SELECT leaf.chunk_id, leaf.token_len, leaf.s2_pos, leaf.s2_value, leaf.s3_side, leaf.s3_value, pos, CASE WHEN count(DISTINCT token) = 1 THEN min(token) ELSE '<*>' END AS tok FROM leaf JOIN (SELECT row_nr, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM tok) USING (row_nr) GROUP BY ALL) GROUP BY chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value",
+        "discover_proposer": f"{logs} SELECT LineId, Content, CASE WHEN Content LIKE 'Error%' THEN regexp_replace(regexp_replace(Content, 'code [0-9]+', 'code <*>'), 'in [0-9]+', 'in <*>') ELSE EventTemplate END AS EventTemplate, CASE WHEN Content LIKE 'Click%' THEN '[''OID'', ''OID'']' WHEN Content LIKE 'Order%' THEN '[''OTP'', ''OBA'']' WHEN Content LIKE 'View%' THEN '[''SID'', ''OID'']' END AS SlotTypes FROM logs",
+        "singleton_fallback": f"{logs} SELECT {_duck('Content')} AS template, count(*) AS match_frequency FROM logs GROUP BY ALL",
+        "call_totals": f"{logs} SELECT true AS called, 10.0::DOUBLE AS sent, 3.0::DOUBLE AS back, count(*) AS matched, cast(0 AS bigint) AS noise FROM logs",
+        "discover": f"{logs}, u AS (SELECT LineId, Content, EventTemplate FROM logs), i AS (SELECT EventTemplate, concat('E', row_number() OVER (ORDER BY EventTemplate)) AS EventId FROM (SELECT DISTINCT EventTemplate FROM u)) SELECT LineId, EventId, Content, EventTemplate FROM u JOIN i USING (EventTemplate)",
     }
 
-
-def _discovered() -> str:
-    """What the structural proposer finds in the event log: true templates, with the purchase's path as one slot."""
-    return "EventTemplate"

@@ -23,6 +23,8 @@ PREDICTED = """CASE WHEN event_id % 20 = 0 THEN NULL
   WHEN event_type = 'purchase' THEN 'Order <*>  total=<*> cents'
   WHEN event_type = 'click' THEN 'Click by user <*> on widget:<*> ok'
   WHEN event_type = 'error' THEN 'Error code <*>: retry in <*> s' ELSE 'New account created' END"""
+#: The leaf that a line of the event log is taken to be in, by number: view lines are dealt to the first three.
+OWN = "CASE substring(Content, 1, 4) WHEN 'View' THEN 1 + row_nr % 3 WHEN 'Clic' THEN 4 ELSE 5 END"
 #: A second dataset without null predictions.
 PREDICTED_FULL = "coalesce(" + PREDICTED + ", 'lost')"
 CUSTOMER = "CASE WHEN c_custkey < 120 THEN concat('cust ', c_custkey, ' ', n_name, ' ', replace(r_name,' ','_')) ELSE concat('acct ', c_custkey, ' ', n_nationkey, ' ', n_name) END"
@@ -90,6 +92,20 @@ SQL_PARTS = """cards AS (SELECT chunk_id, token_len, pos, count(DISTINCT token)
   leaf AS (SELECT parts.row_nr, parts.chunk_id, parts.token_len, parts.s2_pos, parts.s2_value, s3_side, CASE s3_side WHEN 'v1' THEN rel.v1 WHEN 'v2' THEN rel.v2 END AS s3_value
     FROM parts LEFT JOIN vp USING (row_nr) LEFT JOIN rel ON vp.chunk_id = rel.chunk_id AND vp.token_len = rel.token_len
     AND vp.s2_pos IS NOT DISTINCT FROM rel.s2_pos AND vp.s2_value IS NOT DISTINCT FROM rel.s2_value AND vp.v1 = rel.v1 AND vp.v2 = rel.v2)"""
+#: Leaves of pruned partitions: with shares below 0.004 of the chunk or 0.06 of the parent.
+SQL_PRUNED = """t0 AS (SELECT chunk_id, count(*) AS total FROM cust GROUP BY ALL),
+  t1 AS (SELECT chunk_id, token_len, count(*) AS n1 FROM tok GROUP BY ALL),
+  w AS (SELECT parts.*, total, n1, n1 / total < 0.004 AS out1 FROM parts JOIN t0 USING (chunk_id) JOIN t1 USING (chunk_id, token_len)),
+  w2 AS (SELECT * REPLACE (CASE WHEN out1 THEN NULL ELSE s2_value END AS s2_value), count(*) OVER (PARTITION BY chunk_id, token_len, CASE WHEN out1 THEN NULL ELSE s2_value END) AS n2 FROM w),
+  w3 AS (SELECT *, NOT out1 AND s2_value IS NOT NULL AND (n2 / total < 0.004 OR n2 / n1 < 0.06) AS out2 FROM w2),
+  w4 AS (SELECT w3.row_nr, w3.chunk_id, w3.token_len, w3.s2_value, total, n2, out1, out2, CASE WHEN NOT out1 AND NOT out2 THEN leaf.s3_side END AS s3_side, CASE WHEN NOT out1 AND NOT out2 THEN leaf.s3_value END AS s3_value FROM w3 JOIN leaf USING (row_nr)),
+  pruned AS (SELECT chunk_id, s2_value, s3_side, s3_value, count(*) AS n,
+    CASE WHEN any_value(out1) THEN 'S1' WHEN any_value(out2) THEN 'S2' WHEN s3_side IS NOT NULL AND (count(*) / any_value(total) < 0.004 OR count(*) / any_value(n2) < 0.06) THEN 'S3' END AS outlier
+    FROM w4 GROUP BY chunk_id, token_len, s2_value, s3_side, s3_value)"""
+SQL_ORDER = """u0 AS (SELECT chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value, count(*) AS n, min(row_nr) AS f FROM leaf GROUP BY ALL),
+  u1 AS (SELECT *, min(f) OVER (PARTITION BY chunk_id, token_len) AS a, min(f) OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value) AS b FROM u0),
+  ordered AS (SELECT *, row_number() OVER (ORDER BY chunk_id, a, b, CASE WHEN s3_side IS NULL THEN 0 WHEN s3_side = 'v1' THEN 1 ELSE 2 END, f) - 1 AS leaf_ord,
+    concat('S1 ', CASE WHEN s2_value IS NOT NULL THEN 'S2 ' ELSE '' END, CASE WHEN s3_side IS NOT NULL THEN 'S3 ' ELSE '' END) AS trace FROM u1)"""
 SQL_CUST_PARTS = f"{SQL_CUST}, {SQL_TOK}, {SQL_PARTS}"
 SQL_PAIRS = f"""gp AS (SELECT d AS dataset, {TEMPLATE} AS gt, CASE d WHEN 'nulls' THEN {PREDICTED} ELSE {PREDICTED_FULL} END AS pred FROM events, (VALUES ('nulls'), ('full')) v(d)),
   pairs AS (SELECT dataset, gt, pred, count(*) AS n, coalesce(trim(regexp_replace(gt, '\\s+', ' ', 'g')) = trim(regexp_replace(pred, '\\s+', ' ', 'g')), false) AS ok FROM gp GROUP BY ALL)"""

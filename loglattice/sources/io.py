@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,36 +28,104 @@ def read_truth(spark: SparkSession, path: str, correction: bool = False) -> Data
 
 def corrected(df: DataFrame, column: str = "EventTemplate") -> DataFrame:
     """Correct a template column: each distinct template once, then joined back."""
-    once = df.select(column).distinct().withColumn("_c", text.correct(F.col(column)))
-    return df.join(once, column, "left").withColumn(column, F.col("_c")).select(*df.columns)
+    name = free_name(df, "corrected")
+    once = df.select(column).distinct().withColumn(name, text.correct(F.col(column)))
+    return df.join(once, column, "left").withColumn(column, F.col(name)).select(*df.columns)
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, RESULT)
 
 
-def row_index(df: DataFrame, order: Column | None = None) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where none is named, one machine (a local master) takes a temporary folder; a cluster is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        path = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def complete(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under ``path`` that hold a completely written table; one listing."""
+    p, fs = _filesystem(spark, f"{path}/*/_SUCCESS")
+    return sorted(s.getPath().getParent().getName() for s in fs.globStatus(p) or [])
+
+
+class Saved:
+    """Tables written to the shared folder to cut lineage; ``clear`` removes all but those named."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def clear(self, *keep: DataFrame) -> None:
+        for i, (path, _) in self.paths.items():
+            if i not in map(id, keep):
+                remove(self.spark, path)
+        self.paths = {i: x for i, x in self.paths.items() if i in map(id, keep)}
+
+
+def small(df: DataFrame, rows: int = 200_000) -> bool:
+    """Whether a derived table has at most ``rows`` rows, counted on the cluster."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def joinable(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if its counted size allows it, else left to a shuffled join."""
+    return F.broadcast(df) if small(df, rows) else df
+
+
+def row_index(df: DataFrame, *order: Column, saved: Saved | None = None) -> DataFrame:
     """row_nr 0..n-1, by ``order`` or in the table's own order, without pulling all rows into one task.
 
-    Ranks within sorted partitions plus the partitions' offsets (one small row each).
+    The sorted table is written once with each row's partition and place in it; sizes and numbers both come from what
+    was written.  The offsets are one row per partition.
     """
     if "row_nr" in df.columns:
         return df
-    if order is None:
-        rows = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.sparkSession.createDataFrame(rows, f"row_nr long, {fields}")
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order)
-    marked = dealt.withColumn("_m", F.monotonically_increasing_id())
-    part, nth = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    size = marked.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).collect()
-    offset, total = {}, 0
-    for r in sorted(size):
-        offset[r["_p"]], total = total, total + r["_n"]
-    if not offset:
-        return df.withColumn("row_nr", F.lit(0).cast("long"))
-    table = F.create_map(*[F.lit(x) for pair in offset.items() for x in pair])
-    return marked.withColumn("row_nr", F.element_at(table, part) + nth).drop("_m")
+    part, nth = (free_name(df, n) for n in ("part", "nth"))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    marked = dealt.withColumn(nth, F.monotonically_increasing_id())
+    marked = marked.withColumns({part: F.shiftright(nth, 33), nth: F.col(nth).bitwiseAND(F.lit((1 << 33) - 1))})
+    marked = (saved or Saved(df.sparkSession))(marked)
+    sizes = marked.groupBy(part).agg(F.count("*").alias("row_nr"))
+    rows, total = [], 0
+    for p, n in sorted(map(tuple, sizes.collect())):
+        rows.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(rows, f"{part} long, row_nr long")
+    out = marked.join(F.broadcast(offsets), part)
+    return out.select(*df.columns, (F.col("row_nr") + F.col(nth)).alias("row_nr"))
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
 
 
 def write_result(result: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loglattice.operators import catalogue as cat
 from loglattice.options import Options
 from loglattice.plans.discover import discover
+from loglattice.sources import io
 
 
 def apply_catalogue(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -15,24 +16,31 @@ def apply_catalogue(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     return cat.match(lines, catalogue)
 
 
-def discover_stream(lines: DataFrame, folder: str, checkpoint: str, options: Options = Options(), proposer=None) -> StreamingQuery:  # noqa: B008
-    """One micro-batch is one chunk.  ``folder/catalogue/v=N`` is the state after batch N and ``folder/result/v=N`` its lines;
-    a replayed batch reads version N-1 and overwrites its own output, so results stay exactly-once."""
+def discover_stream(
+    lines: DataFrame, folder: str, checkpoint: str, options: Options = Options(), proposer=None, trigger: dict | None = None  # noqa: B008
+) -> StreamingQuery:
+    """One micro-batch is one run of ``discover`` on what is known so far.
+
+    ``folder/catalogue/v=N`` and ``folder/ids/v=N`` are the state after batch N and ``folder/result/v=N`` its lines.  A template keeps its
+    event id in all later batches.  A replayed batch reads the state before N and overwrites its own output, so results stay
+    exactly-once; states older than that are removed.  ``trigger``: arguments of the writer's trigger (default: what is there now).
+    """
     spark = lines.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        old = [n for n in range(number - 1, -1, -1) if _exists(spark, f"{folder}/catalogue/v={n}")][:1]
-        seed = spark.read.parquet(f"{folder}/catalogue/v={old[0]}") if old else None
-        found = discover(batch, options, proposer, seed)
-        found.result.write.mode("overwrite").parquet(f"{folder}/result/v={number}")
+        before = sorted(n for n in (int(name[2:]) for name in io.complete(spark, f"{folder}/catalogue")) if n < number)
+        read = lambda kind: spark.read.parquet(f"{folder}/{kind}/v={before[-1]}") if before else None
+        found = discover(batch, options, proposer, read("catalogue"))
+        ids = cat.event_ids(found.matched, read("ids"))
+        ids.write.mode("overwrite").parquet(f"{folder}/ids/v={number}")
+        ids = spark.read.parquet(f"{folder}/ids/v={number}")
+        cat.result(found.matched, ids).write.mode("overwrite").parquet(f"{folder}/result/v={number}")
         found.catalogue.write.mode("overwrite").parquet(f"{folder}/catalogue/v={number}")
+        for old in before[:-1]:
+            for kind in ("catalogue", "ids"):
+                io.remove(spark, f"{folder}/{kind}/v={old}")
 
-    return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_every_line_is_in_one_leaf(spark):
     lines = partition.tokenise(views.customers(spark, SF))
     for static in (True, False):
-        got = partition.assignment(lines, partition.leaves(lines, static=static))
+        got = partition.assignment(lines, partition.leaves(partition.vectors(lines), static=static))
         assert got.count() == lines.count() == got.select("row_nr").distinct().count()
 
 
