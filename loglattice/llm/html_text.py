@@ -10,10 +10,13 @@ The smallest density on the core's path to the body is the threshold: while the
 it hold text of the article (or the parent is an article or main element), the core grows to the parent.
 
 Elements that hold no article text are left out of the tree: scripts, styles, forms, menus, page headers and footers,
-asides, and elements whose class, id or role names a menu, sidebar, notice, advert, share box or reader comment.
+asides, and elements one of whose names (class, id or role, taken whole) is made of words for menus, sidebars, notices, adverts,
+share boxes or reader comments.  Some of these words have other meanings too: where such an element holds most of the page's
+text and there is no article element, it stays.
 
 Defined results: null or empty html gives an empty text; a null url or page_id is passed through; unclosed and
-wrongly nested tags are closed where their parents end; text of any length is taken whole; ties go to the first node.
+wrongly nested tags are closed where their parents end or their like begins, also in parts that are left out; text of any length is
+taken whole; ties go to the first node; repeated rows get equal results; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from .common import table
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-_LEFT_OUT = _RAW | frozenset("nav footer aside form button select head dialog menu object canvas audio video".split())
+_RAW = frozenset("script style textarea title template iframe".split())
+_LEFT_OUT = _RAW | frozenset("noscript nav footer aside form button select head dialog menu object canvas audio video".split())
+_HEAD = frozenset("meta link title style script base noscript template".split())
+_RAW_END = {t: re.compile(f"</{t}(?:[^a-z0-9>][^>]*)?>", re.I) for t in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -41,94 +46,146 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption option legend body html summary".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table body html article section div main".split())
-#: Words in a class, id or role that mark what isn't article text (fixed list).
-_WORDS = frozenset(
-    "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs "
-    "sidebar side aside widget footer header masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe "
-    "signup login comment comments comentarios disqus reply replies respond discussion share sharing social related recommended pagination pager "
-    "search toolbar skip complementary contentinfo".split()
+#: Words in a class, id or role that mark what isn't article text (fixed lists): for certain, perhaps, and words that go with them.
+_SURE = frozenset(
+    "ad ads advert advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation breadcrumb breadcrumbs sidebar "
+    "footer masthead cookie cookies consent gdpr newsletter subscribe signup login comment comments comentarios disqus pagination pager contentinfo".split()
 )
+_MAYBE = frozenset(
+    "menu side aside widget header notice notification alert popup modal overlay reply replies respond discussion share sharing social related "
+    "recommended search toolbar skip complementary".split()
+)
+_WITH = frozenset(
+    "site page main top bottom left right global primary secondary wrapper wrap container box bar list item items block section area panel inner outer "
+    "slot unit user reader readers link links button buttons form posts articles stories results count thread feed policy message text content title "
+    "group row col column the js".split()
+)
+_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.kids = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, out: int = 0) -> None:
+        self.tag, self.parent, self.kids, self.out = tag, parent, [], out  # out: 0 stays, 1 is left out, 2 perhaps
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _named(attributes: str, tag: str) -> bool:
-    """Whether the element's names say that it isn't article text."""
+def _named(attributes: str, tag: str) -> int:
+    """Whether a name of the element says that it isn't article text: 0 no, 1 yes, 2 perhaps."""
     if tag in ("body", "html", "article", "main") or "=" not in attributes:
-        return False
+        return 0
+    out = 0
     for m in _NAMES.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if any(w in _WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _WORD.findall(name)}
+            if words and words <= _SURE | _MAYBE | _WITH:
+                if words & _SURE:
+                    return 1
+                if words & _MAYBE:
+                    out = 2
+    return out
+
+
+def _closed(node: Node, root: Node, shut: frozenset | set) -> Node:
+    """Where a new element belongs, once the nearest open element of ``shut`` within the scope has ended."""
+    up = node
+    while up is not root and up.tag not in shut and up.tag not in _SCOPE:
+        up = up.parent
+    return up.parent if up is not root and up.tag in shut else node
 
 
 def parse(page: str) -> Node:
-    """The tree of a page's elements and texts (strings), without what is left out."""
+    """The tree of a page's elements and texts (strings); what is to be left out is marked."""
     root = node = Node("html", None)
-    skip: list[str] = []  # open elements inside one that is left out
-    at, low = 0, page.lower()
+    at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not skip:
+        if text:
+            if node.tag == "head" and not text.isspace():
+                node = node.parent
             node.kids.append(text)
         if not m:
             break
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag or tag == "html" or tag == "body" and node.tag == "body":
+        if not tag or tag == "html":
             continue
         if m[1]:  # an end tag
-            if skip:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                continue
             up = node
-            while up is not root and up.tag != tag and not (up.tag in ("article", "main", "td", "th") and tag not in _BLOCK):
+            while up is not root and up.tag != tag and not (up.tag in ("article", "main", "td", "th") and tag not in _BLOCK and tag != "body"):
                 up = up.parent
             if up is not root and up.tag == tag:
                 node = up.parent
             continue
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
-            if not skip:
-                node.kids.append(" " if tag in ("br", "hr", "wbr") and tag != "wbr" else "")
+        if node.tag == "head" and tag not in _HEAD:
+            node = node.parent
+        if tag == "body" and node is not root:
             continue
-        if tag in _RAW and tag != "noscript":
-            end = low.find(f"</{tag}", at)
-            close = low.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(page)
+        if tag in _CLOSES_P or tag in _SAME:
+            node = _closed(node, root, _SAME.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set()))
+        if tag == "hr":
+            node.kids.append(Node(tag, node))
             continue
-        if skip:
-            skip.append(tag)
+        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
+            if tag == "br":
+                node.kids.append(" ")
+            continue
+        if tag in _RAW:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
-        if tag in _CLOSES_P or tag in _SAME:
-            shut = _SAME.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
-            up = node
-            while up is not root and up.tag not in shut and not (up.tag in _SCOPE):
-                up = up.parent
-            if up is not root and up.tag in shut:
-                node = up.parent
         inside = node
         while inside is not root and inside.tag not in ("article", "main"):
             inside = inside.parent
-        if tag in _LEFT_OUT or tag == "header" and inside is root or _named(m[3], tag):
-            skip = [tag]
-            continue
-        child = Node(tag, node)
+        out = 1 if tag in _LEFT_OUT or tag == "header" and inside is root else _named(m[3], tag)
+        child = Node(tag, node, out)
         node.kids.append(child)
         node = child
     return root
 
 
+def _own(node: Node, level: int) -> tuple[int, bool]:
+    """Characters outside links under a node, and whether an article element is there, without parts marked ``level`` or surer."""
+    chars, article, stack = 0, False, [(node, node.tag == "a")]
+    while stack:
+        n, link = stack.pop()
+        article = article or n.tag in ("article", "main")
+        for k in n.kids:
+            if isinstance(k, str):
+                chars += 0 if link else len(" ".join(k.split()))
+            elif not 1 <= k.out <= level:
+                stack.append((k, link or k.tag == "a"))
+    return chars, article
+
+
+def _prune(root: Node) -> None:
+    """Take marked parts out of the tree, but for a doubtful one that holds most of the page."""
+    doubtful, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        for k in n.kids:
+            if isinstance(k, Node) and k.out != 1:
+                (doubtful if k.out == 2 else stack).append(k)
+    if doubtful:
+        rest, article = _own(root, 2)
+        sizes = [_own(d, 1)[0] for d in doubtful]
+        top = max(range(len(sizes)), key=sizes.__getitem__)
+        if not (article and rest) and sizes[top] > 4 * rest:
+            stack = [doubtful[top]]
+            while stack:
+                n = stack.pop()
+                n.out = 0
+                stack += [k for k in n.kids if isinstance(k, Node) and k.out == 2]
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.kids = [k for k in n.kids if isinstance(k, str) or not k.out]
+        stack += [k for k in n.kids if isinstance(k, Node)]
+
+
 def _measure(root: Node) -> None:
     order, stack = [], [(root, False)]
     linked: dict[int, bool] = {}
@@ -214,6 +271,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _prune(root)
     _measure(root)
     return "\n".join(_blocks(_core(root)))
 
