@@ -7,65 +7,67 @@ text).  Rows that agree in both are repetitions of one row and all get the same
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.sources.io import joinable, remove, shared_folder, small
+
+__all__ = ["joinable", "small"]
 #: The two internal identity columns.
 DID, TKEY = "_did", "_tk"
 #: What a null doc_id counts as.
 NULL_ID = -(2**63)
-#: Largest table (in rows) that is ever broadcast; its size is counted first.
-BROADCAST_ROWS = 200_000
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is named (tests on one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="loglattice-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, nothing depends on one executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Only what the operators need: ``_did``, ``_tk``, ``doc_id`` and ``text`` (null text: empty)."""
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that are stashed inside are removed at the end; what is to stay is written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def _keys(text: str, doc_id: str) -> tuple[Column, Column, Column]:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias(DID),
-        F.xxhash64(body).alias(TKEY),
-        F.col(doc_id).cast("long").alias("doc_id"),
-        body.alias("text"),
-    )
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias(DID), F.xxhash64(body).alias(TKEY), body.alias("text")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` over ``value`` evaluated once a row (the optimizer may copy a column into a lambda that runs per element)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def carried(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``_did``, ``_tk`` and each whole row as the struct ``row``, so that no name of the user's can clash with internal ones."""
+    did, tk, _ = _keys(text, doc_id)
+    return docs.select(did, tk, F.struct("*").alias("row"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a derived table has at most ``rows`` rows, counted on the cluster."""
-    return df.limit(rows + 1).count() <= rows
+def identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Only what the operators need: ``_did``, ``_tk``, ``doc_id`` and ``text`` (null text: empty)."""
+    did, tk, body = _keys(text, doc_id)
+    return docs.select(did, tk, F.col(doc_id).cast("long").alias("doc_id"), body)
 
 
-def joinable(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted size allows it, else left to a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
+def let(value: Column, body) -> Column:
+    """``body`` over ``value`` evaluated once a row (the optimizer may copy a column into a lambda that runs per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def placed(docs: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ Words are lower-cased runs.  A benchmark window is 13 consecutive words of an it
 1. Winnow: every k-gram of words is hashed; of each run of ``13 - k + 1`` hashes the smallest (leftmost on ties)
    is kept with its place.  Two equal windows keep the same relative place, so every shared window shares a
    fingerprint.  Items shorter than a window are fingerprinted whole, and documents by all grams of those lengths.
-2. Join fingerprints of documents and items: seeds (document, item, shift).
-3. Extend: words of the item and of the document are compared along each seed's shift; windows that agree
-   word for word are hits.
+2. Join fingerprints of documents and items: a document's fingerprint that any item has is a seed, once, wherever items have it.
+3. Extend: every window of the document around a seed is compared, word for word, with the distinct windows of the items.
 
-The benchmark's fingerprints are broadcast only if their counted number is small; else the join is shuffled.
+A document costs as many rows as it has windows around seeds, also where text and items repeat themselves.  The benchmark's
+fingerprints, windows and the seeds are broadcast only if their counted size is small; else the joins are shuffled.
 Defined results: null or empty text has no words (n_words 0, not contaminated); items without words are ignored; a
-null item_id never counts as an item but its windows do hit; repeated rows get equal results; a null doc_id is kept.
+null item_id never counts as an item but its windows do hit; repeated rows get equal results; a null doc_id is kept; texts of
+one doc_id are told apart; ties between equal hashes go to the leftmost; empty tables give empty results (no benchmark: no hits);
+columns other than doc_id, text and item_id may have any names.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, identified, joinable, let, table
+from .common import DID, TKEY, carried, identified, joinable, let, stash, table
 
 WINDOW, GRAM = 13, 6
+#: Bytes of item windows and number of seeds up to which they are broadcast.
+BROADCAST_BYTES, BROADCAST_SEEDS = 64 << 20, 1_000_000
 #: ASCII signs that part words, once A-Z are lower-cased or counted as letters.
 _SIGNS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -96,56 +100,81 @@ def _short_key(tokens: Column) -> Column:
     return whole
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """item_id, words and fingerprints of every item with words."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     n = F.size("words")
     short = F.transform(F.array(_short_key(F.col("words"))), lambda h: F.struct(h.alias("h"), F.lit(0).alias("p")))
-    return items.withColumn("fps", F.when(n < window, short).otherwise(let(_codes(F.col("words")), lambda c: winnow(c, window))))
+    return items.withColumn("fps", F.when(n < window, short).otherwise(let(_codes(F.col("words")), lambda c: winnow(c, window, gram))))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _windows(words: Column, size: Column, start: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, size), " ")
+
+
+def item_pool(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Distinct windows of the items: wid, text and ids of the items that have it (without null)."""
+    size = F.least(F.size("words"), F.lit(window))
+    every = items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda j: _windows(F.col("words"), size, j))).alias("window"))
+    return every.groupBy("window").agg(F.collect_set("item_id").alias("ids")).withColumn("wid", F.monotonically_increasing_id())
+
+
+def _starts(seeds: Column, n: Column, window: int, gram: int) -> Column:
+    """array<struct<size,start>>: the windows of a text of ``n`` words around its sorted seeds (size, p), each once."""
+
+    def around(x: Column, i: Column) -> Column:
+        before = F.get(seeds, i - 1)
+        new = F.when((i > 0) & (before["size"] == x["size"]), before["p"] + 1).otherwise(0)
+        low, high = F.greatest(x["p"] - (window - gram), new), F.least(x["p"], n - window)
+        many = F.when(low <= high, F.transform(F.sequence(low, high), lambda s: F.struct(x["size"].alias("size"), s.alias("start"))))
+        one = F.array(F.struct(x["size"].alias("size"), x["p"].alias("start")))
+        return F.when(x["size"] < window, one).otherwise(F.coalesce(many, F.array().cast("array<struct<size:int,start:int>>")))
+
+    return F.flatten(F.transform(seeds, around))
+
+
+def _places(spans: Column) -> Column:
+    """The words under sorted windows (size, start), each once."""
+
+    def fresh(x: Column, i: Column) -> Column:
+        after = F.get(spans, i + 1)
+        end = x["start"] + x["size"]
+        return F.sequence(x["start"], F.when(after["size"] == x["size"], F.least(end, after["start"])).otherwise(end) - 1)
+
+    return F.array_distinct(F.flatten(F.transform(spans, fresh)))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """_did, _tk, doc_id, n_words, hit (places of hit words) and items (ids with occurring windows) of every document."""
     own = identified(docs)
-    items = item_windows(benchmark, window)
-    lengths = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < window).distinct().collect())  # at most 12
-    prints = joinable(items.select("item_id", F.inline("fps")).select("item_id", F.col("h"), F.col("p").alias("ip")))
-    seeds = own.select(
-        DID, TKEY, F.inline(let(_codes(_split(F.col("text"))), lambda c: F.concat(winnow(c, window), *(_every(c, n) for n in lengths))))
-    ).join(prints, "h")
-    shifts = seeds.select(DID, TKEY, "item_id", (F.col("p") - F.col("ip")).alias("shift")).distinct()
-    texts = joinable(items.select(F.col("item_id").alias("_item"), F.col("words").alias("iw")))
-    found = (
-        shifts.join(texts, F.col("item_id").eqNullSafe(F.col("_item")))
-        .groupBy(DID, TKEY)
-        .agg(F.collect_set(F.struct("item_id", "shift", "iw")).alias("seeds"))
-    )
-
-    def extend(w: Column) -> Column:
-        def windows(s: Column) -> Column:
-            size = F.least(F.lit(window), F.size(s["iw"]))
-            at = F.filter(
-                F.sequence(F.lit(0), F.size(s["iw"]) - size),
-                lambda j: (s["shift"] + j >= 0)
-                & (s["shift"] + j + size <= F.size(w))
-                & (F.slice(w, F.greatest(s["shift"] + j, F.lit(0)) + 1, size) == F.slice(s["iw"], j + 1, size)),
-            )
-            hit = F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(s["shift"] + j, s["shift"] + j + size - 1))))
-            return F.struct(s["item_id"].alias("item_id"), hit.alias("hit"))
-
-        done = F.filter(F.transform(F.col("seeds"), windows), lambda x: F.size(x["hit"]) > 0)
-        both = lambda d: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.array_distinct(F.flatten(F.transform(d, lambda x: x["hit"]))).alias("hit"),
-            F.array_distinct(F.filter(F.transform(d, lambda x: x["item_id"]), lambda i: i.isNotNull())).alias("items"),
-        )
-        return let(done, both)
-
-    none = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<bigint>").alias("items"))
-    joined = own.join(found.hint("shuffle_hash"), [DID, TKEY], "left")
-    clean = none.withField("n_words", F.size(_split(F.col("text"))).cast("long"))
-    out = joined.select(DID, TKEY, "doc_id", F.when(F.col("seeds").isNull(), clean).otherwise(let(words(F.col("text")), extend)).alias("x"))
-    return out.select(DID, TKEY, "doc_id", "x.*")
+    items = item_windows(benchmark, window, gram)
+    lengths = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < window).distinct().collect())  # at most window - 1
+    sized = lambda fps, size: F.transform(fps, lambda x: F.struct(x["h"].alias("h"), F.lit(size).alias("size"), x["p"].alias("p")))
+    prints = joinable(stash(items.select(F.inline("fps")).select("h").distinct()))
+    found = own.select(
+        DID, TKEY, F.inline(let(_codes(_split(F.col("text"))), lambda c: F.concat(sized(winnow(c, window, gram), window), *(sized(_every(c, n), n) for n in lengths))))
+    ).join(prints, "h", "left_semi")
+    seeds = stash(found.groupBy(DID, TKEY).agg(F.array_sort(F.collect_set(F.struct("size", "p"))).alias("seeds")))
+    many = seeds.agg(F.count("*"), F.sum(F.size("seeds"))).first()
+    few = (many[0] + (many[1] or 0)) <= BROADCAST_SEEDS
+    marked = identified(docs).drop("doc_id").join(F.broadcast(seeds) if few else seeds, [DID, TKEY])
+    tried = marked.select(DID, TKEY, words(F.col("text")).alias("words"), "seeds")
+    tried = tried.select(DID, TKEY, F.explode(let(F.col("words"), lambda w: F.transform(_starts(F.col("seeds"), F.size(w), window, gram), lambda x: x.withField("window", _windows(w, x["size"], x["start"]))))).alias("x"))
+    pool = stash(item_pool(items, window))
+    width = pool.agg(F.sum(F.length("window") + 64)).first()[0] or 0
+    texts = pool.select("window", "wid")
+    hits = tried.select(DID, TKEY, "x.*").join(F.broadcast(texts) if width <= BROADCAST_BYTES else texts, "window").select(DID, TKEY, "size", "start", "wid").distinct()
+    hits = stash(hits)
+    spans = hits.groupBy(DID, TKEY).agg(F.array_sort(F.collect_set(F.struct("size", "start"))).alias("spans"))
+    ids = hits.select(DID, TKEY, "wid").distinct().join(pool.select("wid", F.explode("ids").alias("item_id")), "wid")
+    ids = ids.groupBy(DID, TKEY).agg(F.collect_set("item_id").alias("items"))
+    both = stash(spans.select(DID, TKEY, _places(F.col("spans")).alias("hit")).join(ids, [DID, TKEY], "left"))
+    told = both.agg(F.count("*"), F.sum(F.size("hit"))).first()
+    few = (told[0] + (told[1] or 0)) <= BROADCAST_SEEDS
+    counted = own.select(DID, TKEY, "doc_id", F.size(_split(F.col("text"))).cast("long").alias("n_words"))
+    out = counted.join(F.broadcast(both) if few else both, [DID, TKEY], "left")
+    none = {"hit": F.array().cast("array<int>"), "items": F.array().cast(items.select(F.array("item_id").alias("x")).schema["x"].dataType)}
+    return out.select(DID, TKEY, "doc_id", "n_words", *[F.coalesce(c, empty).alias(c) for c, empty in none.items()])
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -170,9 +199,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that the contract's rule doesn't call contaminated, with their own columns."""
     bad = contamination(docs, benchmark).filter((F.size("hit") > 0) & (20 * F.size("hit") >= F.col("n_words"))).select(DID, TKEY).distinct()
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn(DID, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(TKEY, F.xxhash64(body))
-    return keyed.join(bad.hint("shuffle_hash"), [DID, TKEY], "left_anti").select(*docs.columns)
+    return carried(docs).join(joinable(stash(bad)), [DID, TKEY], "left_anti").select("row.*")
 
 
 def brute(rows: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
