@@ -3,18 +3,15 @@
 A *window* is ``size`` consecutive symbols (words or bytes) of one document.  Each window picks the position
 of its smallest hashed ``gram`` of symbols (leftmost on ties): the pick depends on the window's content alone,
 so two equal windows pick the same relative position and the same *anchor* (the gram's hash).  Consecutive
-windows with one pick form a *span*; equal spans hold equal windows.  Only spans are shuffled, by anchor:
-about one row for ``(size - gram) / 2`` symbols.
+windows with one pick form a *span*.  Only spans are shuffled, by anchor: about one row for ``(size - gram) / 2`` symbols.
 
-``scan_spans`` makes the spans of each document, ``resolve`` reads them sorted by anchor, span and place and
-tells for each span whether
+A span that is alone with its anchor can't hold a repeated window.  What is not alone goes back to its document, whose text tells the
+rest; hashes decide only where windows meet.
 
-* an equal span starts earlier (``kind`` DUP, with that earlier place), or
-* another, different span has its anchor (``kind`` CHECK): then single windows of it may repeat, and they
-  are compared one by one by the caller.
+An anchor that would fill a large part of a task by itself (``hot``, from a sixteenth of the documents; this decides how work is dealt out,
+not the result) doesn't meet by its anchor: its windows do, one by one, by their content.
 
-A span that is alone with its anchor can't hold a repeated window.  Rows with equal (document, start) are
-the same place: neither is earlier.
+Rows with equal (document, start) are the same place: neither is earlier.
 """
 
 from __future__ import annotations
@@ -26,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, unpressed
+from .common import DID, TKEY, stash, unpressed
 
 DUP, CHECK = 1, 2
-SPAN_SCHEMA = f"kind int, anchor long, span long, {DID} long, {TKEY} long, s long, n long, off long, f_did long, f_s long"
+SPAN_SCHEMA = f"kind int, deal long, span long, {DID} long, {TKEY} long, s long, n long, off long, f_did long, f_tk long, f_s long"
+#: One document in SHARE is counted to find hot anchors; spans that are held to be compared before they are shuffled.
+SHARE, HELD = 16, 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers have inverses modulo 2**64
 
 
@@ -76,6 +75,9 @@ class Hashes:
         n = len(self.sums) - size
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
+    def gram_at(self, at: np.ndarray, size: int) -> np.ndarray:
+        return mix((self.sums[at + size] - self.sums[at]) * self.down[at])
+
 
 def picks(grams: np.ndarray, windows: int) -> np.ndarray:
     """For each run of ``windows`` grams the position of the smallest, leftmost on ties."""
@@ -101,152 +103,184 @@ def spans(codes: np.ndarray, size: int, gram: int):
     return start, count, pick - start, grams[pick], h.slices(start, start + count + size - 1)
 
 
+def hot_anchors(docs: DataFrame, encode: Callable, size: int, gram: int) -> np.ndarray:
+    """Anchors (sorted) that a quarter of a task's rows or more would have; at most four for each shuffle partition, or one in 32 counted spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [spans(encode(t), size, gram) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            every = np.concatenate([np.zeros(0, np.uint64), *(f[3] for f in found if f is not None)])
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["anchor"])
+
+    spark = docs.sparkSession
+    part = docs.filter(F.pmod(F.xxhash64(DID, TKEY), F.lit(SHARE)) == 0).select("text").mapInArrow(run, "anchor long")
+    counts = stash(part.groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 32"))
+    total = counts.agg(F.sum("n")).first()[0] or 0  # of the frequent ones, so the share is larger still
+    least = max(32, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = counts.filter(F.col("n") >= least).select("anchor").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _columns(rows: list[np.ndarray]) -> pa.RecordBatch:
     names = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
     kinds = [pa.int32()] + [pa.int64()] * (len(names) - 1)
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if i == 0 else x, k) for i, (x, k) in enumerate(zip(rows, kinds, strict=True))], names)
 
 
-def scan_spans(docs: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, gram: int) -> DataFrame:
-    """Spans of every document (columns of SPAN_SCHEMA, ``kind`` 0).
+def scan_spans(docs: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, gram: int, hot: np.ndarray, content: bool = False, raw: bool = False) -> DataFrame:
+    """Spans of every document (columns of SPAN_SCHEMA): ``kind`` 0, or CHECK if the anchor is hot, or DUP.
 
-    Pre-aggregation: within a batch, of equal spans only the earliest is shuffled by its anchor; the others
-    are known to repeat it and travel as DUP rows under a key of their own, so a passage that a third of all
-    rows share doesn't meet in one task.
+    ``span`` is the hash of the span's content, if ``content`` asks for it; ``raw``: symbols are single bytes.
+
+    Pre-aggregation: of the spans that a worker holds at a time, equal ones (compared symbol by symbol) are shuffled once, the
+    earliest; the others are known to repeat it, so a passage that a third of all rows share doesn't meet in one task.
+    ``deal`` is the anchor for ``kind`` 0 and a key of its own for the others.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
+        codes: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            did, tk, s, n, off, anchor, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+            did, tk, s, n, off, anchor, span, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((s, did, span, anchor))
-            did, tk, s, n, off, anchor, span = (x[order] for x in (did, tk, s, n, off, anchor, span))
+            did, tk, s, n, off, anchor, span, text = (x[order] for x in (did, tk, s, n, off, anchor, span, text))
             new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])))
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = (did != did[first]) | (s != s[first])
             keep = new | later | (tk != tk[first])
-            spread = mix(did.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64)).astype(np.int64)
-            cols = [np.where(later, DUP, 0), np.where(later, spread, anchor), span, did, tk, s, n, off, np.where(later, did[first], 0), np.where(later, s[first], 0)]
+            rows = np.flatnonzero(later)
+            same = [a == b for a, b in zip(_cut(codes, text, s, n, rows, size), _cut(codes, text, s, n, first[rows], size), strict=True)]
+            later[rows] = same
+            kind = np.where(later, DUP, np.where(is_in(anchor, sent.value), CHECK, 0))
+            spread = mix(did.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))
+            deal = np.where(kind > 0, spread, anchor).view(np.int64)
+            cols = [kind, deal, span.view(np.int64) if content else np.zeros(len(s), np.int64), did, tk, s, n, off] + [np.where(later, x[first], 0) for x in (did, tk, s)]
             back = np.argsort(order[keep], kind="stable")  # rows of one document side by side: they compress well
             return _columns([c[keep][back] for c in cols])
 
         for batch in batches:
             dids, tks = batch.column(DID).to_numpy(), batch.column(TKEY).to_numpy()
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                found = spans(encode(text), size, gram)
+                code = encode(text)
+                found = spans(code, size, gram)
                 if found is None:
                     continue
                 s, n, off, anchor, span = found
-                parts.append((np.full(len(s), dids[i]), np.full(len(s), tks[i]), s, n, off, anchor.view(np.int64), span.view(np.int64)))
+                parts.append((np.full(len(s), dids[i]), np.full(len(s), tks[i]), s, n, off, anchor, span, np.full(len(s), len(codes))))
+                codes.append(np.frombuffer(text, np.uint8) if raw else code)
                 held += len(s)
-                if held >= 300_000:
+                if held >= HELD:
                     yield flush()
-                    parts, held = [], 0
+                    parts, codes, held = [], [], 0
         if parts:
             yield flush()
 
     return docs.select(DID, TKEY, "text").mapInArrow(run, SPAN_SCHEMA)
 
 
-def resolve(rows: DataFrame) -> DataFrame:
-    """DUP and CHECK rows of ``scan_spans``-like rows; one shuffle, by anchor, and a streaming pass with one row of state."""
-    order = ["anchor", "kind", "span", DID, "s"]
-    return rows.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_resolve, SPAN_SCHEMA)
-
-
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    carry = None  # the last span's first row; its anchor's first span or not; told as CHECK or not
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        known = cols[0] != 0
-        if known.any():  # they are resolved already
-            yield _columns([c[known] for c in cols])
-            cols = [c[~known] for c in cols]
-        if not len(cols[0]):
-            continue
-        if carry is not None:
-            cols = [np.concatenate(([v], c)) for v, c in zip(carry[0], cols, strict=True)]
-        kind, anchor, span, did, tk, s, n, off, f_did, f_s = cols
-        size = len(anchor)
-        fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-        new = fresh | np.concatenate(([True], span[1:] != span[:-1]))
-        if carry is not None:
-            fresh[0] = carry[1]
-        first = np.maximum.accumulate(np.where(new, np.arange(size), 0))
-        starts = np.flatnonzero(new)
-        other = np.append(~fresh[starts[1:]], False)  # the next span has the same anchor
-        check = ~fresh[starts] | other
-        told = bool(check[-1])
-        if carry is not None and carry[2]:
-            check[0] = False
-            told = told or len(starts) == 1
-        later = (did != did[first]) | (s != s[first])
-        rows = np.concatenate((np.flatnonzero(later), starts[check]))
-        tag = np.concatenate((np.full(later.sum(), DUP), np.full(check.sum(), CHECK)))
-        f = first[rows]
-        if len(rows):
-            yield _columns([tag, anchor[rows], span[rows], did[rows], tk[rows], s[rows], n[rows], off[rows], did[f], s[f]])
-        last = starts[-1]
-        carry = ([c[last] for c in cols], bool(fresh[last]), told)
+def _cut(codes: list[np.ndarray], text: np.ndarray, s: np.ndarray, n: np.ndarray, rows: np.ndarray, size: int) -> Iterator[bytes]:
+    """The symbols of some spans."""
+    for i, a, b in zip(text[rows].tolist(), s[rows].tolist(), (s + n - 1 + size)[rows].tolist(), strict=True):
+        yield codes[i][a:b].tobytes()
 
 
-def check_lists(resolved: DataFrame) -> DataFrame:
-    """Per document the spans whose windows must be compared one by one."""
-    return (
-        resolved.filter(F.col("kind") == CHECK)
-        .groupBy(DID, TKEY)
-        .agg(F.collect_list(F.struct("s", "n", "off", "anchor")).alias("spans"))
-    )
-
+def not_alone(rows: DataFrame) -> DataFrame:
+    """DUP rows, and as CHECK the others that share their anchor with another place; one shuffle and a pass with one row of state."""
 
-def window_rows(texts: DataFrame, lists: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, parts: int) -> DataFrame:
-    """The single windows of the CHECK spans of ``pressed`` texts: anchor, digits, _did, _tk, s.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the rows of the last place, and whether they were told
+        told = was = False
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            known = cols[0] != 0
+            if known.any():
+                yield _columns([c[known] for c in cols])
+                cols = [c[~known] for c in cols]
+            if not len(cols[0]):
+                continue
+            before = 0
+            if held is not None:
+                before = len(held[0])
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            near = cols[1][1:] == cols[1][:-1]
+            other = (cols[3][1:] != cols[3][:-1]) | (cols[5][1:] != cols[5][:-1])
+            place = np.cumsum(np.concatenate(([0], ~near | other)))  # repeated rows are one place
+            link = near & other
+            check = np.bincount(place, np.concatenate(([False], link)) | np.append(link, False)) > 0
+            check[0] |= before > 0 and told
+            out = check[place]
+            told = bool(check[-1])
+            held = [c[np.searchsorted(place, place[-1]) :] for c in cols]
+            if before and (check[0] and was):
+                out = out.copy()
+                out[:before] = False
+            was = told
+            if out.any():
+                yield _columns([np.full(out.sum(), CHECK), *(c[out] for c in cols[1:])])
+
+    return rows.repartition("deal").sortWithinPartitions("deal", DID, "s").mapInArrow(run, SPAN_SCHEMA)
 
-    All rows and columns of ``texts`` go through the exchange (a left join), so that a caller who joins the same frame
-    by the same keys again shares it; texts without CHECK spans are left out behind it, still compressed.
 
-    A window's digits are hashes of its ``parts`` stretches of ``size / parts`` symbols, 64 / ``parts`` bits each, the first
-    in the highest bits of ``digits``.  ``anchor`` becomes the hash of the span's anchor and the window's distance from
-    it: equal windows agree in both.
-    """
-    step, bits = size // parts, 64 // parts
+def resolve(rows: DataFrame) -> DataFrame:
+    """``not_alone`` by content hash: as DUP, with its first place, what an equal span precedes; as CHECK the first of several spans of an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", "digits", DID, TKEY, "s"])
-
+        carry = None  # the last span's first row; its anchor's first span or not; told as CHECK or not
         for batch in batches:
-            batch = batch.filter(batch.column("spans").is_valid())
-            lists_ = batch.column("spans").to_pylist()
-            dids, tks = batch.column(DID).to_numpy(), batch.column(TKEY).to_numpy()
-            out: list[list[np.ndarray]] = []
-            held = 0
-            for i, text in enumerate(unpressed(batch.column("z"))):
-                h = Hashes(encode(text))
-                s, n, off, anchor = (np.array([x[k] for x in lists_[i]], np.int64) for k in ("s", "n", "off", "anchor"))
-                which = np.repeat(np.arange(len(s)), n)
-                nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                at = s[which] + nth
-                key = mix(anchor[which].view(np.uint64) ^ mix((off[which] - nth).astype(np.uint64)))
-                d = np.zeros(len(at), np.uint64)
-                for p in range(parts):
-                    part = h.slices(at + p * step, at + (size if p == parts - 1 else (p + 1) * step))
-                    d = part if parts == 1 else (d << np.uint64(bits)) | (part >> np.uint64(64 - bits))
-                one = np.ones(len(at), np.int64)
-                out.append([key.view(np.int64), d.view(np.int64), one * dids[i], one * tks[i], at])
-                held += len(at)
-                if held >= 200_000:
-                    yield made(out)
-                    out, held = [], 0
-            if out:
-                yield made(out)
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            known = cols[0] != 0
+            if known.any():  # they are resolved already
+                yield _columns([c[known] for c in cols])
+                cols = [c[~known] for c in cols]
+            if not len(cols[0]):
+                continue
+            if carry is not None:
+                cols = [np.concatenate(([v], c)) for v, c in zip(carry[0], cols, strict=True)]
+            _, deal, span, did, tk, s, n, off, _, _, _ = cols
+            fresh = np.concatenate(([True], deal[1:] != deal[:-1]))
+            new = fresh | np.concatenate(([True], span[1:] != span[:-1]))
+            if carry is not None:
+                fresh[0] = carry[1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(deal)), 0))
+            starts = np.flatnonzero(new)
+            other = np.append(~fresh[starts[1:]], False)  # the next span has the same anchor
+            check = ~fresh[starts] | other
+            told = bool(check[-1])
+            if carry is not None and carry[2]:
+                check[0] = False
+                told = told or len(starts) == 1
+            later = (did != did[first]) | (s != s[first])
+            rows_ = np.concatenate((np.flatnonzero(later), starts[check]))
+            if len(rows_):
+                tag = np.concatenate((np.full(later.sum(), DUP), np.full(check.sum(), CHECK)))
+                f = first[rows_]
+                yield _columns([tag, *(c[rows_] for c in (deal, span, did, tk, s, n, off)), did[f], tk[f], s[f]])
+            last = starts[-1]
+            carry = ([c[last] for c in cols], bool(fresh[last]), told)
 
-    joined = texts.join(lists.hint("shuffle_hash"), [DID, TKEY], "left")
-    return joined.select(*texts.columns, "spans").mapInArrow(run, f"anchor long, digits long, {DID} long, {TKEY} long, s long")
+    return rows.repartition("deal").sortWithinPartitions("deal", "kind", "span", DID, "s").mapInArrow(run, SPAN_SCHEMA)
+
+
+def check_lists(resolved: DataFrame) -> DataFrame:
+    """Per document the spans whose windows must be compared."""
+    return resolved.filter(F.col("kind") == CHECK).groupBy(DID, TKEY).agg(F.collect_list(F.struct("s", "n", "off")).alias("spans"))
+
+
+def listed_spans(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """For a column of check_lists: row, s, n and off of every span."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    sizes = np.diff(column.offsets.to_numpy())
+    return (np.repeat(np.arange(len(column)), sizes), *(flat.field(i).to_numpy() for i in range(3)))
 
 
 WORD_CODES: dict[bytes, int] = {}
@@ -276,38 +310,78 @@ def bytes_to_codes(text: bytes) -> np.ndarray:
     return _BYTE_CODES[np.frombuffer(text, np.uint8)]
 
 
-def equal_windows(rows: DataFrame, parts: int) -> DataFrame:
-    """Windows that also start earlier, with their first place, by most-significant-digit passes.
 
-    The exchange deals rows out by the first digit's bucket (the anchor), the sort within a partition can spill,
-    and the passes over the sorted rows refine the buckets digit by digit: a row that is alone in its bucket
-    after a pass takes no part in the next.  State: one row.
+
+CLAIM_SCHEMA = f"{DID} long, {TKEY} long, s long, f_did long, f_tk long, f_s long"
+
+
+def window_rows(texts: DataFrame, lists: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, gram: int) -> DataFrame:
+    """The single windows of the listed spans of ``pressed`` texts, by content hash.
+
+    Of equal windows that a worker holds at a time only the first is to meet others; the others come with its place (f_did and so on).
+    All rows and columns of ``texts`` go through the exchange (a left join), so that a caller who joins the same frame
+    by the same keys again shares it; texts without such spans are left out behind it, still compressed.
     """
-    bits = 64 // parts
+    names = ["deal", DID, TKEY, "s", "later", "f_did", "f_tk", "f_s"]
+
+    def made(out: list) -> pa.RecordBatch:
+        key, did, tk, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((s, did, key))
+        key, did, tk, s = (x[order] for x in (key, did, tk, s))
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
+        later = (did != did[first]) | (s != s[first])
+        spread = mix(did.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))
+        cols = [np.where(later, spread, key).view(np.int64), did, tk, s, later, *(np.where(later, x[first], 0) for x in (did, tk, s))]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
+        out: list[list[np.ndarray]] = []
+        held = 0
         for batch in batches:
+            batch = batch.filter(batch.column("spans").is_valid())
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in ["anchor", "digits", DID, TKEY, "s"]]
+            row, s, n, _ = listed_spans(batch.column("spans"))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            dids, tks = batch.column(DID).to_numpy(), batch.column(TKEY).to_numpy()
+            for i, text in enumerate(unpressed(batch.column("z"))):
+                h = Hashes(encode(text))
+                a, m = s[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]
+                at = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                one = np.ones(len(at), np.int64)
+                out.append([h.slices(at, at + size), one * dids[i], one * tks[i], at])
+                held += len(at)
+                if held >= HELD:
+                    yield made(out)
+                    out, held = [], 0
+        if out:
+            yield made(out)
+
+    joined = texts.join(lists.hint("shuffle_hash"), [DID, TKEY], "left")
+    return joined.select(*texts.columns, "spans").mapInArrow(run, f"deal long, {DID} long, {TKEY} long, s long, later boolean, f_did long, f_tk long, f_s long")
+
+
+def equal_windows(rows: DataFrame) -> DataFrame:
+    """Claims: windows that also start earlier, with their first place.  Dealt by content, sorted; state: one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in CLAIM_SCHEMA.split(", ")]
+        carry = None
+        for batch in batches:
+            later = batch.column("later").to_numpy(zero_copy_only=False)
+            if later.any():
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(batch.column("later")) for c in names], names)
+            cols = [batch.column(c).to_numpy()[~later] for c in ("deal", DID, TKEY, "s")]
+            if not len(cols[0]):
+                continue
             if carry is not None:
                 cols = [np.concatenate(([v], c)) for v, c in zip(carry, cols, strict=True)]
-            rows = np.arange(len(cols[0]))
-            change = np.concatenate(([True], cols[0][1:] != cols[0][:-1]))
-            for p in range(parts):
-                d = cols[1][rows].view(np.uint64) >> np.uint64(64 - bits * (p + 1))
-                change = change | np.concatenate(([True], d[1:] != d[:-1]))
-                alone = change & np.append(change[1:], False)  # the last row may go on in the next batch
-                rows, change = rows[~alone], change[~alone]
-            did, tk, s = (c[rows] for c in cols[2:])
-            first = np.maximum.accumulate(np.where(change, np.arange(len(rows)), 0))
-            later = (did != did[first]) | (s != s[first])
-            if later.any():
-                f = first[later]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[later], tk[later], s[later], did[f], s[f])], [DID, TKEY, "s", "f_did", "f_s"])
-            if len(rows):
-                carry = [c[rows[first[-1]]] for c in cols]
-
-    order = ["anchor", "digits", DID, "s"]
-    return rows.repartition("anchor").sortWithinPartitions(*order).mapInArrow(run, f"{DID} long, {TKEY} long, s long, f_did long, f_s long")
+            key, did, tk, s = cols
+            first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
+            late = (did != did[first]) | (s != s[first])
+            if late.any():
+                f = first[late]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[late], tk[late], s[late], did[f], tk[f], s[f])], names)
+            carry = [c[first[-1]] for c in cols]
+
+    return rows.repartition("deal").sortWithinPartitions("deal", DID, "s").mapInArrow(run, CLAIM_SCHEMA)
