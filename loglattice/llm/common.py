@@ -27,22 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, nothing depends on one executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out, path = _written(df)
     if _scopes:
         _scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
 @contextmanager
 def scope(spark: SparkSession):
-    """Tables that are stashed inside are removed at the end; what is to stay is written elsewhere by then."""
+    """Gives a function that writes a table as ``stash`` does; tables that are stashed otherwise inside are removed at the end."""
     _scopes.append([])
     try:
-        yield
+        yield lambda df: _written(df)[0]
     finally:
         for path in _scopes.pop():
             remove(spark, path)
@@ -98,3 +102,18 @@ def unpressed(column) -> list[bytes]:
     import zstandard
 
     return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``carried`` rows of ``docs`` that aren't in ``gone`` (_did, _tk), which is broadcast if its counted size allows; else texts are shuffled."""
+    return carried(docs).join(joinable(stash(gone)), [DID, TKEY], "left_anti")
+
+
+def one_each(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The user's rows of ``carried`` ones, of repeated rows any one; ``keys``: _did and _tk of all of them.  Only repeated rows are shuffled."""
+    again = stash(keys.groupBy(DID, TKEY).agg(F.count("*").alias("n")).filter("n > 1").select(DID, TKEY))
+    if again.isEmpty():
+        return rows.select("row.*")
+    again = joinable(again)
+    once = rows.join(again, [DID, TKEY], "left_semi").dropDuplicates([DID, TKEY])
+    return rows.join(again, [DID, TKEY], "left_anti").unionByName(once).select("row.*")

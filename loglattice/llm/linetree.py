@@ -9,7 +9,9 @@ as template.  A template that lines of MIN_DOCS or more documents have is recurr
 doc_id, then line) stays and all others are dropped, so text that is copied as a whole survives once.
 
 Defined results: null text has no lines and stays null; blank lines are never dropped; repeated rows are one document,
-and lose the same lines; a null doc_id counts as the smallest; lines of any length are taken whole.
+and lose the same lines; texts of one doc_id are one document for counting, with lines of their own; a null doc_id counts as the smallest; of tokens
+that are equally frequent none has a majority; lines of any length are taken whole; an empty table gives an empty one; other columns may have any
+names and stay as they are.
 """
 
 from __future__ import annotations
@@ -17,18 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, joinable, let, stash, table
+from .common import DID, TKEY, carried, identified, joinable, let, stash, table
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 2, 0.6
 _BLANKS = r"[\x20\x09-\x0D]+"
 WILD = "<*>"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn(DID, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(TKEY, F.xxhash64(body))
-
-
 def _masked(plain: Column) -> Column:
     """``plain`` with every token that has a digit as ``<*>``."""
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)[^\s\d]*+\d\S*", WILD)).otherwise(plain)
@@ -41,7 +38,7 @@ def _parted(line: Column) -> Column:
 
 def lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """_did, _tk, place, leaf (hash of the path) and plain text of every line with a token."""
-    rows = _keyed(docs).select(DID, TKEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    rows = identified(docs).select(DID, TKEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(DID, TKEY, "place", _parted(F.col("line")).alias("plain"))
     n = F.octet_length("plain") - F.octet_length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("leaf", F.xxhash64(n, _masked(F.substring_index("plain", " ", depth))))
@@ -81,25 +78,25 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, sim
 
 
 def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with its own columns, ``text`` without the dropped lines, and n_lines and n_dropped."""
-    own = docs.withColumn("text", F.col("text").cast("string"))
-    gone = recurring(own, depth, min_docs, similarity).groupBy(DID, TKEY).agg(F.collect_set("place").alias("_gone"))
+    """Each whole row of ``docs`` as the struct ``row``, its ``text`` without the dropped lines, beside n_lines and n_dropped."""
+    gone = recurring(docs, depth, min_docs, similarity).groupBy(DID, TKEY).agg(F.collect_set("place").alias("gone"))
+    text = F.col("row.text").cast("string")
 
     def cut(x: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone"))
         return F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), cut))
-    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    joined = _keyed(own).join(gone.hint("shuffle_hash"), [DID, TKEY], "left")
-    out = joined.withColumns({"_n": n, "_d": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "_t": text})
-    columns = [F.col("_t").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped"))
+    left = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), cut))
+    n = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    out = carried(docs).join(gone.hint("shuffle_hash"), [DID, TKEY], "left")
+    return out.select(
+        F.col("row").withField("text", left).alias("row"), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")
+    )
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents``: doc_id, n_lines, n_dropped and the text that is left."""
-    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_lines", "n_dropped", "row.text")
 
 
 def brute(rows: list[tuple[int, str | None]], depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> list[tuple]:

@@ -81,11 +81,15 @@ def patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3).compress
+        press, told = zstandard.ZstdCompressor(level=3).compress, set()
         for b in batches:
             b = b.filter(b.column("cuts").is_valid())
             rows: list[tuple] = []
             for did, tk, text, cuts in zip(b.column(DID).to_pylist(), b.column(TKEY).to_pylist(), unpressed(b.column("z")), b.column("cuts").to_pylist(), strict=True):
+                if tk:  # only rows of a doc_id with several rows have one: they may be repeated
+                    if (did, tk) in told:
+                        continue
+                    told.add((did, tk))
                 words = text.split()
                 rows += [(did, tk, c["f_s"], c["words"], press(b" ".join(words[c["f_s"] : c["f_s"] + c["words"]]))) for c in cuts]
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -94,7 +98,7 @@ def patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
     key = ["f_did", "f_tk", "f_s", "words"]
     cuts = found.select(*key).distinct().groupBy(F.col("f_did").alias(DID), F.col("f_tk").alias(TKEY)).agg(F.collect_list(F.struct("f_s", "words")).alias("cuts"))
     cut = texts.join(cuts.hint("shuffle_hash"), [DID, TKEY], "left").select(*texts.columns, "cuts").mapInArrow(run, kind)
-    return cut.dropDuplicates(key).join(found, key).select("shard", "f_did", "f_s", "words", "z")
+    return cut.join(found, key).select("shard", "f_did", "f_s", "words", "z")
 
 
 def _locate(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:

@@ -7,7 +7,8 @@ reaches a fixed threshold.  Counts cover all documents; the model has a fixed si
 
 Defined results: null or empty text has no words, so it fails the base rules; a null ``doc_id`` has no label; a
 doc_id that the labels name more than once with quality 1 counts once; without labels both multinomials agree and
-the base rules decide alone; repeated rows count as often as they occur.
+the base rules decide alone; repeated rows count as often as they occur; texts of one doc_id share its label; texts of any length are taken whole;
+a score at the threshold is kept; an empty table gives an empty one; other columns may have any names and stay as they are.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joinable, let, table
+from .common import let, stash, table
 
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.4
+BITMAP_BYTES = 64 << 20
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -76,7 +78,7 @@ def repeated_words(tokens: Column, size: int = REPEAT_WINDOW) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; needs doc_id and text."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; needs text and none of these names."""
     t = _text()
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumns(
@@ -109,18 +111,40 @@ def _buckets(tokens: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+def _trusted(docs: DataFrame, labels: DataFrame, limit: int = BITMAP_BYTES) -> DataFrame:
+    """``docs`` with t, 1 for a trusted doc_id, else 0.
+
+    The ids go to the workers as bitmaps of 4 KB for 32,768 numbers in a row, so texts aren't shuffled.  Ids so scattered that their
+    bitmaps take more than ``limit`` bytes meet the documents in a shuffled join.
+    """
+    ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    part = F.call_function("bitmap_bucket_number", F.col("doc_id").cast("long"))
+    bits = stash(ids.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(F.call_function("bitmap_bit_position", F.col("doc_id"))).alias("bits")))
+    if bits.count() * 4096 > limit:
+        marked = docs.withColumn("id", F.col("doc_id").cast("long")).join(ids.distinct().select(F.col("doc_id").alias("id"), F.lit(1).alias("t")), "id", "left")
+        return marked.select(*docs.columns, F.coalesce("t", F.lit(0)).alias("t"))
+    joined = docs.withColumn("part", part).join(F.broadcast(bits), "part", "left")
+    at = F.call_function("bitmap_bit_position", F.col("doc_id").cast("long"))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("long")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1))
+    return joined.select(*docs.columns, F.coalesce(bit, F.lit(0)).cast("int").alias("t"))
+
+
+def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = BITMAP_BYTES) -> list[float]:
     """log p_target(bucket) / p_raw(bucket) for every bucket; the counts are summed on the cluster."""
-    trusted = joinable(labels.filter("quality = 1 and doc_id is not null").select("doc_id", F.lit(1).alias("_trusted")).distinct())
-    rows = docs.select("doc_id", _text().alias("text")).join(trusted, "doc_id", "left")
-    grams = rows.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(let(_tokens(F.col("text")), lambda t: _buckets(t, buckets))).alias("b"))
+    rows = _trusted(docs.select("doc_id", _text().alias("text")), labels, limit)
+    grams = rows.select("t", F.explode(let(_tokens(F.col("text")), lambda t: _buckets(t, buckets))).alias("b"))
     got = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # at most BUCKETS rows
     raw, target = [smoothing] * buckets, [smoothing] * buckets
     for r in got:
         raw[r["b"]] += r["raw"]
         target[r["b"]] += r["target"]
-    if sum(r["target"] for r in got) == 0:
-        return [0.0] * buckets
+    return _log_ratios(target, raw, sum(r["target"] for r in got))
+
+
+def _log_ratios(target: list[float], raw: list[float], found: int) -> list[float]:
+    if not found:
+        return [0.0] * len(raw)
     a, b = math.fsum(target), math.fsum(raw)
     return [round(math.log(x / a) - math.log(y / b), 9) for x, y in zip(target, raw, strict=True)]
 
@@ -135,16 +159,16 @@ def llr(text: Column, ratio: list[float]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the base columns, ``llr`` and ``kept``."""
+    """Each whole row of ``docs`` as the struct ``row``, with the base columns, ``llr`` and ``kept``."""
     ratio = ratios(docs, labels)
-    out = base_counts(docs).withColumn("llr", llr(_text(), ratio))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    out = base_counts(docs.select(F.struct("*").alias("row"), _text().alias("text"))).withColumn("llr", llr(_text(), ratio))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("text")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every row of ``documents``."""
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
 def brute_base(text: str | None) -> tuple:
@@ -155,3 +179,24 @@ def brute_base(text: str | None) -> tuple:
     hit = {j for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(w), sum(map(len, w)), sum(c in SYMBOLS for c in text), len(lines) - len(set(lines)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
+
+
+def brute_llr(rows: list[tuple], trusted: set, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+    """Scores by plain loops, for tests: rows (doc_id, text)."""
+    import xxhash
+
+    def grams(text: str | None) -> list[int]:
+        w, out = [x.encode() for x in re.findall(_GRAMS, text or "")], []
+        for i, x in enumerate(w):
+            one = xxhash.xxh64_intdigest(x, 42)
+            out += [one & (buckets - 1), (xxhash.xxh64_intdigest(w[i + 1], one) if i + 1 < len(w) else one) & (buckets - 1)]
+        return out
+
+    every = [grams(t) for _, t in rows]
+    target, raw = [smoothing] * buckets, [smoothing] * buckets
+    for (d, _), g in zip(rows, every, strict=True):
+        for b in g:
+            raw[b] += 1
+            target[b] += d in trusted
+    ratio = _log_ratios(target, raw, sum(len(g) for (d, _), g in zip(rows, every, strict=True) if d in trusted))
+    return [sum(ratio[b] for b in g) / max(len(g), 1) for g in every]

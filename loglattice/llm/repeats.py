@@ -136,9 +136,10 @@ def _columns(rows: list[np.ndarray]) -> pa.RecordBatch:
 def scan_spans(docs: DataFrame, encode: Callable[[bytes], np.ndarray], size: int, gram: int, hot: np.ndarray, content: bool = False, raw: bool = False) -> DataFrame:
     """Spans of every document (columns of SPAN_SCHEMA): ``kind`` 0, or CHECK if the anchor is hot, or DUP.
 
-    ``span`` is the hash of the span's content, if ``content`` asks for it; ``raw``: symbols are single bytes.
+    ``span`` is the hash of the span's content, if ``content`` asks for it; ``raw``: symbols are single bytes, and equal
+    spans are compared byte by byte (else by hash, for callers that confirm).
 
-    Pre-aggregation: of the spans that a worker holds at a time, equal ones (compared symbol by symbol) are shuffled once, the
+    Pre-aggregation: of the spans that a worker holds at a time, equal ones are shuffled once, the
     earliest; the others are known to repeat it, so a passage that a third of all rows share doesn't meet in one task.
     ``deal`` is the anchor for ``kind`` 0 and a key of its own for the others.
     """
@@ -157,9 +158,9 @@ def scan_spans(docs: DataFrame, encode: Callable[[bytes], np.ndarray], size: int
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             later = (did != did[first]) | (s != s[first])
             keep = new | later | (tk != tk[first])
-            rows = np.flatnonzero(later)
-            same = [a == b for a, b in zip(_cut(codes, text, s, n, rows, size), _cut(codes, text, s, n, first[rows], size), strict=True)]
-            later[rows] = same
+            if raw:
+                rows = np.flatnonzero(later)
+                later[rows] = [a == b for a, b in zip(_cut(codes, text, s, n, rows, size), _cut(codes, text, s, n, first[rows], size), strict=True)]
             kind = np.where(later, DUP, np.where(is_in(anchor, sent.value), CHECK, 0))
             spread = mix(did.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))
             deal = np.where(kind > 0, spread, anchor).view(np.int64)
@@ -176,7 +177,7 @@ def scan_spans(docs: DataFrame, encode: Callable[[bytes], np.ndarray], size: int
                     continue
                 s, n, off, anchor, span = found
                 parts.append((np.full(len(s), dids[i]), np.full(len(s), tks[i]), s, n, off, anchor, span, np.full(len(s), len(codes))))
-                codes.append(np.frombuffer(text, np.uint8) if raw else code)
+                codes.append(np.frombuffer(text, np.uint8) if raw else None)
                 held += len(s)
                 if held >= HELD:
                     yield flush()
@@ -267,7 +268,7 @@ def resolve(rows: DataFrame) -> DataFrame:
             last = starts[-1]
             carry = ([c[last] for c in cols], bool(fresh[last]), told)
 
-    return rows.repartition("deal").sortWithinPartitions("deal", "kind", "span", DID, "s").mapInArrow(run, SPAN_SCHEMA)
+    return rows.repartition("deal").sortWithinPartitions("deal", "span", DID, "s").mapInArrow(run, SPAN_SCHEMA)
 
 
 def check_lists(resolved: DataFrame) -> DataFrame:

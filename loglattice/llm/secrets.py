@@ -3,17 +3,18 @@
 A document is a chain of tokens.  Each token is tagged begin, inside or outside of a secret from: its shape class, the
 classes of the two neighbours on either side, and a feature of the file (how many of its tokens look like code).  The
 weights are fitted by gradient steps on exact forward-backward likelihood; the labels are the base patterns' matches in a
-bounded sample (SAMPLE rows with the smallest hash of doc_id; LEAST: shortest code-like token that a tagged span may begin or end with), so the model carries their contexts over to other values.
+bounded sample (SAMPLE rows and of their stretches 2 x CHAINS, those with the smallest hashes), so the model carries their contexts over to
+other values.  LEAST is the shortest code-like token that a tagged span may begin or end with.
 Viterbi decodes whole chains: a token whose lead for "outside" exceeds what all transitions could win back is outside on
 every best path, so the chain may be cut there without changing the result, and most text is decided at once.
 
 Defined results: null text is empty (no span); a sample without secrets gives a model that adds nothing; repeated rows get
-equal results; long texts are decoded whole; tagged spans that touch a base span are not added again.
+equal results; long texts are decoded whole; tagged spans that touch a base span are not added again; equally good paths: the lower tag; texts
+of one doc_id are told apart; a null doc_id is scanned like any other; an empty table gives an empty one; other columns may have any names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, identified, table
+from .common import DID, TKEY, identified, stash, table
 
-SAMPLE, STEPS, LEAST = 3000, 60, 8
+SAMPLE, CHAINS, STEPS, LEAST = 3000, 2000, 60, 8
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")  # runs are maximal: bounds drop short ones
@@ -205,9 +206,9 @@ def _chains(text: str, known: dict, around: int = 6) -> list[tuple[list[tuple],
             tags[k], first = (1 if first else 2), False
             k += 1
     file = _file(classes)
-    marks = [i for i, c in enumerate(classes) if tags[i] or c[0] in ("code", "hint")][:200] + ([0] if classes else [])
+    marks = {i for i, c in enumerate(classes) if tags[i] or c[0] in ("code", "hint")} | ({0} if classes else set())
     out, end = [], 0
-    for i in sorted(set(marks)):
+    for i in sorted(marks):
         lo, hi = max(end, i - around), min(len(classes), i + around + 1)
         if hi > lo:
             out.append((classes[lo:hi], tags[lo:hi], file))
@@ -215,23 +216,30 @@ def _chains(text: str, known: dict, around: int = 6) -> list[tuple[list[tuple],
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the base patterns' matches in at most ``sample`` documents; only their classes and tags reach the driver."""
+def train(docs: DataFrame, sample: int = SAMPLE, chains: int = CHAINS) -> Model:
+    """Fit on the base patterns' matches in at most ``sample`` documents: on at most ``chains`` stretches with and as many without a secret.
+
+    Documents and stretches are those with the smallest hash (of identity and place), wherever they lie in a text; only the chosen ones reach the driver.
+    """
     import pickle
 
     chosen = docs.select(DID, TKEY).orderBy(F.xxhash64(DID, TKEY), DID).limit(sample).distinct()
+    schema = f"{DID} long, {TKEY} long, place long, secret boolean, x binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            rows = [pickle.dumps(_chains(t, known)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(DID), pa.array(rows, pa.binary())], [DID, "x"])
+            rows: list[tuple] = []
+            for did, tk, t in zip(*(b.column(c).to_pylist() for c in (DID, TKEY, "text")), strict=True):
+                rows += [(did, tk, i, any(c[1]), pickle.dumps(c)) for i, c in enumerate(_chains(t, known))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    picked = docs.join(F.broadcast(chosen), [DID, TKEY]).select(DID, "text").mapInArrow(run, f"{DID} long, x binary")
-    rows = sorted((r[0], bytes(r[1])) for r in picked.toLocalIterator())
-    chains = [c for _, x in rows for c in pickle.loads(x)]  # noqa: S301  written by the tasks above
-    quiet = [c for c in chains if not any(c[1])]
-    return fit([c for c in chains if any(c[1])][:2000] + quiet[:2000])
+    picked = stash(docs.join(F.broadcast(chosen), [DID, TKEY]).select(DID, TKEY, "text").mapInArrow(run, schema).withColumn("h", F.xxhash64(DID, TKEY, "place")))
+    order = ["h", DID, TKEY, "place"]
+    rows = [r for secret in (True, False) for r in picked.filter(F.col("secret") == secret).orderBy(*order).limit(chains).select("x").collect()]
+    return fit([pickle.loads(bytes(r[0])) for r in rows])  # noqa: S301  written by the tasks above
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,6 +298,45 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def brute_digest(text: str | None) -> str:
-    """base_sha256 by plain loops, for tests."""
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base_spans(text or "")).encode()).hexdigest()
+def brute_spans(text: str | None) -> list[tuple[int, int, str]]:
+    """The base spans by plain loops over characters, for tests."""
+    text, out = text or "", []
+    value = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    at = 0
+    while at < len(text):
+        end = 0
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                p = at + len(word)
+                p += text[p : p + 1] in ("'", '"') and p < len(text)
+                while text[p : p + 1] == " ":
+                    p += 1
+                if text[p : p + 1] not in (":", "="):
+                    continue
+                p += 1
+                while text[p : p + 1] == " ":
+                    p += 1
+                p += text[p : p + 1] in ("'", '"') and p < len(text)
+                q = p
+                while q < len(text) and text[q] in value:
+                    q += 1
+                if q > p:
+                    end = q
+                    if q - p >= 12:
+                        out.append((at, q, "assign"))
+                    break
+        at = end or at + 1
+    for kind, head, signs, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), ("hex", "", "0123456789abcdef", 16)):
+        at = 0
+        while at < len(text):
+            q = at + len(head)
+            if not text.startswith(head, at):
+                at += 1
+                continue
+            while q < len(text) and text[q] in signs:
+                q += 1
+            if q - at >= least and q > at + len(head):
+                out.append((at, q, kind))
+            at = max(q, at + 1) if q > at + len(head) else at + 1
+    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))

@@ -11,7 +11,8 @@
   Within a group of many rows only a spanning forest of its links is returned.
 
 Defined results: null or empty text has fingerprint zero and links like any other; a null ``doc_id`` is ignored in
-the minimum that names a component (null if there is no other); repeated rows share everything.
+the minimum that names a component (null if there is no other); repeated rows share everything (``keep_one`` keeps one of them); texts of one
+doc_id are told apart; texts of any length are taken whole; an empty table gives an empty one; other columns may have any names and stay as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DID, TKEY, identified, stash, table
+from .common import DID, TKEY, identified, one_each, stash, table, without
 from .components import components
 
 SHINGLE, LIMIT, SEED = 3, 2, 42
@@ -164,9 +165,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> Dat
     """The first row (smallest doc_id) of each component; of repeated rows one."""
     found = near_duplicates(docs, shingle, limit)
     gone = found.filter((F.col(f"first.{DID}") != F.col(DID)) | (F.col(f"first.{TKEY}") != F.col(TKEY))).select(DID, TKEY).distinct()
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn(DID, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn(TKEY, F.xxhash64(body))
-    return keyed.join(gone.hint("shuffle_hash"), [DID, TKEY], "left_anti").dropDuplicates([DID, TKEY]).select(*docs.columns)
+    return one_each(without(docs, gone), found)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

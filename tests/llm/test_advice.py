@@ -43,7 +43,7 @@ def test_lines_of_two_documents_recur(spark):
     mail = "Subscribe to our weekly letter number {} for news and offers"
     rows = [(1, f"own words here\n{mail.format(1)}"), (2, f"{mail.format(22)}\nother text there"), (3, "we saw the dog run over green hills at noon"), (4, "we saw the man sit under green trees by night")]
     rows += [(5, f"{mail.format(3)}\n{mail.format(4)}"), (6, "twice in one\ntwice in one")]
-    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in linetree.drop_recurring(frame(spark, rows)).collect()}
+    got = {r["row"]["doc_id"]: (r["n_dropped"], r["row"]["text"]) for r in linetree.drop_recurring(frame(spark, rows)).collect()}
     assert got[1] == (0, rows[0][1]) and got[2] == (1, "other text there") and got[5] == (2, "")
     assert all(got[d][0] == 0 for d in (3, 4, 6))  # little in common; twice in one document only
     assert sorted((d, n, t) for d, (n, t) in got.items()) == sorted((d, g, t) for d, _, g, t in linetree.brute(rows))

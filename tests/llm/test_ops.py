@@ -92,7 +92,7 @@ def test_decontamination(spark):
 
 def test_line_dedup(spark):
     rows = corpus()
-    got = linetree.drop_recurring(frame(spark, rows)).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    got = linetree.drop_recurring(frame(spark, rows)).select("row.doc_id", "n_lines", "n_dropped", "row.text").collect()
     assert sorted(map(tuple, got), key=str) == sorted(linetree.brute(rows), key=str)
     assert sum(r["n_dropped"] for r in got) >= 5
 
@@ -100,7 +100,11 @@ def test_line_dedup(spark):
 def test_quality_rules(spark):
     rows = corpus()
     labels = spark.createDataFrame([(d, d % 2, 0) for d, _ in rows], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows), labels).collect()}
+    got = {r["row"]["doc_id"]: r for r in quality_rules.judge(frame(spark, rows), labels).collect()}
+    want = quality_rules.brute_llr(rows, {d for d, _ in rows if d % 2})
+    for (d, _), score in zip(rows, want, strict=True):
+        assert abs(got[d]["llr"] - score) < 1e-6, d
+        assert got[d]["kept"] == (not got[d]["base_failed"] and got[d]["llr"] >= quality_rules.THRESHOLD)
     for d, t in rows:
         r = got[d]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == quality_rules.brute_base(t), d
