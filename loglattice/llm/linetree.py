@@ -16,12 +16,13 @@ names and stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import DID, TKEY, carried, identified, joinable, let, stash, table
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 2, 0.6
+SIEVE_BITS = 1 << 26
 _BLANKS = r"[\x20\x09-\x0D]+"
 WILD = "<*>"
 
@@ -44,13 +45,21 @@ def lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.withColumn("leaf", F.xxhash64(n, _masked(F.substring_index("plain", " ", depth))))
 
 
-def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """Lines to drop: _did, _tk, place."""
-    every = lines(docs, depth)
-    leaves = stash(every.groupBy("leaf").agg(F.count_distinct(DID).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"))
-    inside = every.join(joinable(leaves), "leaf")
-    inside = stash(inside.select("leaf", DID, TKEY, "place", _masked(F.col("plain")).alias("masked")))
-    kinds = inside.groupBy("leaf", "masked").agg(F.count("*").alias("n"))
+def _sieved(rows: DataFrame, keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """``rows`` without most of those whose leaf isn't in ``keys``; an exact join must follow where that matters.
+
+    The keys go to the workers as bits of a bitmap, in pieces of 4 KB: ``bits`` / 8 bytes at most, however many keys there are.
+    """
+    slot = F.pmod(F.col("leaf"), F.lit(bits).cast("long"))
+    part, at = F.call_function("bitmap_bucket_number", slot), F.call_function("bitmap_bit_position", slot)
+    dealt = keys.select(part.alias("part"), at.alias("at")).repartition("part")
+    joined = rows.withColumn("part", part).join(F.broadcast(stash(dealt.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")))), "part")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("long")
+    return joined.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
+def _alike(kinds: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """leaf, kind, template of the masked texts (leaf, masked, n) that take their leaf's template."""
     tokens = kinds.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("p", "token"))
     common = tokens.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
     best = common.groupBy("leaf", "p").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
@@ -64,17 +73,31 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, sim
         )
 
     free = F.size("tree") - depth
-    alike = (free > 0) & (let(F.split("masked", " "), same) >= similarity * free)
-    template = F.when(alike, F.xxhash64("leaf", "tree")).otherwise(F.xxhash64("leaf", "masked"))
-    named = kinds.select("leaf", "masked").join(made, "leaf").select("leaf", "masked", template.alias("template"))
-    rows = inside.join(named, ["leaf", "masked"]).select("template", DID, TKEY, "place")
-    rows = stash(rows)
-    many = (
-        rows.groupBy("template")
-        .agg(F.count_distinct(DID).alias("docs"), F.min(F.struct(DID, TKEY, "place")).alias("first"))
-        .filter(F.col("docs") >= min_docs)
-    )
-    return rows.join(joinable(stash(many)), "template").filter(F.struct(DID, TKEY, "place") != F.col("first")).select(DID, TKEY, "place")
+    fits = (free > 0) & (let(F.split("masked", " "), same) >= similarity * free)
+    return kinds.join(made, "leaf").filter(fits).select("leaf", F.xxhash64("masked").alias("kind"), F.xxhash64("leaf", "tree").alias("template"))
+
+
+def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """Lines to drop: _did, _tk, place.
+
+    Lines are counted by hashes.  Only leaves that hold several masked texts need a template, so only their texts are shuffled.
+    """
+    every = lines(docs, depth)
+    marks = stash(every.select("leaf", F.xxhash64(_masked(F.col("plain"))).alias("kind"), DID, TKEY, "place"))
+    counted = marks.groupBy("leaf").agg(F.count_distinct(DID).alias("docs"), (F.min("kind") != F.max("kind")).alias("several"))
+    leaves = stash(counted.filter(F.col("docs") >= min_docs).select("leaf", "several"))
+    mixed = leaves.filter("several").select("leaf")
+    inside = _sieved(every.select("leaf", "plain"), mixed).select("leaf", _masked(F.col("plain")).alias("masked"))
+    kinds = inside.groupBy("leaf", "masked").agg(F.count("*").alias("n"))
+    alike = stash(_alike(stash(kinds.join(joinable(mixed), "leaf", "left_semi")), depth, similarity))
+    rows = _sieved(marks, leaves).join(joinable(alike), ["leaf", "kind"], "left")
+    rows = stash(rows.select(F.coalesce("template", F.xxhash64("leaf", "kind")).alias("template"), DID, TKEY, "place"))
+    many = rows.groupBy("template").agg(F.count_distinct(DID).alias("docs"), F.min(DID).alias("least")).filter(F.col("docs") >= min_docs)
+    hits = rows.join(joinable(stash(many.select("template", "least"))), "template")
+    own = hits.filter(F.col(DID) == F.col("least"))  # of each template, lines of one doc_id
+    nth = F.rank().over(Window.partitionBy("template").orderBy(TKEY, "place"))
+    later = own.withColumn("nth", nth).filter("nth > 1").select(DID, TKEY, "place")
+    return hits.filter(F.col(DID) != F.col("least")).select(DID, TKEY, "place").unionByName(later)
 
 
 def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
