@@ -48,9 +48,10 @@ def lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 def _sieved(rows: DataFrame, keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
     """``rows`` without most of those whose leaf isn't in ``keys``; an exact join must follow where that matters.
 
-    The keys go to the workers as bits of a bitmap, in pieces of 4 KB: ``bits`` / 8 bytes at most, however many keys there are.
+    The keys go to the workers as bits of a bitmap, in pieces of 4 KB: ``bits`` (a power of two) / 8 bytes at most, however many
+    keys there are.
     """
-    slot = F.pmod(F.col("leaf"), F.lit(bits).cast("long"))
+    slot = F.col("leaf").bitwiseAND(F.lit(bits - 1).cast("long"))
     part, at = F.call_function("bitmap_bucket_number", slot), F.call_function("bitmap_bit_position", slot)
     dealt = keys.select(part.alias("part"), at.alias("at")).repartition("part")
     joined = rows.withColumn("part", part).join(F.broadcast(stash(dealt.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")))), "part")
