@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, linetree, nbsvm, packing, phrases, quality_rules, radix, secrets, simhash
+from . import decontaminate, html_text, linetree, nbsvm, packing, periodic, phrases, quality_rules, radix, secrets, simhash
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8,
         "op9_quality_classifier": nbsvm.op9,
         "op10_packing": packing.op10,
+        "op11_periodic_runs": periodic.op11,
         "pipeline": _pipeline,
     }
 
