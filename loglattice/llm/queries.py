@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, linetree, nbsvm, packing, periodic, phrases, quality_rules, radix, secrets, simhash, toxicity
+from . import decontaminate, html_text, linetree, nbsvm, packing, periodic, phrases, quality_rules, radix, secrets, simhash, toxicity, variants
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": nbsvm.op9,
         "op10_packing": packing.op10,
         "op11_periodic_runs": periodic.op11,
+        "op12_spelling_variants": variants.op12,
         "op13_toxicity": toxicity.op13,
         "pipeline": _pipeline,
     }
