@@ -9,18 +9,24 @@ with C characters, T tags, LC and LT those in links, nLC the characters outside
 The smallest density on the core's path to the body is the threshold: while the parent's other children that reach
 it hold text of the article (or the parent is an article or main element), the core grows to the parent.
 
+Where one article element holds most of what articles hold, it is the core.  Headings next to the core, and its siblings at the body's top that are
+as dense, are taken with it.
+
 Elements that hold no article text are left out of the tree: scripts, styles, forms, menus, page headers and footers,
 asides, and elements one of whose names (class, id or role, taken whole) is made of words for menus, sidebars, notices, adverts,
-share boxes or reader comments.  Some of these words have other meanings too: where such an element holds most of the page's
-text and there is no article element, it stays.
+share boxes or reader comments.  A form may wrap a whole page and a name may mean something else, so such an element stays (without
+its own parts of the kind) where the page outside it holds next to nothing, by how sure its kind is: a doubtful name if it holds 4 times the text outside, a
+form or a sure name 20 times, comments only if there is nothing else; none if there is text in an article outside.
 
 Defined results: null or empty html gives an empty text; a null url or page_id is passed through; unclosed and
 wrongly nested tags are closed where their parents end or their like begins, also in parts that are left out; text of any length is
-taken whole; ties go to the first node; repeated rows get equal results; an empty table gives an empty one; other columns are not read.
+taken whole, in time that grows with it (tags that are never closed, deep nesting and end tags of nothing included); a quote that isn't closed ends with its
+tag; ties go to the first node; repeated rows get equal results; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as html_
 import math
 import re
@@ -32,11 +38,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|"
+    # quotes open a value only behind an equals sign
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[\"']?[^\s>]*+))*+)>",
+    re.S,
+)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title template iframe".split())
-_LEFT_OUT = _RAW | frozenset("noscript nav footer aside form button select head dialog menu object canvas audio video".split())
+_LEFT_OUT = _RAW | frozenset("nav footer aside button select head menu object canvas audio video".split())
+_WRAPS = frozenset("form dialog noscript".split())  # left out unless they hold the page
 _HEAD = frozenset("meta link title style script base noscript template".split())
 _RAW_END = {t: re.compile(f"</{t}(?:[^a-z0-9>][^>]*)?>", re.I) for t in _RAW}
 _BLOCK = frozenset(
@@ -45,6 +57,8 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption option legend body html summary".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What a new element of a tag ends.
+_ENDS = {t: tuple(_SAME.get(t, ())) + (("p",) if t in _CLOSES_P else ()) for t in _CLOSES_P | set(_SAME)}
 _SCOPE = frozenset("ul ol dl table body html article section div main".split())
 #: Words in a class, id or role that mark what isn't article text (fixed lists): for certain, perhaps, and words that go with them.
 _SURE = frozenset(
@@ -60,53 +74,68 @@ _WITH = frozenset(
     "slot unit user reader readers link links button buttons form posts articles stories results count thread feed policy message text content title "
     "group row col column the js".split()
 )
+_REPLIES = frozenset("comment comments comentarios disqus".split())
+_KNOWN = _SURE | _MAYBE | _WITH
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: How many times the text outside an element must hold that would be left out (by ``out``) to stay.
+_HOLDS = {2: 4, 3: 20, 4: math.inf}
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "out", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: int = 0) -> None:
-        self.tag, self.parent, self.kids, self.out = tag, parent, [], out  # out: 0 stays, 1 is left out, 2 perhaps
+        self.tag, self.parent, self.kids, self.out = tag, parent, [], out  # out: 0 stays, 1 is left out, 2 perhaps, 3 as good as sure, 4 comments
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _split(word: str) -> set[str]:
+    """The word, or the two known words that it is made of."""
+    if word not in _KNOWN:
+        for k in range(2, len(word) - 1):
+            if word[:k] in _KNOWN and word[k:] in _KNOWN:
+                return {word[:k], word[k:]}
+    return {word}
+
+
 def _named(attributes: str, tag: str) -> int:
-    """Whether a name of the element says that it isn't article text: 0 no, 1 yes, 2 perhaps."""
+    """Whether a name of the element says that it isn't article text, as ``Node.out``."""
     if tag in ("body", "html", "article", "main") or "=" not in attributes:
         return 0
     out = 0
     for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            words = {w.lower() for w in _WORD.findall(name)}
-            if words and words <= _SURE | _MAYBE | _WITH:
-                if words & _SURE:
-                    return 1
-                if words & _MAYBE:
-                    out = 2
+        for name in (m[1] or m[2] or m[3] or "").split()[:50]:
+            words = {x for w in _WORD.findall(name[:200]) for x in _split(w.lower())}
+            if words and words <= _KNOWN:
+                out = max(out, 4 if words & _REPLIES else 3 if words & _SURE else 2 if words & _MAYBE else 0)
     return out
 
 
-def _closed(node: Node, root: Node, shut: frozenset | set) -> Node:
-    """Where a new element belongs, once the nearest open element of ``shut`` within the scope has ended."""
-    up = node
-    while up is not root and up.tag not in shut and up.tag not in _SCOPE:
-        up = up.parent
-    return up.parent if up is not root and up.tag in shut else node
-
-
 def parse(page: str) -> Node:
     """The tree of a page's elements and texts (strings); what is to be left out is marked."""
-    root = node = Node("html", None)
-    at = 0
+    root = Node("html", None)
+    path, places = [root], {}  # the open elements, and by tag their places in it
+    at, last = 0, page.rfind(">")
+
+    def shut(place: int) -> None:
+        while len(path) > place:
+            places[path.pop().tag].pop()
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else None
         text = page[at : m.start() if m else len(page)]
+        if not m:
+            text = text.partition("<!--")[0]
         if text:
-            if node.tag == "head" and not text.isspace():
-                node = node.parent
-            node.kids.append(text)
+            if path[-1].tag == "head" and not text.isspace():
+                shut(len(path) - 1)
+            path[-1].kids.append(text)
         if not m:
             break
         at = m.end()
@@ -114,18 +143,19 @@ def parse(page: str) -> Node:
         if not tag or tag == "html":
             continue
         if m[1]:  # an end tag
-            up = node
-            while up is not root and up.tag != tag and not (up.tag in ("article", "main", "td", "th") and tag not in _BLOCK and tag != "body"):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                node = up.parent
+            place = nearest((tag,))
+            if place and (tag in _BLOCK or tag == "body" or place > nearest(("article", "main", "td", "th"))):
+                shut(place)
             continue
-        if node.tag == "head" and tag not in _HEAD:
-            node = node.parent
-        if tag == "body" and node is not root:
+        if path[-1].tag == "head" and tag not in _HEAD:
+            shut(len(path) - 1)
+        if tag == "body" and len(path) > 1:
             continue
         if tag in _CLOSES_P or tag in _SAME:
-            node = _closed(node, root, _SAME.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set()))
+            place = nearest(_ENDS[tag])
+            if place and place > nearest(_SCOPE):
+                shut(place)
+        node = path[-1]
         if tag == "hr":
             node.kids.append(Node(tag, node))
             continue
@@ -137,48 +167,51 @@ def parse(page: str) -> Node:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        inside = node
-        while inside is not root and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        out = 1 if tag in _LEFT_OUT or tag == "header" and inside is root else _named(m[3], tag)
+        inside = node.inside or node.tag in ("article", "main")
+        out = 1 if tag in _LEFT_OUT or tag == "header" and not inside else max(3 if tag in _WRAPS else 0, _named(m[3], tag))
         child = Node(tag, node, out)
         node.kids.append(child)
-        node = child
+        places.setdefault(tag, []).append(len(path))
+        path.append(child)
     return root
 
 
-def _own(node: Node, level: int) -> tuple[int, bool]:
-    """Characters outside links under a node, and whether an article element is there, without parts marked ``level`` or surer."""
-    chars, article, stack = 0, False, [(node, node.tag == "a")]
-    while stack:
-        n, link = stack.pop()
-        article = article or n.tag in ("article", "main")
-        for k in n.kids:
-            if isinstance(k, str):
-                chars += 0 if link else len(" ".join(k.split()))
-            elif not 1 <= k.out <= level:
-                stack.append((k, link or k.tag == "a"))
-    return chars, article
-
-
 def _prune(root: Node) -> None:
-    """Take marked parts out of the tree, but for a doubtful one that holds most of the page."""
-    doubtful, stack = [], [root]
+    """Take marked parts out of the tree, but for those that hold the page."""
+    order, stack = [], [(root, root, False)]
+    outer: dict[int, list[Node]] = {id(root): []}  # a marked node's (and the root's) marked nodes right below it
+    own, whole, article = {id(root): 0}, {id(root): 0}, {id(root): False}
     while stack:
-        n = stack.pop()
+        n, owner, link = stack.pop()
+        link = link or n.tag == "a"
+        article[id(owner)] = article[id(owner)] or n.tag in ("article", "main")
         for k in n.kids:
-            if isinstance(k, Node) and k.out != 1:
-                (doubtful if k.out == 2 else stack).append(k)
-    if doubtful:
-        rest, article = _own(root, 2)
-        sizes = [_own(d, 1)[0] for d in doubtful]
-        top = max(range(len(sizes)), key=sizes.__getitem__)
-        if not (article and rest) and sizes[top] > 4 * rest:
-            stack = [doubtful[top]]
-            while stack:
-                n = stack.pop()
-                n.out = 0
-                stack += [k for k in n.kids if isinstance(k, Node) and k.out == 2]
+            if isinstance(k, str):
+                own[id(owner)] += 0 if link else len(" ".join(k.split()))
+            elif k.out > 1:
+                outer[id(owner)].append(k)
+                outer[id(k)], own[id(k)], whole[id(k)], article[id(k)] = [], 0, 0, False
+                order.append(k)
+                stack.append((k, k, link))
+            elif not k.out:
+                stack.append((k, owner, link))
+    for n in reversed(order):  # parts come before what holds them
+        whole[id(n)] = own[id(n)] + sum(whole[id(k)] for k in outer[id(n)])
+    rest, plain = own[id(root)], article[id(root)]
+    heap = [(-whole[id(k)], i, k) for i, k in enumerate(outer[id(root)])]
+    heapq.heapify(heap)
+    count = len(heap)
+    while heap:
+        size, _, n = heapq.heappop(heap)
+        if not size:
+            break
+        if plain and rest or -size <= (_HOLDS[n.out] * rest if rest else 0):
+            continue
+        n.out = 0
+        rest, plain = rest + own[id(n)], plain or article[id(n)]
+        for k in outer[id(n)]:
+            count += 1
+            heapq.heappush(heap, (-whole[id(k)], count, k))
     stack = [root]
     while stack:
         n = stack.pop()
@@ -215,7 +248,27 @@ def _measure(root: Node) -> None:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node))
 
 
-def _core(root: Node) -> Node:
+def _article(root: Node) -> Node | None:
+    """The article element that holds most of the text of all of them."""
+    found, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n.tag == "article":
+            found.append(n)
+        else:
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
+    if not found:
+        return None
+    size = [n.chars - n.link_chars for n in found]
+    top = max(range(len(found)), key=size.__getitem__)
+    return found[top] if size[top] * 10 > sum(size) * 6 else None
+
+
+def _core(root: Node) -> list[Node]:
+    """The nodes whose text is the page's, in page order."""
+    only = _article(root)
+    if only is not None:
+        return [only]
     best, stack = root, [root]
     while stack:
         n = stack.pop()
@@ -229,18 +282,21 @@ def _core(root: Node) -> Node:
             break
         n = n.parent
     threshold = min(n.density for n in path)
+
+    def alike(k) -> bool:
+        return isinstance(k, Node) and bool(k.chars) and (k.tag in _HEADINGS and 2 * k.link_chars <= k.chars or k.density >= threshold and k.chars > 2 * k.link_chars)
+
     core = best
     for up in path[1:]:
+        around = sum(k.chars for k in up.kids if k is not core and alike(k))
         if up.tag in ("body", "html"):
-            break
-        around = sum(k.chars for k in up.kids if isinstance(k, Node) and k is not core and k.density >= threshold and k.chars > 2 * k.link_chars)
+            return [k for k in up.kids if k is core or alike(k) and (k.tag in _HEADINGS or 10 * k.chars >= core.chars)] if core.parent is up else [core]
         if up.tag in ("article", "main") or around * 10 >= core.chars or up.chars - core.chars == around:
             core = up
-    main = next((p for p in path if p.tag == "article"), None)
-    return main if main is not None and core in path and path.index(main) > path.index(core) else core
+    return [core]
 
 
-def _blocks(node: Node) -> list[str]:
+def _blocks(nodes: list[Node]) -> list[str]:
     out: list[str] = []
     buffer: list[str] = []
 
@@ -250,7 +306,7 @@ def _blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list = [node]
+    stack: list = nodes[::-1]
     while stack:
         n = stack.pop()
         if n is None:

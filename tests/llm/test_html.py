@@ -1,6 +1,8 @@
 """Pages whose articles must stay whole, and a plain extractor as brute force."""
 
 import random
+import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -77,3 +79,74 @@ def test_unclosed_and_nested_pages():
     for _ in range(200):
         page = "".join(r.choice(parts) for _ in range(r.randint(0, 6))) + f"<article>{BODY}</article>" + "".join(r.choice(parts) for _ in range(r.randint(0, 4)))
         assert html_text.main_text(page) == WANT, page
+
+
+P = "".join(f"<p>Paragraph {k} has some plain words in it, enough to be text.</p>" for k in range(12))
+REPLIES = "".join(f"<li>Comment {k} by a reader who writes quite a lot of words in here.</li>" for k in range(40))
+WHOLE = "\n".join(f"Paragraph {k} has some plain words in it, enough to be text." for k in range(12))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id=aspnetForm><div>{P}</div></form></body>",
+        f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><article>{P}</article><div class=sidebar>Other things</div></form></body>",
+        f"<body><div class=newsletter>{P}</div></body>",
+        f"<body><div id=banner>{P}</div></body>",
+        f"<body><noscript>{P}</noscript></body>",
+        f"<form><div class=newsletter><dialog open>{P}</dialog></div></form>",
+        f"<!--><article>{P}</article>",
+        f"<!---><article>{P}</article><!-- x --!>",
+        f"<body><article>{P}</article><ol class=commentlist>{REPLIES}</ol></body>",
+        f"<body><div>{P}</div><ol class=commentlist>{REPLIES}</ol></body>",
+        f"<body><form><div>{P}</div><div class=comments>{REPLIES}</div></form></body>",
+        f"<body><p title=it's>{P[3:]}<p>",
+    ],
+)
+def test_wrapped_named_and_commented_pages_keep_their_article(page):
+    assert html_text.main_text(page) == WHOLE
+
+
+def test_siblings_and_headings_belong_to_the_text():
+    assert html_text.main_text(f"<body><div>{P}</div><div>{P}</div></body>") == f"{WHOLE}\n{WHOLE}"
+    for page in (f"<body><div><h1>A title</h1><div>{P}</div></div></body>", f"<body><h1>A title</h1><div>{P}</div></body>"):
+        assert html_text.main_text(page) == f"A title\n{WHOLE}"
+
+
+def test_small_forms_adverts_and_comments_still_go():
+    around = "<form><p>Search here for much more</p></form><div class=newsletter><p>Write us</p></div><div class='comments'><p>Well said!</p></div>"
+    assert html_text.main_text(f"<body><div>{P}</div>{around}</body>") == WHOLE
+    assert html_text.main_text(f"<body><article><p>Short.</p></article><form>{P}</form></body>") == "Short."
+
+
+def test_quotes_open_a_value_only_behind_an_equals_sign():
+    assert html_text.main_text("<p title=it's>First one stays</p><p>don't lose me</p>") == "First one stays\ndon't lose me"
+    assert html_text.main_text('<p title="a > b">One</p><p data-x=\'>\'>two</p>') == "One\ntwo"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + P, "<a " * 300_000, "<div>" * 50_000 + "</b>" * 100_000 + P, "<b>" * 50_000 + "<p></p>" * 50_000 + P, '<a b="' * 150_000, "<form>" * 50_000 + P,
+     "<a b='\"x" * 100_000, "<" * 1_000_000, "<!--" * 250_000, "<table><tr><td>" * 30_000 + P, "x " * 500_000],
+)
+def test_broken_and_deep_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - start < 5  # 1 to 2 s here; quadratic code takes minutes
+    assert ("Paragraph 11" in text) == (P in page)
+
+
+def test_fixture_pages_without_article_elements_and_inside_a_form(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for x in filter(None, pages):
+        told = html_text.main_text(x)
+        assert html_text.main_text(re.sub(r"(</?)article\b", r"\1div", x)) == told
+        assert html_text.main_text(re.sub(r"(<body[^>]*>)(.*)(</body>)", r"\1<form id=f>\2</form>\3", x, flags=re.S)) == told
+
+
+def test_null_columns_repeated_rows_and_extra_columns(spark):
+    rows = [(1, "u", f"<p>{P}"), (1, "u", f"<p>{P}"), (None, None, "<p>Some text</p>"), (2, None, None), (3, "v", "")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, tag int")
+    got = sorted(map(tuple, html_text.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", WHOLE), (1, "u", WHOLE), (None, None, "Some text"), (2, None, ""), (3, "v", "")], key=str)
+    assert html_text.extract(pages.limit(0)).collect() == []
