@@ -7,8 +7,11 @@ text).  Rows that agree in both are repetitions of one row and all get the same
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ __all__ = ["joinable", "small"]
 DID, TKEY = "_did", "_tk"
 #: What a null doc_id counts as.
 NULL_ID = -(2**63)
-_scopes: list[list[str]] = []
+_here = threading.local()  # scopes are a thread's own, so that several runs in one driver don't meet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +39,36 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, nothing depends on one executor."""
     out, path = _written(df)
-    if _scopes:
-        _scopes[-1].append(path)
+    if getattr(_here, "scopes", None):
+        _here.scopes[-1].append(path)
     return out
 
 
 @contextmanager
 def scope(spark: SparkSession):
     """Gives a function that writes a table as ``stash`` does; tables that are stashed otherwise inside are removed at the end."""
-    _scopes.append([])
+    if not hasattr(_here, "scopes"):
+        _here.scopes = []
+    _here.scopes.append([])
     try:
         yield lambda df: _written(df)[0]
     finally:
-        for path in _scopes.pop():
+        for path in _here.scopes.pop():
             remove(spark, path)
 
 
+def tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result written where it stashes tables, so that these are gone when it returns; only the result's table stays."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scope(spark) as written:
+            out = query(spark, sf_dir)
+            return written(out) if _here.scopes[-1] else out
+
+    return run
+
+
 def _keys(text: str, doc_id: str) -> tuple[Column, Column, Column]:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias(DID), F.xxhash64(body).alias(TKEY), body.alias("text")

@@ -16,7 +16,7 @@ Elements that hold no article text are left out of the tree: scripts, styles, fo
 asides, and elements one of whose names (class, id or role, taken whole) is made of words for menus, sidebars, notices, adverts,
 share boxes or reader comments.  A form may wrap a whole page and a name may mean something else, so such an element stays (without
 its own parts of the kind) where the page outside it holds next to nothing, by how sure its kind is: a doubtful name if it holds 4 times the text outside, a
-form or a sure name 20 times, comments only if there is nothing else; none if there is text in an article outside.
+form or a sure name 20 times and a paragraph's length (200 characters) or an article element, comments only if there is nothing else; none if there is text in an article outside.
 
 Defined results: null or empty html gives an empty text; a null url or page_id is passed through; unclosed and
 wrongly nested tags are closed where their parents end or their like begins, also in parts that are left out; text of any length is
@@ -78,8 +78,8 @@ _REPLIES = frozenset("comment comments comentarios disqus".split())
 _KNOWN = _SURE | _MAYBE | _WITH
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: How many times the text outside an element must hold that would be left out (by ``out``) to stay.
-_HOLDS = {2: 4, 3: 20, 4: math.inf}
+#: How many times the text outside an element must hold that would be left out (by ``out``) to stay, and how many characters at least.
+_HOLDS = {2: (4, 1), 3: (20, 200), 4: (math.inf, 200)}
 
 
 class Node:
@@ -205,7 +205,8 @@ def _prune(root: Node) -> None:
         size, _, n = heapq.heappop(heap)
         if not size:
             break
-        if plain and rest or -size <= (_HOLDS[n.out] * rest if rest else 0):
+        times, least = _HOLDS[n.out]
+        if plain and rest or -size < (1 if article[id(n)] else least) or rest and -size <= times * rest:
             continue
         n.out = 0
         rest, plain = rest + own[id(n)], plain or article[id(n)]

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import DID, TKEY, carried, identified, joinable, let, stash, table
 
 DEPTH, MIN_DOCS, SIMILARITY = 3, 2, 0.6
+#: Bits of the first of the two hashes that make a key (tests cut them).
+FIRST_BITS = 64
 SIEVE_BITS = 1 << 26
 _BLANKS = r"[\x20\x09-\x0D]+"
 WILD = "<*>"
@@ -37,12 +39,20 @@ def _parted(line: Column) -> Column:
     return F.when(line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(line, _BLANKS, " "))).otherwise(line)
 
 
+def _key(*parts: Column | str) -> Column:
+    """128 bits for what lines have in common: two hashes with different seeds, the first of which also deals lines out."""
+    first = F.xxhash64(*parts)
+    if FIRST_BITS < 64:
+        first = first.bitwiseAND(F.lit((1 << FIRST_BITS) - 1).cast("long"))
+    return F.struct(first.alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
+
+
 def lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """_did, _tk, place, leaf (hash of the path) and plain text of every line with a token."""
+    """_did, _tk, place, leaf (key of the path) and plain text of every line with a token."""
     rows = identified(docs).select(DID, TKEY, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(DID, TKEY, "place", _parted(F.col("line")).alias("plain"))
     n = F.octet_length("plain") - F.octet_length(F.replace(F.col("plain"), F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("leaf", F.xxhash64(n, _masked(F.substring_index("plain", " ", depth))))
+    return rows.withColumn("leaf", _key(n, _masked(F.substring_index("plain", " ", depth))))
 
 
 def _sieved(rows: DataFrame, keys: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
@@ -51,7 +61,7 @@ def _sieved(rows: DataFrame, keys: DataFrame, bits: int = SIEVE_BITS) -> DataFra
     The keys go to the workers as bits of a bitmap, in pieces of 4 KB: ``bits`` (a power of two) / 8 bytes at most, however many
     keys there are.
     """
-    slot = F.col("leaf").bitwiseAND(F.lit(bits - 1).cast("long"))
+    slot = F.col("leaf.a").bitwiseAND(F.lit(bits - 1).cast("long"))
     part, at = F.call_function("bitmap_bucket_number", slot), F.call_function("bitmap_bit_position", slot)
     dealt = keys.select(part.alias("part"), at.alias("at")).repartition("part")
     joined = rows.withColumn("part", part).join(F.broadcast(stash(dealt.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")))), "part")
@@ -75,16 +85,16 @@ def _alike(kinds: DataFrame, depth: int, similarity: float) -> DataFrame:
 
     free = F.size("tree") - depth
     fits = (free > 0) & (let(F.split("masked", " "), same) >= similarity * free)
-    return kinds.join(made, "leaf").filter(fits).select("leaf", F.xxhash64("masked").alias("kind"), F.xxhash64("leaf", "tree").alias("template"))
+    return kinds.join(made, "leaf").filter(fits).select("leaf", _key("masked").alias("kind"), _key("leaf", "tree").alias("template"))
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """Lines to drop: _did, _tk, place.
 
-    Lines are counted by hashes.  Only leaves that hold several masked texts need a template, so only their texts are shuffled.
+    Lines are counted by keys of 128 bits.  Only leaves that hold several masked texts need a template, so only their texts are shuffled.
     """
     every = lines(docs, depth)
-    marks = stash(every.select("leaf", F.xxhash64(_masked(F.col("plain"))).alias("kind"), DID, TKEY, "place"))
+    marks = stash(every.select("leaf", _key(_masked(F.col("plain"))).alias("kind"), DID, TKEY, "place"))
     counted = marks.groupBy("leaf").agg(F.count_distinct(DID).alias("docs"), (F.min("kind") != F.max("kind")).alias("several"))
     leaves = stash(counted.filter(F.col("docs") >= min_docs).select("leaf", "several"))
     mixed = leaves.filter("several").select("leaf")
@@ -92,7 +102,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, sim
     kinds = inside.groupBy("leaf", "masked").agg(F.count("*").alias("n"))
     alike = stash(_alike(stash(kinds.join(joinable(mixed), "leaf", "left_semi")), depth, similarity))
     rows = _sieved(marks, leaves).join(joinable(alike), ["leaf", "kind"], "left")
-    rows = stash(rows.select(F.coalesce("template", F.xxhash64("leaf", "kind")).alias("template"), DID, TKEY, "place"))
+    rows = stash(rows.select(F.coalesce("template", _key("leaf", "kind")).alias("template"), DID, TKEY, "place"))
     many = rows.groupBy("template").agg(F.count_distinct(DID).alias("docs"), F.min(DID).alias("least")).filter(F.col("docs") >= min_docs)
     hits = rows.join(joinable(stash(many.select("template", "least"))), "template")
     own = hits.filter(F.col(DID) == F.col("least"))  # of each template, lines of one doc_id

@@ -7,7 +7,9 @@ covers every whole text; the model has a fixed size (DIMS weights).
 
 Words are runs of letters and digits or runs of other signs; case shapes are features too.  Defined results:
 null or empty text has no n-gram and gets the score of the bias; a null doc_id is never learned from and isn't
-held out (crc32 of a null is null); several labels of one doc_id count as rows of their own; without usable
+held out (crc32 of a null is null); several different labels of one doc_id count as rows of their own, and so do
+several texts of one; repeated rows are learned from once, score alike, and the bound holds for rows of text; long texts are scored whole; of equal
+hashes the smaller doc_id is taken; an empty table gives an empty one; other columns may have any names; without usable
 labels (or with one class only) every score is the share of label 1 (0.5 without labels).
 """
 
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DID, identified, table
+from .common import DID, TKEY, identified, table
 
 DIMS = 1 << 18
 SAMPLE, EPOCHS, COST, ALPHA = 8000, 12, 0.1, 1.0
@@ -108,16 +110,17 @@ def _fold(column: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """Fit on at most ``sample`` labelled rows outside the held-out fold."""
     usable = labels.filter(F.col("quality").isin(0, 1) & (_fold("doc_id") != 0)).select(F.col("doc_id").cast("long").alias(DID), F.col("quality").cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64(DID), DID, "y").limit(sample)
+    chosen = usable.distinct().orderBy(F.xxhash64(DID), DID, "y").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
             rows = [features(t, known).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(DID), b.column("y"), pa.array(rows, pa.binary())], [DID, "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(DID), b.column(TKEY), b.column("y"), pa.array(rows, pa.binary())], [DID, TKEY, "y", "x"])
 
-    picked = docs.join(F.broadcast(chosen), DID).select(DID, "y", "text").mapInArrow(run, f"{DID} long, y int, x binary")
-    got = sorted(tuple(r) for r in picked.toLocalIterator())
+    texts = docs.join(F.broadcast(chosen), DID).dropDuplicates([DID, TKEY, "y"])
+    picked = texts.select(DID, TKEY, "y", "text").mapInArrow(run, f"{DID} long, {TKEY} long, y int, x binary")
+    got = sorted((d, y, x) for d, _, y, x in picked.orderBy(F.xxhash64(DID, TKEY), DID, TKEY, "y").limit(sample).collect())
     return fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got], float))
 
 

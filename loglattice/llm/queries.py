@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html_text, linetree, nbsvm, packing, periodic, phrases, quality_rules, radix, secrets, simhash, toxicity, variants
+from .common import tidied
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         "op1_decontamination": decontaminate.op1,
         "op2_substring_dedup": phrases.op2,
         "op3_html_extraction": html_text.op3,
@@ -30,8 +31,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_periodic_runs": periodic.op11,
         "op12_spelling_variants": variants.op12,
         "op13_toxicity": toxicity.op13,
-        "pipeline": _pipeline,
     }
+    return {name: tidied(query) for name, query in own.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

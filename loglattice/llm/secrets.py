@@ -223,7 +223,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, chains: int = CHAINS) -> Model:
     """
     import pickle
 
-    chosen = docs.select(DID, TKEY).orderBy(F.xxhash64(DID, TKEY), DID).limit(sample).distinct()
+    chosen = docs.select(DID, TKEY).distinct().orderBy(F.xxhash64(DID, TKEY), DID, TKEY).limit(sample)
     schema = f"{DID} long, {TKEY} long, place long, secret boolean, x binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, chains: int = CHAINS) -> Model:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
-    picked = stash(docs.join(F.broadcast(chosen), [DID, TKEY]).select(DID, TKEY, "text").mapInArrow(run, schema).withColumn("h", F.xxhash64(DID, TKEY, "place")))
+    picked = stash(docs.join(F.broadcast(chosen), [DID, TKEY]).dropDuplicates([DID, TKEY]).select(DID, TKEY, "text").mapInArrow(run, schema).withColumn("h", F.xxhash64(DID, TKEY, "place")))
     order = ["h", DID, TKEY, "place"]
     rows = [r for secret in (True, False) for r in picked.filter(F.col("secret") == secret).orderBy(*order).limit(chains).select("x").collect()]
     return fit([pickle.loads(bytes(r[0])) for r in rows])  # noqa: S301  written by the tasks above
