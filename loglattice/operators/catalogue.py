@@ -4,27 +4,33 @@ On a full match the captured characters are the line's length less the template'
 the first hit in the order (literal length desc, slots desc, match frequency desc, insertion): one small sort, and a worker
 stops at its first hit.  Templates without slots are plain equality: a lookup.
 
-A catalogue reaches the workers as a broadcast variable of at most SLICE entries at a time, is compiled once per worker, and a larger one
-is matched slice after slice of its order, so neither driver nor worker ever holds more.
+A catalogue of at most SLICE entries reaches the workers as a broadcast variable and is compiled once per worker.  A larger one is an inverted
+index, a table: a template's whole literal tokens stand in every line that it matches, so each entry is listed under the rarest of its own, and a line meets
+the entries listed under its tokens in one join.  Only entries without such a token (and all of a large catalogue on a stream, where lines aren't
+shuffled) are sent slice after slice.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import text
 from loglattice.operators.slots import compiled
-from loglattice.sources.io import Saved, free_name, joinable, row_index
+from loglattice.sources.io import Saved, free_name, joinable, row_index, small
 
 #: Entries that are held by the driver and sent to the workers at once.
 SLICE = 20_000
+#: Open signatures of a reconcile that one task solves.
+AT_ONCE = 200_000
 ORDER = ["literal_len", "n_slots", "match_frequency"]
 FOUND = [("EventTemplate", "string"), ("ParameterList", "array<string>"), ("SlotTypes", "array<string>"), ("entry", "long")]
 _ENTRY = ["template", "slot_regexes", "slot_types", "insert_seq"]
@@ -69,20 +75,115 @@ def match_by_join(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     return hit.withColumn("r", F.row_number().over(best)).filter("r = 1").select("row_nr", F.col("template").alias("EventTemplate"))
 
 
-def _slices(catalogue: DataFrame) -> Iterator[list[tuple]]:
-    """The entries in matching order, at most SLICE at a time."""
+def _few(catalogue: DataFrame) -> list[tuple] | None:
+    """The entries in matching order, or None if they are more than SLICE."""
     cut = catalogue.orderBy(*_order()).limit(SLICE + 1).select(*_ENTRY).collect()
-    if len(cut) <= SLICE:
-        if cut:
-            yield [tuple(r) for r in cut]
-        return
-    ranked = row_index(catalogue, *_order())
+    return [tuple(r) for r in cut] if len(cut) <= SLICE else None
+
+
+def _slices(ranked: DataFrame) -> Iterator[list[tuple]]:
+    """The entries (with their rank, from 0 without gaps), at most SLICE at a time."""
     at = 0
-    while rows := ranked.filter(F.col("row_nr").between(at, at + SLICE - 1)).orderBy("row_nr").select(*_ENTRY).collect():
+    while rows := ranked.filter(F.col("rank").between(at, at + SLICE - 1)).orderBy("rank").select(*_ENTRY).collect():
         yield [tuple(r) for r in rows]
         at += SLICE
 
 
+def ranked(catalogue: DataFrame, saved: Saved | None = None) -> DataFrame:
+    """Entries with their ``rank`` in the matching order."""
+    return row_index(catalogue.select(*_ENTRY, *ORDER), *_order(), saved=saved).withColumnRenamed("row_nr", "rank").select("rank", *_ENTRY, "literal_len")
+
+
+def index(catalogue: DataFrame, saved: Saved | None = None) -> DataFrame:
+    """The inverted index: rank and entry under ``key``, the rarest of the template's whole literal tokens (ties: the longest); null if it has none."""
+    saved = saved or Saved(catalogue.sparkSession)
+    every = saved(ranked(catalogue, saved))
+    own = F.array_distinct(F.filter(text.tokens(F.col("template")), lambda t: ~t.contains(text.SLOT)))
+    listed = every.select("rank", F.explode(own).alias("key"))
+    common = listed.groupBy("key").agg(F.count("*").alias("n"))
+    rare = listed.join(common, "key").groupBy("rank").agg(F.min(F.struct("n", (-F.length("key")).alias("l"), "key")).alias("k"))
+    return saved(every.join(rare.select("rank", "k.key"), "rank", "left"))
+
+
+def candidates(lines: DataFrame, index_: DataFrame, own: str | None = None) -> DataFrame:
+    """(row_nr, own, entry) of lines and the entries of an ``index`` that are listed under one of the lines' tokens."""
+    mine = [own] if own else []
+    tokens = lines.select("row_nr", "Content", *mine, F.explode(F.array_distinct(text.tokens(F.col("Content")))).alias("key"))
+    return tokens.join(joinable(index_.filter("key is not null")), "key").filter(F.length("Content") >= F.col("literal_len")).drop("key", "literal_len")
+
+
+_VALUES = "row_nr long, rank long, template string, slot_types array<string>, insert_seq long, values array<string>"
+
+
+def _all_hits(lines: DataFrame, catalogue: DataFrame, own: str | None, saved: Saved) -> DataFrame:
+    """Every match of lines (with row_nr) and entries of a large catalogue: _VALUES and ``own``."""
+    mine = [own] if own else []
+    schema = _VALUES + "".join(f", {c} long" for c in mine)
+    listed = index(catalogue, saved)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, re.Pattern | None] = {}
+        for b in batches:
+            fits, values = [], []
+            for i, (line, t, s) in enumerate(zip(*(b.column(c).to_pylist() for c in ("Content", "template", "slot_regexes")), strict=True)):
+                key = (t, tuple(s) if s is not None else None)
+                if key not in known:
+                    if len(known) > SLICE:
+                        known.clear()
+                    known[key] = compiled(t, s) if text.SLOT in t else None
+                m = known[key].fullmatch(line) if known[key] is not None else line == t
+                if m:
+                    fits.append(i)
+                    values.append([] if m is True else list(m.groups()))
+            cut = b.take(pa.array(fits, pa.int64()))
+            columns = {c: cut.column(c) for c in ("row_nr", "rank", "template", "slot_types", "insert_seq")}
+            columns["values"] = pa.array(values, pa.list_(pa.string()))
+            columns |= {c: cut.column(c) for c in mine}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    out = candidates(lines, listed, own).mapInArrow(check, schema)
+    loose = row_index(listed.filter("key is null").select("rank", *_ENTRY), F.col("rank"), saved=saved).withColumnRenamed("rank", "place").withColumnRenamed("row_nr", "rank")
+    loose = saved(loose)
+    for at, rows in enumerate(_slices(loose)):
+        places = [r[0] for r in loose.filter(F.col("rank").between(at * SLICE, (at + 1) * SLICE - 1)).orderBy("rank").select("place").collect()]
+        out = out.unionByName(lines.select("row_nr", "Content", *mine).mapInArrow(_each(_sent(lines.sparkSession, rows), places, mine), schema))
+    return out
+
+
+def _each(index_, places: list[int], mine: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = index_()
+        for b in batches:
+            rows = []
+            for i, line in enumerate(b.column("Content").to_pylist()):
+                for rank, values in entries.hits(line) if line is not None else ():
+                    t, _, k, seq = entries.rows[rank]
+                    rows.append((i, places[rank], t, k, seq, list(values)))
+            cut = b.take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()))
+            columns = {"row_nr": cut.column("row_nr").cast(pa.int64())}
+            columns |= {c: pa.array([r[j + 1] for r in rows], kinds[j]) for j, c in enumerate(("rank", "template", "slot_types", "insert_seq", "values"))}
+            columns |= {c: cut.column(c) for c in mine}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def match_by_key(lines: DataFrame, catalogue: DataFrame, own: str | None = None, keep_entry: bool = False, saved: Saved | None = None) -> DataFrame:
+    """As ``match``, through the inverted index; ``lines`` need a unique row_nr."""
+    found = _all_hits(lines, catalogue, own, saved or Saved(lines.sparkSession))
+    later = F.lit(False)
+    if own:
+        found = found.filter(F.col("insert_seq") <= F.col(own))
+        later = F.col("insert_seq") == F.col(own)
+    entry = F.struct(F.col("template").alias("EventTemplate"), F.col("values").alias("ParameterList"), F.coalesce("slot_types", F.array().cast("array<string>")).alias("SlotTypes"), F.col("insert_seq").alias("entry"))
+    best = found.groupBy("row_nr").agg(F.min_by(entry, F.struct(later.alias("later"), "rank")).alias("best"))
+    names = [c for c, _ in FOUND]
+    plain = [c for c in lines.columns if c not in names]
+    out = lines.select(*plain).join(best, "row_nr", "left").select(*plain, *[F.col(f"best.{c}").alias(c) for c in names])
+    return out if keep_entry else out.drop("entry")
+
+
 class _Index:
     """Compiled entries in matching order; few of them are tried on a line."""
 
@@ -132,17 +233,20 @@ def _sent(spark, rows: list[tuple]):
     return index
 
 
-def match(lines: DataFrame, catalogue: DataFrame, own: str | None = None, keep_entry: bool = False) -> DataFrame:
+def match(lines: DataFrame, catalogue: DataFrame, own: str | None = None, keep_entry: bool = False, saved: Saved | None = None) -> DataFrame:
     """``lines`` with EventTemplate, ParameterList and SlotTypes (null where nothing matches).
 
     ``own`` names a column with a line's own insert_seq: such a line takes the best entry that was inserted before its own, else its own.
     ``keep_entry`` adds the insert_seq of the entry.
     """
+    few = _few(catalogue)
+    if few is None and not lines.isStreaming and "row_nr" in lines.columns:
+        return match_by_key(lines, catalogue, own, keep_entry, saved)
     names = [c for c, _ in FOUND]
     plain = [c for c in lines.columns if c not in names]
     sure = free_name(lines, "sure")
     out = lines.select(*plain, *[F.lit(None).cast(t).alias(c) for c, t in FOUND], F.lit(False).alias(sure))
-    for rows in _slices(catalogue):
+    for rows in [few] if few is not None else _slices(ranked(catalogue, saved)):
         out = out.mapInArrow(_best(_sent(lines.sparkSession, rows), own, sure), out.schema)
     return out.drop(sure) if keep_entry else out.drop(sure, "entry")
 
@@ -186,10 +290,14 @@ def _best(index, own: str | None, sure: str):
     return run
 
 
-def hits(lines: DataFrame, catalogue: DataFrame, own: str) -> DataFrame:
+def hits(lines: DataFrame, catalogue: DataFrame, own: str, saved: Saved | None = None) -> DataFrame:
     """Distinct (own, hits): which entries that were inserted no later than its own leaf's a line matches (sorted)."""
+    few = _few(catalogue)
+    if few is None and "row_nr" in lines.columns:
+        found = _all_hits(lines, catalogue, own, saved or Saved(lines.sparkSession)).filter(F.col("insert_seq") <= F.col(own))
+        return found.groupBy("row_nr", own).agg(F.array_sort(F.collect_list("insert_seq")).alias("hits")).select(own, "hits").distinct()
     out = lines.select("Content", own, F.array().cast("array<long>").alias("hits"))
-    for rows in _slices(catalogue):
+    for rows in [few] if few is not None else _slices(ranked(catalogue, saved)):
         out = out.mapInArrow(_every(_sent(lines.sparkSession, rows), own), out.schema)
     return out.select(own, F.array_sort("hits").alias("hits")).filter(F.size("hits") > 0).distinct()
 
@@ -213,11 +321,24 @@ def _every(index, own: str):
     return run
 
 
+def _in_order(signatures: DataFrame, own: str) -> DataFrame:
+    """``own`` and kept of the entries of ``signatures`` (own, the open earlier entries), in one pass in their order; at most AT_ONCE rows in one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keeps: dict[int, bool] = {}
+        for mine, of in rows.sort_values(own).groupby(own, sort=True):
+            keeps[mine] = any(not any(keeps.get(e, False) for e in earlier) for earlier in of["open"])
+        return pd.DataFrame({own: list(keeps), "kept": list(keeps.values())})
+
+    return signatures.groupBy(F.lit("all")).applyInPandas(run, f"{own} long, kept boolean")
+
+
 def useful(seen: DataFrame, own: str, saved: Saved) -> DataFrame:
     """``own`` of the entries that a reconcile in order keeps: those that match a line of their own that no kept earlier entry matches.
 
-    ``seen`` is that of ``hits``.  Entries with a line that they alone match are kept; what the others become follows from the earlier
-    ones, round by round; each round settles at least the first entry left.
+    ``seen`` is that of ``hits``.  Entries with a line that they alone match are kept, and whatever a kept entry matches tells nothing of later ones.  What
+    is open then is few signatures (entries, and which open earlier ones share their lines): up to AT_ONCE of them are solved in one
+    ordered pass; of more, a round settles all whose earlier ones are settled, and the rest is looked at again.
     """
     mine = seen.filter(F.array_contains("hits", F.col(own))).select(own, F.array_remove("hits", F.col(own)).alias("earlier"))
     sure = F.max((F.size("earlier") == 0).cast("int")) == 1
@@ -227,11 +348,17 @@ def useful(seen: DataFrame, own: str, saved: Saved) -> DataFrame:
         before = state.select(F.col(own).alias("e"), F.lit(True).alias("there"), F.col("kept").alias("k"))
         told = rest.select(own, "earlier", F.explode("earlier").alias("e")).join(before, "e", "left")
         # an entry that matches no line of its own isn't in ``state``: it was never kept
-        open_ = F.coalesce(F.max((F.col("there") & F.col("k").isNull()).cast("int")), F.lit(0)) == 1
-        one = told.groupBy(own, "earlier").agg(F.max(F.coalesce("k", F.lit(False))).alias("blocked"), open_.alias("open"))
-        settled = one.groupBy(own).agg(F.max(~F.col("blocked") & ~F.col("open")).alias("free"), F.min("blocked").alias("blocked"))
-        now = F.when(F.col("free"), True).when(F.col("blocked"), False)
-        state = saved(state.join(settled, own, "left").select(own, F.coalesce("kept", now).alias("kept")))
+        open_ = F.collect_set(F.when(F.col("there") & F.col("k").isNull(), F.col("e"))).alias("open")
+        one = told.groupBy(own, "earlier").agg(F.max(F.coalesce("k", F.lit(False))).alias("blocked"), open_)
+        one = saved(one.select(own, "blocked", F.when(F.col("blocked"), F.array().cast("array<long>")).otherwise(F.array_sort("open")).alias("open")).distinct())
+        free = one.filter(~F.col("blocked"))
+        if small(free, AT_ONCE):
+            settled = one.select(own).distinct().join(_in_order(free.select(own, "open"), own), own, "left").select(own, F.coalesce("kept", F.lit(False)).alias("now"))
+        else:
+            ready = ~F.col("blocked") & (F.size("open") == 0)
+            now = F.when(F.max(ready), True).when(F.min("blocked"), False)
+            settled = one.groupBy(own).agg(now.alias("now"))
+        state = saved(state.join(settled, own, "left").select(own, F.coalesce("kept", "now").alias("kept")))
     return state.filter("kept").select(own)
 
 
@@ -248,7 +375,7 @@ def kept(lines: DataFrame, new: DataFrame, own: str, saved: Saved) -> DataFrame:
         tried = saved(named.select(F.col("rep").alias("insert_seq")).distinct())
     while True:
         entries_ = new if alone else saved(new.join(tried, "insert_seq", "left_semi"))
-        seen = saved(hits(lines, entries_, own))
+        seen = saved(hits(lines, entries_, own, saved))
         good = useful(seen, own, saved)
         if not alone:
             others = named.join(tried, F.col(own) == F.col("insert_seq"), "left_anti")
@@ -277,7 +404,7 @@ def listing(catalogue: DataFrame) -> DataFrame:
     return catalogue.orderBy(F.desc("match_frequency"), "template")
 
 
-def event_ids(templates: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def event_ids(templates: DataFrame, known: DataFrame | None = None, saved: Saved | None = None) -> DataFrame:
     """EventTemplate, EventId: E1..En by the templates' byte order; over distinct templates only.
 
     Templates in ``known`` (EventTemplate, EventId) keep their ids and new ones are numbered behind them.
@@ -287,7 +414,7 @@ def event_ids(templates: DataFrame, known: DataFrame | None = None) -> DataFrame
     if known is not None:
         distinct = distinct.join(known, "EventTemplate", "left_anti")
         after = known.agg(F.max(F.substring("EventId", 2, 20).cast("long"))).first()[0] or 0
-    ids = row_index(distinct, F.col("EventTemplate"))
+    ids = row_index(distinct, F.col("EventTemplate"), saved=saved)
     ids = ids.select("EventTemplate", F.concat(F.lit("E"), (F.col("row_nr") + 1 + after).cast("string")).alias("EventId"))
     return ids if known is None else known.select("EventTemplate", "EventId").unionByName(ids)
 

@@ -22,7 +22,8 @@ class Options:
     max_words: int = 0  # of a sampled line; 0 is off
     max_concurrent: int = 3  # calls of the proposer at a time
     timeout: float = 60.0  # seconds for one call; 0 is off
-    prompt: str = "default"  # a name or a text, see operators.propose
+    prompt: str = "default"  # of a model that discover is given: a name or a text, see operators.propose
+    answers: str | None = None  # a folder that keeps the proposer's answers for later runs
 
     def __post_init__(self) -> None:
         if self.prompt == "simple":  # its slots have no types to infer from

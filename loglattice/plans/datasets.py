@@ -31,18 +31,19 @@ def run_all(
 ) -> DataFrame:
     """The summary of ``datasets`` (name: readers of its logs and, if there is one, its ground truth).
 
-    ``folder`` gets each dataset's result and, after each one, the summary so far.
+    ``folder`` gets each dataset's result with the options that it was made with and, after each one, the summary so far.
     """
     done: list[dict] = []
     for name, (logs, truth) in datasets.items():
         row: dict = dict.fromkeys(_NAMES) | {"dataset": name}
-        step, start = "pipeline", time.monotonic()
+        step, start, found = "pipeline", time.monotonic(), None
         try:
             lines = logs()
             chosen = options(name, lines)
             found = discover(lines, chosen, proposer)
             path = f"{folder}/{name}"
             io.write_result(found.result, path, kind)
+            io.write_config(spark, chosen, f"{folder}/{name}-options")
             row |= {"chunk_size": chosen.chunk_size, "out_path": path} | found.stats.first().asDict()
             row["total_time"] = time.monotonic() - start
             if truth is not None:
@@ -51,6 +52,9 @@ def run_all(
                 row |= {k: v for k, v in (metrics.asDict() if metrics else {}).items() if k in _NAMES}
         except Exception as problem:  # whatever fails, the other datasets go on
             row["error"] = f"{step}: {problem}"
+        finally:
+            if found is not None:
+                found.tables.clear()
         done.append(row)
         io.write_summary(summary(spark, done), f"{folder}/summary")
     return summary(spark, done)

@@ -5,23 +5,25 @@ log2(n) waves.  Lines are matched first; only what no entry matches is partition
 wave that have the same keys are one leaf: the proposer is asked once for it.
 
 Lines are never shuffled: a line finds its leaf by small tables of keys, and proposals come from distinct token vectors and a few
-sampled lines.  What is decided (proposals, kept entries, matches) is written to the shared folder, so a proposer isn't asked again
-when an executor is lost.
+lines sampled from each leaf.  What is decided (answers, kept entries, matches) is written to the shared folder, answers slice by slice, so a proposer isn't
+asked again when an executor is lost; with a folder for ``Options.answers`` not even by a run that is started anew.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions import text
 from loglattice.operators import catalogue as cat
 from loglattice.operators import partition, propose, slots
 from loglattice.options import Options
-from loglattice.sources.io import Saved, row_index
+from loglattice.sources.io import Saved, remove, row_index
 
 #: Each reconcile numbers its entries from a multiple of this.
 _STEP = 1 << 40
@@ -30,10 +32,14 @@ _KEYS = ["token_len", "s2_pos", "s2_value", "s3_side", "s3_value"]
 
 @dataclass(frozen=True)
 class Discovery:
-    result: DataFrame
     catalogue: DataFrame
     stats: DataFrame
     matched: DataFrame  # as result, with row_nr instead of event ids
+    tables: Saved  # what these read, in the shared folder; ``tables.clear()`` when they are done with
+
+    @cached_property
+    def result(self) -> DataFrame:
+        return cat.result(self.matched, cat.event_ids(self.matched, saved=self.tables))
 
 
 @dataclass
@@ -41,6 +47,7 @@ class _Run:
     options: Options
     proposer: propose.Proposer | None
     saved: Saved
+    answers: str
     known: DataFrame | None = None
     next_seq: int = 0
     parts: list[DataFrame] = field(default_factory=list)
@@ -56,21 +63,18 @@ def _leaves(run: _Run, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("chunk_id").alias("chunk_id"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("outlier").alias("outlier")
     )
     order = partition.in_order(one, run.saved)
-    return found, order.select(*_KEYS, F.col("first").alias("start"), (F.col("leaf_ord") + run.next_seq).alias("insert_seq"))
+    return found, order.select(*_KEYS, "n", F.col("first").alias("start"), (F.col("leaf_ord") + run.next_seq).alias("insert_seq"))
 
 
-def _sampled(run: _Run, lines: DataFrame, own: DataFrame) -> DataFrame:
+def _sampled(run: _Run, lines: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each leaf's first line, its sampled lines (``samples``) and those that a proposer sees (``few``).
 
-    ``own``: token vectors with insert_seq.  Lines are drawn in a random order (by a hash of the row number), one of each token vector.
+    ``lines`` with their leaf's insert_seq (own) and its first line (start); ``sizes``: the lines (n) of each leaf.  Lines are drawn at random, not their token vectors.
     """
     o = run.options
-    own = own.select("insert_seq", "pick", F.col("first").alias("row_nr"), "start")
-    rank = F.row_number().over(Window.partitionBy("insert_seq").orderBy("pick", "row_nr"))
-    drawn = own.withColumn("rank", rank).filter(F.col("rank") <= max(o.sample_n, o.infer_n)).select("insert_seq", "row_nr", "rank")
-    begin = own.filter("row_nr = start").select("insert_seq", "row_nr", F.lit(None).cast("int").alias("rank"))
-    wanted = run.saved(drawn.unionByName(begin))
-    got = lines.select("row_nr", "Content").join(wanted, "row_nr")
+    picked = propose.drawn(lines.select("row_nr", "Content", "own"), "own", sizes, max(o.sample_n, o.infer_n)).select("row_nr", "Content", "own", "rank")
+    begin = lines.filter("row_nr = start").select("row_nr", "Content", "own", F.lit(None).cast("int").alias("rank"))
+    got = picked.unionByName(begin).withColumnRenamed("own", "insert_seq")
     return got.groupBy("insert_seq").agg(
         F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.col("Content")))).alias("samples"),
         F.array_sort(F.collect_list(F.when(F.col("rank") <= o.sample_n, text.truncated(F.col("Content"), o.max_words)))).alias("few"),
@@ -82,7 +86,7 @@ def _entries(run: _Run, asked: DataFrame, infer: bool) -> DataFrame:
     """Catalogue entries of raw proposals, written; counts calls and tokens."""
     done = asked.withColumns({"template": text.finish(F.col("raw_template"), run.options.template_correction), "slot_types": text.slot_types(F.col("raw_template"))})
     done = slots.infer(done) if infer else done.withColumn("slot_regexes", F.lit(None).cast("array<string>"))
-    tokens = [c for c in ("input_tokens", "output_tokens") if c in done.columns]
+    tokens = [c for c in ("fresh", "input_tokens", "output_tokens") if c in done.columns]
     out = run.saved(cat.entries(done.select("insert_seq", "template", "slot_types", "slot_regexes", *tokens)))
     if tokens:
         run.asked = [a + b for a, b in zip(run.asked, propose.call_totals(out).first(), strict=True)]
@@ -96,7 +100,7 @@ def _reconcile(run: _Run, lines: DataFrame, new: DataFrame) -> DataFrame:
     """
     kept = run.saved(cat.kept(lines, new, "own", run.saved))
     run.next_seq += _STEP
-    done = run.saved(cat.match(lines, kept, "own", keep_entry=True).drop("own"))
+    done = run.saved(cat.match(lines, kept, "own", keep_entry=True, saved=run.saved).drop("own"))
     run.parts.append(done.filter("EventTemplate is not null"))
     run.known = kept if run.known is None else run.saved(run.known.select(*kept.columns).unionByName(kept))
     return done.filter("EventTemplate is null").select(*[c for c in done.columns if c not in dict(cat.FOUND)])
@@ -106,7 +110,7 @@ def _known(run: _Run, lines: DataFrame) -> DataFrame:
     """Match lines with what is known; what is left."""
     if run.known is None:
         return lines
-    done = run.saved(cat.match(lines, run.known, keep_entry=True))
+    done = run.saved(cat.match(lines, run.known, keep_entry=True, saved=run.saved))
     run.parts.append(done.filter("EventTemplate is not null"))
     return done.filter("EventTemplate is null").select(*lines.columns)
 
@@ -115,16 +119,18 @@ def _round(run: _Run, lines: DataFrame) -> DataFrame:
     """Propose a template for each leaf of ``lines`` and match them; what is left."""
     o, tokens = run.options, partition.tokenise(lines)
     found, leaves = _leaves(run, tokens)
-    own = propose.null_safe_join(found, leaves, _KEYS)
-    grouped = _sampled(run, lines, own)
+    named = leaves.select(*_KEYS, F.col("insert_seq").alias("own"), "start")
+    keyed = propose.null_safe_join(partition.assignment(tokens, found), named, _KEYS)
+    keyed = run.saved(keyed.select(*lines.columns, "own", "start"))
+    grouped = _sampled(run, keyed, leaves.select(F.col("insert_seq").alias("own"), "n"))
     if run.proposer is None:
         grouped = run.saved(grouped)
+        own = propose.null_safe_join(found.drop("n", "first"), leaves, _KEYS)
         asked = grouped.join(propose.structural(own.select("insert_seq", "words"), grouped.select("insert_seq", "line"), ["insert_seq"]), "insert_seq")
     else:
-        asked = propose.ask(grouped, run.proposer, o.max_concurrent, "few", o.timeout)
+        asked = propose.ask(grouped, run.proposer, o.max_concurrent, "few", o.timeout, run.answers, run.saved)
     new = _entries(run, asked, o.infer_slot_regexes)
-    keyed = propose.null_safe_join(partition.assignment(tokens, found), leaves.select(*_KEYS, F.col("insert_seq").alias("own")), _KEYS)
-    return _reconcile(run, keyed.select(*lines.columns, "own"), new)
+    return _reconcile(run, keyed.drop("start"), new)
 
 
 def _singles(run: _Run, lines: DataFrame) -> DataFrame:
@@ -134,7 +140,8 @@ def _singles(run: _Run, lines: DataFrame) -> DataFrame:
     if run.proposer is None:
         asked = texts.withColumn("raw_template", F.col("Content"))
     else:
-        asked = propose.ask(texts.withColumn("samples", F.array("Content")), run.proposer, run.options.max_concurrent, seconds=run.options.timeout)
+        alone = texts.select("insert_seq", F.array("Content").alias("samples"))
+        asked = propose.ask(alone, run.proposer, run.options.max_concurrent, "samples", run.options.timeout, run.answers, run.saved)
     new = _entries(run, asked, False)
     return _reconcile(run, lines.join(texts.withColumnRenamed("insert_seq", "own"), "Content").select(*lines.columns, "own"), new)
 
@@ -146,13 +153,18 @@ def _waves(low: int | None, high: int | None):
         low, size = low + size, 2 * size
 
 
-def discover(logs: DataFrame, options: Options = Options(), proposer: propose.Proposer | None = None, seed: DataFrame | None = None) -> Discovery:  # noqa: B008
+def discover(
+    logs: DataFrame, options: Options = Options(), proposer: propose.Proposer | None = None, seed: DataFrame | None = None, model: Callable[[str], object] | None = None  # noqa: B008
+) -> Discovery:
     """Templates of ``logs`` (the text column, maybe row_nr, LineId and chunk_id), with ``seed`` as what is known before.
 
-    Without a proposer the structural one is used.  Null texts are in the result, without a template and uncounted.
+    ``model`` takes a prompt (``Options.prompt`` with the lines) and gives an answer; a ``proposer`` takes the lines themselves.  Without either the structural one is used.  Null texts are in the result, without a template and uncounted.
     """
     start = time.monotonic()
-    run = _Run(options, proposer, Saved(logs.sparkSession))
+    if model is not None:
+        proposer = propose.prompted(model, options.prompt)
+    saved = Saved(logs.sparkSession)
+    run = _Run(options, proposer, saved, options.answers or f"{saved.folder}/answers")
     base = logs.withColumnRenamed(options.content_col, "Content")
     base = row_index(base.select(*[c for c in ("row_nr", "LineId", "Content", "chunk_id") if c in base.columns]), saved=run.saved)
     chunk = F.col("chunk_id") if "chunk_id" in base.columns else F.floor(F.col("row_nr") / options.chunk_size).cast("long")
@@ -195,5 +207,7 @@ def discover(logs: DataFrame, options: Options = Options(), proposer: propose.Pr
     known = run.known if run.known is not None else cat.entries(logs.sparkSession.createDataFrame([], "template string"))
     totals = dict(zip(("llm_calls", "input_tokens", "output_tokens"), run.asked, strict=True))
     stats = cat.run_stats(found).withColumns({k: F.lit(v).cast("long") for k, v in totals.items()}).withColumn("total_time", F.lit(time.monotonic() - start))
+    if not options.answers:
+        remove(logs.sparkSession, run.answers)
     run.saved.clear(found, known)
-    return Discovery(cat.result(found), cat.counted(known, found), stats, found)
+    return Discovery(cat.counted(known, found), stats, found, run.saved)

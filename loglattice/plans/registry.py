@@ -66,6 +66,28 @@ def _with_proposer(s: SparkSession, d: str):
     return discover(views.logs(s, d).select("row_nr", "LineId", "Content"), Options(chunk_size=400), lambda lists: [(_kind(x[0]), 10, 3) for x in lists])
 
 
+def _lines_sample(s: SparkSession, d: str) -> DataFrame:
+    """Ten random lines of each kind of event; most kinds have few distinct vectors or many lines."""
+    lines = views.logs(s, d).withColumn("own", F.split("Content", " ")[0])
+    return propose.drawn(lines, "own", lines.groupBy("own").agg(F.count("*").alias("n")), 10).select("own", "row_nr", "Content", F.col("rank").cast("long").alias("rank"))
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """A proposer's calls over the event log's lines by length: one length has no answer, which counts as a call."""
+    grouped = propose.samples(partition.tokenise(views.logs(s, d)), ["token_len"], 10)
+    count = lambda lists: [None if x[0].startswith("New") else ("t", sum(map(len, x)), len(x)) for x in lists]
+    return propose.call_totals(propose.ask(grouped, count, 3))
+
+
+def _by_key(s: SparkSession, d: str) -> DataFrame:
+    """Order lines against a catalogue with entries for every customer of an order: more than are sent to workers at once on larger tables."""
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    lines = orders.select(F.col("o_orderkey").cast("long").alias("row_nr"), F.concat(F.lit("Order "), "o_orderkey", F.lit(" of cust"), "o_custkey", F.lit(": state "), "o_orderstatus").alias("Content"))
+    made = [F.concat(F.lit("Order <*> of cust"), "o_custkey", F.lit(f": state {x}")) for x in ("<*>", "F")]
+    every = orders.select(F.explode(F.array(*made)).alias("template")).distinct().unionByName(s.range(1).select(F.lit("Order <*> of <*> state <*>").alias("template")))
+    return cat.match_by_key(lines, cat.entries(every)).select("row_nr", "EventTemplate", text.listed(F.col("ParameterList")).alias("ParameterList"))
+
+
 def _ordered(s: SparkSession, d: str) -> DataFrame:
     """Reconcile of event lines whose leaves have entries that also match lines of later leaves."""
     lines = views.logs(s, d).select("row_nr", "Content", F.expr(views.OWN).alias("own"))
@@ -177,6 +199,9 @@ def queries() -> dict[str, Query]:
         "discover_proposer": lambda s, d: _with_proposer(s, d).result.select("LineId", "Content", "EventTemplate", text.listed(F.col("SlotTypes")).alias("SlotTypes")),
         "singleton_fallback": lambda s, d: discover(views.logs(s, d).select("row_nr", "LineId", "Content"), Options(repool_passes=-1)).catalogue.select("template", "match_frequency"),
         "call_totals": lambda s, d: _with_proposer(s, d).stats.select((F.col("llm_calls") > 0).alias("called"), (F.col("input_tokens") / F.col("llm_calls")).alias("sent"), (F.col("output_tokens") / F.col("llm_calls")).alias("back"), "matched", "noise"),
+        "leaf_lines_sample": _lines_sample,
+        "proposal_calls": _calls,
+        "match_by_key": _by_key,
         "discover": flagship,
         "apply_stream": _apply_stream,
         "discover_stream": _discover_stream,
@@ -274,6 +299,9 @@ def oracle_sql() -> dict[str, str]:
         "discover_proposer": f"{logs} SELECT LineId, Content, CASE WHEN Content LIKE 'Error%' THEN regexp_replace(regexp_replace(Content, 'code [0-9]+', 'code <*>'), 'in [0-9]+', 'in <*>') ELSE EventTemplate END AS EventTemplate, CASE WHEN Content LIKE 'Click%' THEN '[''OID'', ''OID'']' WHEN Content LIKE 'Order%' THEN '[''OTP'', ''OBA'']' WHEN Content LIKE 'View%' THEN '[''SID'', ''OID'']' END AS SlotTypes FROM logs",
         "singleton_fallback": f"{logs} SELECT {_duck('Content')} AS template, count(*) AS match_frequency FROM logs GROUP BY ALL",
         "call_totals": f"{logs} SELECT true AS called, 10.0::DOUBLE AS sent, 3.0::DOUBLE AS back, count(*) AS matched, cast(0 AS bigint) AS noise FROM logs",
+        "leaf_lines_sample": f"{logs}, u AS (SELECT split_part(Content, ' ', 1) AS own, row_nr, Content, row_number() OVER (PARTITION BY split_part(Content, ' ', 1) ORDER BY md5(concat('42:', row_nr)), row_nr) AS rank FROM logs) SELECT * FROM u WHERE rank <= 10",
+        "proposal_calls": f"{logs}, u AS (SELECT len({words}) AS token_len, Content, row_number() OVER (PARTITION BY len({words}) ORDER BY row_nr) AS r FROM logs), g AS (SELECT token_len, min(Content) LIKE 'New%' AS failed, sum(length(Content)) AS sent, count(*) AS back FROM u WHERE r <= 10 GROUP BY token_len) SELECT count(*) AS llm_calls, cast(coalesce(sum(sent) FILTER (NOT failed), 0) AS bigint) AS input_tokens, cast(coalesce(sum(back) FILTER (NOT failed), 0) AS bigint) AS output_tokens FROM g",
+        "match_by_key": "SELECT cast(o_orderkey AS bigint) AS row_nr, concat('Order <*> of cust', o_custkey, CASE WHEN o_orderstatus = 'F' THEN ': state F' ELSE ': state <*>' END) AS EventTemplate, concat('[''', o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE concat(''', ''', o_orderstatus) END, ''']') AS ParameterList FROM orders",
         "discover": f"{logs}, u AS (SELECT LineId, Content, EventTemplate FROM logs), i AS (SELECT EventTemplate, concat('E', row_number() OVER (ORDER BY EventTemplate)) AS EventId FROM (SELECT DISTINCT EventTemplate FROM u)) SELECT LineId, EventId, Content, EventTemplate FROM u JOIN i USING (EventTemplate)",
     }
 

@@ -67,14 +67,21 @@ def complete(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getParent().getName() for s in fs.globStatus(p) or [])
 
 
+def complete_table(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a table that was completely written once at least."""
+    p, fs = _filesystem(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 class Saved:
     """Tables written to the shared folder to cut lineage; ``clear`` removes all but those named."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}
+        self.spark, self.folder, self.paths, self.count = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}, 0
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
@@ -85,6 +92,8 @@ class Saved:
             if i not in map(id, keep):
                 remove(self.spark, path)
         self.paths = {i: x for i, x in self.paths.items() if i in map(id, keep)}
+        if not self.paths:
+            remove(self.spark, self.folder)
 
 
 def small(df: DataFrame, rows: int = 200_000) -> bool:
@@ -146,4 +155,5 @@ def write_summary(summary: DataFrame, path: str) -> None:
 
 
 def write_config(spark: SparkSession, options: Options, path: str) -> None:
-    spark.createDataFrame([asdict(options)]).write.mode("overwrite").json(path)
+    known = {k: v for k, v in asdict(options).items() if v is not None}
+    spark.createDataFrame([known]).write.mode("overwrite").json(path)

@@ -33,11 +33,12 @@ def discover_stream(
         before = sorted(n for n in (int(name[2:]) for name in io.complete(spark, f"{folder}/catalogue")) if n < number)
         read = lambda kind: spark.read.parquet(f"{folder}/{kind}/v={before[-1]}") if before else None
         found = discover(batch, options, proposer, read("catalogue"))
-        ids = cat.event_ids(found.matched, read("ids"))
+        ids = cat.event_ids(found.matched, read("ids"), found.tables)
         ids.write.mode("overwrite").parquet(f"{folder}/ids/v={number}")
         ids = spark.read.parquet(f"{folder}/ids/v={number}")
         cat.result(found.matched, ids).write.mode("overwrite").parquet(f"{folder}/result/v={number}")
         found.catalogue.write.mode("overwrite").parquet(f"{folder}/catalogue/v={number}")
+        found.tables.clear()
         for old in before[:-1]:
             for kind in ("catalogue", "ids"):
                 io.remove(spark, f"{folder}/{kind}/v={old}")
