@@ -6,7 +6,6 @@ key columns (token_len, s2_pos, s2_value, s3_side, s3_value) within its chunk.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +74,6 @@ def position_pair(nus: Column) -> Column:
     return F.when(size == 2, pair(F.lit(0), F.lit(1))).when((size > 2) & (F.size(hist) > 0), rest)
 
 
-def pair_table(vec: DataFrame, good: DataFrame, limit: float) -> DataFrame:
-    """Distinct token pairs of the partitions that are to be split again, with lines and first line."""
-    todo = good.filter(F.col("goodness") <= limit).select(*PART, position_pair(F.col("nus")).alias("pp")).filter("pp is not null")
-    joined = join_parts(vec, todo, "inner")
-    v = lambda k: F.get("words", F.col(f"pp.{k}"))
-    return joined.groupBy(*PART, v("p1").alias("v1"), v("p2").alias("v2")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-
-
 def join_parts(left: DataFrame, right: DataFrame, how: str, extra: list[str] = []) -> DataFrame:  # noqa: B006
     """Join on the partition keys; s2_pos and s2_value may be null."""
     keys = PART + extra
@@ -106,69 +97,83 @@ def relations(table: DataFrame, lower_bound: float) -> DataFrame:
     return out.withColumn("s3_side", side)
 
 
-def relations_in_order(table: DataFrame, lower_bound: float) -> DataFrame:
-    """The same visiting pairs by first line, each removed pair shrinking later counts.
+def relations_in_order(table: DataFrame, lower_bound: float, saved: Saved) -> DataFrame:
+    """The same (without c1 and c2) visiting pairs by first line, each removed pair shrinking later counts.
 
-    A group is one partition of one chunk, so it never has more pairs than a chunk has lines.
+    A pair with one partner left on a side is removed, so of the pairs of a token only its last one can go by that token's count, and only if all
+    its others went by their other tokens.  So each token hangs from the other token of its last pair, and what a token needs is that no
+    pair below it in this forest is stuck (the last pair of neither token).  Tokens above a stuck pair are found by pointer
+    doubling: as many rounds of joins as the depth has binary digits, and no partition is ever in one task.
     """
+    pair = F.struct("first", "v1", "v2")
+    out = table
+    for v in ("v1", "v2"):
+        last = table.groupBy(*PART, v).agg(F.max(pair).alias("_last"))
+        out = join_parts(out, last, "inner", [v]).withColumn(f"_is{v}", F.col("_last") == pair).drop("_last")
+    out = saved(out)
+    one, two = (F.struct(*PART, F.lit(v).alias("side"), F.col(v).alias("token")) for v in ("v1", "v2"))
+    bad = out.filter("not _isv1 and not _isv2").select(F.explode(F.array(one, two)).alias("node")).distinct()
+    bad = saved(bad)
+    up = out.filter("_isv1 <> _isv2").select(F.when(F.col("_isv1"), one).otherwise(two).alias("node"), F.when(F.col("_isv1"), two).otherwise(one).alias("above"))
+    more, step = bad, None
+    while not more.isEmpty():
+        step = saved(up if step is None else step.join(step.select(F.col("node").alias("above"), F.col("above").alias("next")), "above").select("node", F.col("next").alias("above")))
+        more = saved(bad.join(step, "node").select(F.col("above").alias("node")).distinct().join(bad, "node", "left_anti"))
+        bad = bad.unionByName(more)
+    for v in ("v1", "v2"):
+        of = bad.filter(F.col("node.side") == v).select("node.*").select(*PART, F.col("token").alias(v), F.lit(True).alias(f"_bad{v}"))
+        out = join_parts(out, of, "left", [v])
+    alone, few = {v: F.col(f"_is{v}") & F.col(f"_bad{v}").isNull() for v in ("v1", "v2")}, 1 / F.col("n") < lower_bound
+    side = (
+        F.when(alone["v1"] & alone["v2"], "v1")
+        .when(alone["v2"], F.when(few, "v2").otherwise("v1"))
+        .when(alone["v1"], F.when(few, "v1").otherwise("v2"))
+    )
+    return out.withColumn("s3_side", side).select(*table.columns, "s3_side")
+
 
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", kind="stable")
-        left: dict = {}
-        right: dict = {}
-        for a, b in zip(pdf["v1"], pdf["v2"], strict=True):
-            left.setdefault(a, set()).add(b)
-            right.setdefault(b, set()).add(a)
-        c1s, c2s, sides = [], [], []
-        for a, b, n in zip(pdf["v1"], pdf["v2"], pdf["n"], strict=True):
-            c1, c2 = len(left[a]), len(right[b])
-            few = 1 / n < lower_bound
-            side = None
-            if c1 == 1 or c2 == 1:
-                side = "v1" if c1 == c2 else ("v2" if few else "v1") if c1 > 1 else ("v1" if few else "v2")
-                left[a].discard(b)
-                right[b].discard(a)
-            c1s.append(c1), c2s.append(c2), sides.append(side)
-        return pdf.assign(c1=c1s, c2=c2s, s3_side=sides)
-
-    return table.groupBy(*PART).applyInPandas(visit, relations(table, lower_bound).schema)
-
-
-def _shares(vec: DataFrame, keys: list[str], parent: Column, total: Column, file_support: float, partition_support: float) -> Column:
-    """Whether the group of ``keys`` has too small a share of its chunk or of its parent."""
-    n = F.sum("n").over(Window.partitionBy(*keys))
-    return (F.lit(file_support > 0) & (n / total < file_support)) | (F.lit(partition_support > 0) & (n / parent < partition_support))
+def _supports(part: DataFrame, file_support: float, partition_support: float) -> DataFrame:
+    """The partitions with their lines (_n), their chunk's lines (_total) and the step that made them too small (outlier), from one rollup."""
+    totals = part.withColumn("_s2", F.struct("s2_pos", "s2_value")).rollup("chunk_id", "token_len", "_s2").agg(F.sum("n").alias("_n"), F.grouping_id().alias("_level"))
+    at = lambda level, *keys: totals.filter(F.col("_level") == level).select(*keys)
+    out = at(0, "chunk_id", "token_len", "_s2.*", "_n").join(at(1, "chunk_id", "token_len", F.col("_n").alias("_length")), ["chunk_id", "token_len"])
+    out = out.join(at(3, "chunk_id", F.col("_n").alias("_total")), "chunk_id")
+    small = lambda n: F.lit(file_support > 0) & (n / F.col("_total") < file_support)
+    second = small(F.col("_n")) | (F.lit(partition_support > 0) & (F.col("_n") / F.col("_length") < partition_support))
+    outlier = F.when(small(F.col("_length")), "S1").when(F.col("s2_value").isNotNull() & second, "S2")
+    return out.select(*PART, "_n", "_total", outlier.alias("outlier"))
 
 
 def leaves(
-    vec: DataFrame, limit: float = 0.3, lower_bound: float = 0.25, static: bool = True, file_support: float = 0.0, partition_support: float = 0.0
+    vec: DataFrame, limit: float = 0.3, lower_bound: float = 0.25, static: bool = True, file_support: float = 0.0, partition_support: float = 0.0, saved: Saved | None = None
 ) -> DataFrame:
     """Every distinct token vector (of ``vectors``) with its leaf: the partition keys, s3_side and s3_value.
 
     p1, p2, v1, v2 are the compared positions and tokens where the partition went to the third step.  ``outlier`` names the step
-    (S1, S2, S3) that made a partition with too little support; such a partition is a leaf and isn't split any further.
+    (S1, S2, S3) that made a partition with too little support; such a partition is a leaf and isn't split any further.  The
+    sequential third step (not ``static``) writes its tables to ``saved``.
     """
     pruning = file_support > 0 or partition_support > 0
-    part = s2(vec).withColumn("outlier", F.lit(None).cast("string"))
+    part = s2(vec)
     if pruning:
-        total, length = F.sum("n").over(Window.partitionBy("chunk_id")), F.sum("n").over(Window.partitionBy("chunk_id", "token_len"))
-        part = part.withColumn("outlier", F.when(_shares(part, ["chunk_id", "token_len"], total, total, file_support, 0.0), "S1"))
-        alone = F.col("outlier") == "S1"
-        part = part.withColumns({c: F.when(alone, None).otherwise(F.col(c)) for c in ("s2_pos", "s2_value")})
-        few = F.col("outlier").isNull() & F.col("s2_value").isNotNull() & _shares(part, PART, length, total, file_support, partition_support)
-        part = part.withColumn("outlier", F.when(few, "S2").otherwise(F.col("outlier")))
+        part = join_parts(part, _supports(part, file_support, partition_support), "inner")
+        part = part.withColumns({c: F.when(F.col("outlier") == "S1", None).otherwise(F.col(c)) for c in ("s2_pos", "s2_value")})
+    else:
+        part = part.withColumn("outlier", F.lit(None).cast("string"))
     good = goodness(part.filter("outlier is null") if pruning else part)
     todo = good.filter(F.col("goodness") <= limit).select(*PART, position_pair(F.col("nus")).alias("pp")).filter("pp is not null")
     keyed = join_parts(part, todo, "left").withColumns({"p1": F.col("pp.p1"), "p2": F.col("pp.p2")}).drop("pp")
     keyed = keyed.withColumns({"v1": F.get("words", F.col("p1")), "v2": F.get("words", F.col("p2"))})
     table = keyed.filter("p1 is not null").groupBy(*PART, "v1", "v2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    rel = relations(table, lower_bound) if static else relations_in_order(table, lower_bound)
+    rel = relations(table, lower_bound) if static else relations_in_order(table, lower_bound, saved or Saved(vec.sparkSession))
     out = join_parts(keyed, rel.select(*PART, "v1", "v2", "s3_side"), "left", ["v1", "v2"])
     out = out.withColumn("s3_value", F.when(F.col("s3_side") == "v1", F.col("v1")).when(F.col("s3_side") == "v2", F.col("v2")))
     if pruning:
-        parent, total = F.sum("n").over(Window.partitionBy(*PART)), F.sum("n").over(Window.partitionBy("chunk_id"))
-        few = F.col("s3_side").isNotNull() & _shares(out, [*PART, "s3_side", "s3_value"], parent, total, file_support, partition_support)
-        out = out.withColumn("outlier", F.when(few, "S3").otherwise(F.col("outlier")))
+        third = [*PART, "s3_side", "s3_value"]
+        share = out.filter("s3_side is not null").groupBy(*third).agg(F.sum("n").alias("_k"), F.first("_n").alias("_n"), F.first("_total").alias("_total"))
+        few = (F.lit(file_support > 0) & (F.col("_k") / F.col("_total") < file_support)) | (F.lit(partition_support > 0) & (F.col("_k") / F.col("_n") < partition_support))
+        out = join_parts(out.drop("_n", "_total"), share.filter(few).select(*third, F.lit("S3").alias("_third")), "left", ["s3_side", "s3_value"])
+        out = out.withColumn("outlier", F.coalesce("outlier", "_third")).drop("_third")
     return out
 
 
@@ -205,13 +210,22 @@ def leaf_summary(found: DataFrame) -> DataFrame:
 
 
 def in_order(summary: DataFrame, saved: Saved | None = None) -> DataFrame:
-    """Leaves numbered by ``leaf_ord``: by the first line of their length, their part, then what stayed before the children, outliers last."""
+    """Leaves numbered by ``leaf_ord``: by the first line of their length, their part, then what stayed before the children; outliers last, by step."""
     by = lambda *keys: F.min("first").over(Window.partitionBy(*keys))
     side = F.when(F.col("s3_side").isNull(), 0).when(F.col("s3_side") == "v1", 1).otherwise(2)
+    keys = summary.select("*", by("chunk_id", "token_len").alias("_a"), by(*PART).alias("_b"), side.alias("_c"))
+    order = ["chunk_id", "outlier", "_a", "_b", "_c", "first"]
+    return row_index(keys, *map(F.col, order), saved=saved).drop("_a", "_b", "_c").withColumnRenamed("row_nr", "leaf_ord")
+
+
+def leaf_events(ordered: DataFrame, single_outlier_event: bool = False) -> DataFrame:
+    """``in_order`` leaves with ``event``: e1, e2, … within a chunk, and outlier_e1, … for its outliers, or outlier_e for all of them."""
     late = F.col("outlier").isNotNull()
-    keys = summary.select("*", late.alias("_late"), by("chunk_id", "token_len").alias("_a"), by(*PART).alias("_b"), side.alias("_c"))
-    order = ["chunk_id", "_late", "_a", "_b", "_c", "first"]
-    return row_index(keys, *map(F.col, order), saved=saved).drop("_late", "_a", "_b", "_c").withColumnRenamed("row_nr", "leaf_ord")
+    start = ordered.groupBy("chunk_id", late.alias("_late")).agg(F.min("leaf_ord").alias("_start"))
+    out = ordered.withColumn("_late", late).join(start, ["chunk_id", "_late"])
+    number = (F.col("leaf_ord") - F.col("_start") + 1).cast("string")
+    named = F.lit("outlier_e") if single_outlier_event else F.concat(F.lit("outlier_e"), number)
+    return out.withColumn("event", F.when(F.col("_late"), named).otherwise(F.concat(F.lit("e"), number))).drop("_late", "_start")
 
 
 def leaf_listing(assigned: DataFrame, ordered: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _leaves(run: _Run, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Token vectors with their leaf, and the leaves in their order (insert_seq)."""
     o = run.options
     vec = run.saved(partition.vectors(lines))
-    found = run.saved(partition.leaves(vec, o.goodness, o.lower_bound, False, o.file_support, o.partition_support))
+    found = run.saved(partition.leaves(vec, o.goodness, o.lower_bound, False, o.file_support, o.partition_support, run.saved))
     one = partition.leaf_summary(found).groupBy(*_KEYS).agg(
         F.min("chunk_id").alias("chunk_id"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("outlier").alias("outlier")
     )

@@ -42,9 +42,9 @@ def _assigned(s: SparkSession, d: str) -> DataFrame:
     return partition.assignment(_lines(s, d), io.Saved(s)(_leaves(s, d)))
 
 
-def _outliers(s: SparkSession, d: str) -> DataFrame:
+def _pruned(s: SparkSession, d: str) -> DataFrame:
     """Leaves of the customer lines under both support limits."""
-    return partition.leaf_summary(_leaves(s, d, file_support=0.004, partition_support=0.06)).select("chunk_id", "s2_value", "s3_side", "s3_value", "n", "outlier")
+    return partition.leaf_summary(_leaves(s, d, file_support=0.004, partition_support=0.06))
 
 
 def _proposed(s: SparkSession, d: str) -> DataFrame:
@@ -162,9 +162,10 @@ def queries() -> dict[str, Query]:
         "pair_table": lambda s, d: _pairs(s, d).select("chunk_id", "v1", "v2", "n", "first"),
         "pair_relation": lambda s, d: partition.relations(_pairs(s, d), 0.25).select("chunk_id", "v1", "v2", "c1", "c2", "s3_side"),
         "s3_static_leaves": lambda s, d: _assigned(s, d).select("row_nr", "s2_value", "s3_side", "s3_value"),
-        "s3_sequential_leaves": lambda s, d: partition.leaf_summary(_leaves(s, d, static=False)),
+        "s3_sequential_leaves": lambda s, d: partition.leaf_summary(_leaves(s, d, static=False)).select("chunk_id", "s2_value", "s3_side", "s3_value", "n", "first"),
         "leaf_summary": lambda s, d: partition.leaf_summary(_leaves(s, d)).select("chunk_id", "s3_side", "s3_value", "n", "first"),
-        "support_pruning": _outliers,
+        "support_pruning": lambda s, d: _pruned(s, d).select("chunk_id", "s2_value", "s3_side", "s3_value", "n", "outlier"),
+        "outlier_events": lambda s, d: partition.leaf_events(partition.in_order(_pruned(s, d))).select("chunk_id", "s2_value", "s3_side", "s3_value", "n", "event"),
         "leaf_order": lambda s, d: partition.in_order(partition.leaf_summary(_leaves(s, d))).select("leaf_ord", "chunk_id", "s3_side", "s3_value", "trace", "n"),
         "leaf_listing": lambda s, d: partition.leaf_listing(_assigned(s, d), partition.in_order(partition.leaf_summary(_leaves(s, d)))).select("leaf_ord", "row_nr", "Content"),
         "leaf_sample": lambda s, d: propose.sample(_assigned(s, d), ["leaf"], 3).select("row_nr", "s3_value", F.col("rank").cast("long").alias("rank")),
@@ -264,8 +265,10 @@ def oracle_sql() -> dict[str, str]:
         "pair_table": f'{cust} SELECT chunk_id, v1, v2, n, "first" FROM pt',
         "pair_relation": f"{cust} SELECT chunk_id, v1, v2, c1, c2, s3_side FROM rel",
         "s3_static_leaves": f"{cust} SELECT row_nr, s2_value, s3_side, s3_value FROM leaf",
+        "s3_sequential_leaves": f'WITH RECURSIVE {views.SQL_CUST_PARTS}, {views.SQL_SEQUENCE}, {views.sql_leaf("leaf2", "walk")} SELECT chunk_id, s2_value, s3_side, s3_value, count(*) AS n, min(row_nr) AS "first" FROM leaf2 GROUP BY chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value',
         "leaf_summary": f'{cust} SELECT chunk_id, s3_side, s3_value, count(*) AS n, min(row_nr) AS "first" FROM leaf GROUP BY chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value',
         "support_pruning": f"{cust}, {views.SQL_PRUNED} SELECT chunk_id, s2_value, s3_side, s3_value, n, outlier FROM pruned",
+        "outlier_events": f"{cust}, {views.SQL_PRUNED}, {views.SQL_EVENTS} SELECT chunk_id, s2_value, s3_side, s3_value, n, event FROM events_",
         "leaf_order": f"{cust}, {views.SQL_ORDER} SELECT leaf_ord, chunk_id, s3_side, s3_value, trace, n FROM ordered",
         "leaf_listing": f"{cust}, {views.SQL_ORDER} SELECT leaf_ord, row_nr, Content FROM ordered o JOIN (SELECT leaf.*, Content FROM leaf JOIN cust USING (row_nr)) l ON o.chunk_id = l.chunk_id AND o.token_len = l.token_len AND o.s2_pos IS NOT DISTINCT FROM l.s2_pos AND o.s2_value IS NOT DISTINCT FROM l.s2_value AND o.s3_side IS NOT DISTINCT FROM l.s3_side AND o.s3_value IS NOT DISTINCT FROM l.s3_value",
         "leaf_sample": f"{cust}, u AS (SELECT row_nr, s3_value, row_number() OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value ORDER BY row_nr) AS rank FROM leaf) SELECT * FROM u WHERE rank <= 3",

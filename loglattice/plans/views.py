@@ -88,10 +88,26 @@ SQL_PARTS = """cards AS (SELECT chunk_id, token_len, pos, count(DISTINCT token)
   pt AS (SELECT chunk_id, token_len, s2_pos, s2_value, v1, v2, count(*) AS n, min(row_nr) AS "first" FROM vp GROUP BY ALL),
   rel0 AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value, v1) AS c1, count(*) OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value, v2) AS c2 FROM pt),
   rel AS (SELECT *, CASE WHEN c1 > 1 AND c2 > 1 THEN NULL WHEN c1 > 1 THEN CASE WHEN 1.0 / n < 0.25 THEN 'v2' ELSE 'v1' END
-    WHEN c2 > 1 THEN CASE WHEN 1.0 / n < 0.25 THEN 'v1' ELSE 'v2' END ELSE 'v1' END AS s3_side FROM rel0),
-  leaf AS (SELECT parts.row_nr, parts.chunk_id, parts.token_len, parts.s2_pos, parts.s2_value, s3_side, CASE s3_side WHEN 'v1' THEN rel.v1 WHEN 'v2' THEN rel.v2 END AS s3_value
-    FROM parts LEFT JOIN vp USING (row_nr) LEFT JOIN rel ON vp.chunk_id = rel.chunk_id AND vp.token_len = rel.token_len
-    AND vp.s2_pos IS NOT DISTINCT FROM rel.s2_pos AND vp.s2_value IS NOT DISTINCT FROM rel.s2_value AND vp.v1 = rel.v1 AND vp.v2 = rel.v2)"""
+    WHEN c2 > 1 THEN CASE WHEN 1.0 / n < 0.25 THEN 'v1' ELSE 'v2' END ELSE 'v1' END AS s3_side FROM rel0)"""
+
+
+def sql_leaf(name: str, rel: str) -> str:
+    """The leaf of every line by the sides in ``rel``."""
+    return f"""{name} AS (SELECT parts.row_nr, parts.chunk_id, parts.token_len, parts.s2_pos, parts.s2_value, s3_side, CASE s3_side WHEN 'v1' THEN {rel}.v1 WHEN 'v2' THEN {rel}.v2 END AS s3_value
+    FROM parts LEFT JOIN vp USING (row_nr) LEFT JOIN {rel} ON vp.chunk_id = {rel}.chunk_id AND vp.token_len = {rel}.token_len
+    AND vp.s2_pos IS NOT DISTINCT FROM {rel}.s2_pos AND vp.s2_value IS NOT DISTINCT FROM {rel}.s2_value AND vp.v1 = {rel}.v1 AND vp.v2 = {rel}.v2)"""
+
+
+#: Pairs visited one after another: g1 and g2 hold the tokens of the pairs removed so far.  Needs WITH RECURSIVE.
+SQL_SEQUENCE = """nth AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value ORDER BY "first") AS k,
+    count(*) OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value, v1) AS d1, count(*) OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value, v2) AS d2 FROM pt),
+  walk AS (SELECT DISTINCT chunk_id, token_len, s2_pos, s2_value, cast(0 AS bigint) AS k, cast([] AS varchar[]) AS g1, cast([] AS varchar[]) AS g2,
+      cast(NULL AS varchar) AS v1, cast(NULL AS varchar) AS v2, cast(NULL AS varchar) AS s3_side FROM pt
+    UNION ALL
+    SELECT chunk_id, token_len, s2_pos, s2_value, k, CASE WHEN c1 = 1 OR c2 = 1 THEN list_append(g1, v1) ELSE g1 END, CASE WHEN c1 = 1 OR c2 = 1 THEN list_append(g2, v2) ELSE g2 END, v1, v2,
+      CASE WHEN c1 > 1 AND c2 > 1 THEN NULL WHEN c1 = c2 THEN 'v1' WHEN c1 > 1 THEN CASE WHEN 1.0 / n < 0.25 THEN 'v2' ELSE 'v1' END ELSE CASE WHEN 1.0 / n < 0.25 THEN 'v1' ELSE 'v2' END END
+    FROM (SELECT nth.*, g1, g2, d1 - len(list_filter(g1, lambda x: x = nth.v1)) AS c1, d2 - len(list_filter(g2, lambda x: x = nth.v2)) AS c2 FROM walk w JOIN nth
+      ON nth.chunk_id = w.chunk_id AND nth.token_len = w.token_len AND nth.s2_pos IS NOT DISTINCT FROM w.s2_pos AND nth.s2_value IS NOT DISTINCT FROM w.s2_value AND nth.k = w.k + 1))"""
 #: Leaves of pruned partitions: with shares below 0.004 of the chunk or 0.06 of the parent.
 SQL_PRUNED = """t0 AS (SELECT chunk_id, count(*) AS total FROM cust GROUP BY ALL),
   t1 AS (SELECT chunk_id, token_len, count(*) AS n1 FROM tok GROUP BY ALL),
@@ -99,13 +115,17 @@ SQL_PRUNED = """t0 AS (SELECT chunk_id, count(*) AS total FROM cust GROUP BY ALL
   w2 AS (SELECT * REPLACE (CASE WHEN out1 THEN NULL ELSE s2_value END AS s2_value), count(*) OVER (PARTITION BY chunk_id, token_len, CASE WHEN out1 THEN NULL ELSE s2_value END) AS n2 FROM w),
   w3 AS (SELECT *, NOT out1 AND s2_value IS NOT NULL AND (n2 / total < 0.004 OR n2 / n1 < 0.06) AS out2 FROM w2),
   w4 AS (SELECT w3.row_nr, w3.chunk_id, w3.token_len, w3.s2_value, total, n2, out1, out2, CASE WHEN NOT out1 AND NOT out2 THEN leaf.s3_side END AS s3_side, CASE WHEN NOT out1 AND NOT out2 THEN leaf.s3_value END AS s3_value FROM w3 JOIN leaf USING (row_nr)),
-  pruned AS (SELECT chunk_id, s2_value, s3_side, s3_value, count(*) AS n,
+  pruned AS (SELECT chunk_id, token_len, s2_value, s3_side, s3_value, count(*) AS n, min(row_nr) AS f,
     CASE WHEN any_value(out1) THEN 'S1' WHEN any_value(out2) THEN 'S2' WHEN s3_side IS NOT NULL AND (count(*) / any_value(total) < 0.004 OR count(*) / any_value(n2) < 0.06) THEN 'S3' END AS outlier
     FROM w4 GROUP BY chunk_id, token_len, s2_value, s3_side, s3_value)"""
+#: The same with their events: outliers are numbered last, by step.
+SQL_EVENTS = """o1 AS (SELECT *, min(f) OVER (PARTITION BY chunk_id, token_len) AS a, min(f) OVER (PARTITION BY chunk_id, token_len, s2_value) AS b FROM pruned),
+  events_ AS (SELECT *, concat(CASE WHEN outlier IS NULL THEN 'e' ELSE 'outlier_e' END, row_number() OVER (PARTITION BY chunk_id, outlier IS NULL
+    ORDER BY outlier, a, b, CASE WHEN s3_side IS NULL THEN 0 WHEN s3_side = 'v1' THEN 1 ELSE 2 END, f)) AS event FROM o1)"""
 SQL_ORDER = """u0 AS (SELECT chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value, count(*) AS n, min(row_nr) AS f FROM leaf GROUP BY ALL),
   u1 AS (SELECT *, min(f) OVER (PARTITION BY chunk_id, token_len) AS a, min(f) OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value) AS b FROM u0),
   ordered AS (SELECT *, row_number() OVER (ORDER BY chunk_id, a, b, CASE WHEN s3_side IS NULL THEN 0 WHEN s3_side = 'v1' THEN 1 ELSE 2 END, f) - 1 AS leaf_ord,
     concat('S1 ', CASE WHEN s2_value IS NOT NULL THEN 'S2 ' ELSE '' END, CASE WHEN s3_side IS NOT NULL THEN 'S3 ' ELSE '' END) AS trace FROM u1)"""
-SQL_CUST_PARTS = f"{SQL_CUST}, {SQL_TOK}, {SQL_PARTS}"
+SQL_CUST_PARTS = f"{SQL_CUST}, {SQL_TOK}, {SQL_PARTS}, {sql_leaf('leaf', 'rel')}"
 SQL_PAIRS = f"""gp AS (SELECT d AS dataset, {TEMPLATE} AS gt, CASE d WHEN 'nulls' THEN {PREDICTED} ELSE {PREDICTED_FULL} END AS pred FROM events, (VALUES ('nulls'), ('full')) v(d)),
   pairs AS (SELECT dataset, gt, pred, count(*) AS n, coalesce(trim(regexp_replace(gt, '\\s+', ' ', 'g')) = trim(regexp_replace(pred, '\\s+', ' ', 'g')), false) AS ok FROM gp GROUP BY ALL)"""

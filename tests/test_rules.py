@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loglattice.functions import text
 from loglattice.operators import catalogue as cat
 from loglattice.operators import partition, slots
+from loglattice.sources.io import Saved
 
 CORRECT = {
     "  a   b ": "a b", "open /var/log/x.log: ok": "open <*>: ok", "retry 12 of 30": "retry <*> of <*>", "user12<*> in": "<*> in",
@@ -54,7 +55,7 @@ def test_third_step(spark, pairs, ordered, static):
     rows = [(0, 4, 0, None, p[0], p[1], i) for i, p in enumerate(pairs)]
     df = spark.createDataFrame(rows, "chunk_id long, token_len int, s2_pos int, s2_value string, v1 string, v2 string, row_nr long")
     table = df.groupBy(*partition.PART, "v1", "v2").agg(F.count("*").alias("n"), F.min("row_nr").alias("first"))
-    for found, want in ((partition.relations_in_order(table, 0.25), ordered), (partition.relations(table, 0.25), static)):
+    for found, want in ((partition.relations_in_order(table, 0.25, Saved(spark)), ordered), (partition.relations(table, 0.25), static)):
         side = {(r["v1"], r["v2"]): r["s3_side"] for r in found.collect()}
         got = {}
         for i, p in enumerate(pairs):
