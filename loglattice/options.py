@@ -24,6 +24,7 @@ class Options:
     timeout: float = 60.0  # seconds for one call; 0 is off
     prompt: str = "default"  # of a model that discover is given: a name or a text, see operators.propose
     answers: str | None = None  # a folder that keeps the proposer's answers for later runs
+    resume: str | None = None  # a folder of this run alone: a run that was stopped goes on from its last finished wave
 
     def __post_init__(self) -> None:
         if self.prompt == "simple":  # its slots have no types to infer from

@@ -6,14 +6,15 @@ wave that have the same keys are one leaf: the proposer is asked once for it.
 
 Lines are never shuffled: a line finds its leaf by small tables of keys, and proposals come from distinct token vectors and a few
 lines sampled from each leaf.  What is decided (answers, kept entries, matches) is written to the shared folder, answers slice by slice, so a proposer isn't
-asked again when an executor is lost; with a folder for ``Options.answers`` not even by a run that is started anew.
+asked again when an executor is lost; with a folder for ``Options.answers`` not even by a run that is started anew.  With a folder for ``Options.resume`` a run
+whose driver was lost goes on from its last finished wave: a manifest names the lines, the catalogue and each wave's matches.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from loglattice.functions import text
 from loglattice.operators import catalogue as cat
 from loglattice.operators import partition, propose, slots
 from loglattice.options import Options
-from loglattice.sources.io import Saved, remove, row_index
+from loglattice.sources.io import Manifest, Saved, remove, row_index
 
 #: Each reconcile numbers its entries from a multiple of this.
 _STEP = 1 << 40
@@ -50,7 +51,7 @@ class _Run:
     answers: str
     known: DataFrame | None = None
     next_seq: int = 0
-    parts: list[DataFrame] = field(default_factory=list)
+    parts: list[DataFrame] = field(default_factory=list)  # written tables; their lines with a template are done
     asked: list[int] = field(default_factory=lambda: [0, 0, 0])  # calls, tokens sent, tokens back
 
 
@@ -101,7 +102,7 @@ def _reconcile(run: _Run, lines: DataFrame, new: DataFrame) -> DataFrame:
     kept = run.saved(cat.kept(lines, new, "own", run.saved))
     run.next_seq += _STEP
     done = run.saved(cat.match(lines, kept, "own", keep_entry=True, saved=run.saved).drop("own"))
-    run.parts.append(done.filter("EventTemplate is not null"))
+    run.parts.append(done)
     run.known = kept if run.known is None else run.saved(run.known.select(*kept.columns).unionByName(kept))
     return done.filter("EventTemplate is null").select(*[c for c in done.columns if c not in dict(cat.FOUND)])
 
@@ -111,7 +112,7 @@ def _known(run: _Run, lines: DataFrame) -> DataFrame:
     if run.known is None:
         return lines
     done = run.saved(cat.match(lines, run.known, keep_entry=True, saved=run.saved))
-    run.parts.append(done.filter("EventTemplate is not null"))
+    run.parts.append(done)
     return done.filter("EventTemplate is null").select(*lines.columns)
 
 
@@ -146,13 +147,57 @@ def _singles(run: _Run, lines: DataFrame) -> DataFrame:
     return _reconcile(run, lines.join(texts.withColumnRenamed("insert_seq", "own"), "Content").select(*lines.columns, "own"), new)
 
 
-def _waves(low: int | None, high: int | None):
-    size = 1
+def _waves(low: int | None, high: int | None, size: int = 1):
     while low is not None and low <= high:
-        yield low, min(low + size - 1, high)
+        yield low, min(low + size - 1, high), size
         low, size = low + size, 2 * size
 
 
+def _wave(run: _Run, left: DataFrame) -> DataFrame:
+    """Match, propose, repool and finish single lines; what is left then."""
+    o = run.options
+    for step in range(o.repool_passes + 1):
+        if step and left.isEmpty():
+            break
+        left = _known(run, left)
+        if left.isEmpty():
+            break
+        left = _round(run, left)
+    if o.singleton_fallback and not left.isEmpty():
+        left = _known(run, left)
+        left = left if left.isEmpty() else _singles(run, left)
+    return left
+
+
+def _prepared(run: _Run, logs: DataFrame, seed: DataFrame | None) -> DataFrame:
+    """The lines with row_nr and chunk_id; takes up ``seed``."""
+    o = run.options
+    base = logs.withColumnRenamed(o.content_col, "Content")
+    base = row_index(base.select(*[c for c in ("row_nr", "LineId", "Content", "chunk_id") if c in base.columns]), saved=run.saved)
+    chunk = F.col("chunk_id") if "chunk_id" in base.columns else F.floor(F.col("row_nr") / o.chunk_size).cast("long")
+    lines = base.select(*[c for c in ("row_nr", "LineId", "Content") if c in base.columns], chunk.alias("chunk_id"))
+    if seed is not None:
+        numbered = row_index(cat.distinct(seed), *cat.insertion(), saved=run.saved)
+        run.known = run.saved(numbered.drop("insert_seq").withColumnRenamed("row_nr", "insert_seq"))
+        run.next_seq = _STEP
+    cores = logs.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < cores:  # a small table in few files: all cores get a part of it
+        return run.saved(lines.repartition(cores))
+    return run.saved(lines) if o.resume else lines
+
+
+def _state(run: _Run, lines: DataFrame, noise: list[DataFrame], wave: tuple, seconds: float) -> dict:
+    path = run.saved.path
+    return {
+        "options": _told(run.options), "lines": path(lines), "known": None if run.known is None else path(run.known), "parts": [path(p) for p in run.parts], "noise": [path(n) for n in noise],
+        "next_seq": run.next_seq, "asked": run.asked, "wave": list(wave), "seconds": seconds,
+    }
+
+
+def _told(options: Options) -> str:
+    return repr({k: v for k, v in asdict(options).items() if k not in ("resume", "answers", "max_concurrent", "timeout")})
+
+
 def discover(
     logs: DataFrame, options: Options = Options(), proposer: propose.Proposer | None = None, seed: DataFrame | None = None, model: Callable[[str], object] | None = None  # noqa: B008
 ) -> Discovery:
@@ -163,37 +208,37 @@ def discover(
     start = time.monotonic()
     if model is not None:
         proposer = propose.prompted(model, options.prompt)
-    saved = Saved(logs.sparkSession)
-    run = _Run(options, proposer, saved, options.answers or f"{saved.folder}/answers")
-    base = logs.withColumnRenamed(options.content_col, "Content")
-    base = row_index(base.select(*[c for c in ("row_nr", "LineId", "Content", "chunk_id") if c in base.columns]), saved=run.saved)
-    chunk = F.col("chunk_id") if "chunk_id" in base.columns else F.floor(F.col("row_nr") / options.chunk_size).cast("long")
-    columns = [c for c in ("row_nr", "LineId", "Content") if c in base.columns]
-    lines = base.select(*columns, chunk.alias("chunk_id"))
-    if seed is not None:
-        numbered = row_index(cat.distinct(seed), *cat.insertion(), saved=run.saved)
-        run.known = run.saved(numbered.drop("insert_seq").withColumnRenamed("row_nr", "insert_seq"))
-        run.next_seq = _STEP
-    cores = logs.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < cores:  # a small table in few files: all cores get a part of it
-        lines = run.saved(lines.repartition(cores))
-    noise = []
+    spark = logs.sparkSession
+    manifest = Manifest(spark, options.resume) if options.resume else None
+    saved = Saved(spark, options.resume)
+    run = _Run(options, proposer, saved, options.answers or f"{options.resume or saved.folder}/answers")
+    noise, wave, before, last = [], None, 0.0, manifest and manifest.last()
+    if last:
+        step, state = last
+        if state["options"] != _told(options):
+            raise ValueError(f"the run in {options.resume} has other options: {state['options']}")
+        lines, run.parts, noise = saved.adopt(state["lines"]), list(map(saved.adopt, state["parts"])), list(map(saved.adopt, state["noise"]))
+        run.known = state["known"] and saved.adopt(state["known"])
+        run.next_seq, run.asked, wave, before = state["next_seq"], state["asked"], state["wave"], state["seconds"]
+    else:
+        step, lines = 0, _prepared(run, logs, seed)
+    by_number = "chunk_id" not in logs.columns
+    ready = [t for _, t in saved.paths.values()]
     whole = lines.filter("Content is not null")
-    for low, high in _waves(*whole.agg(F.min("chunk_id"), F.max("chunk_id")).first()):
+    if wave is None:
+        low, high = whole.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+        wave = (low, high, 1)
+        if manifest:
+            manifest.write(step, _state(run, lines, noise, wave, time.monotonic() - start))
+    for low, high, size in _waves(*wave):
         # rows, not chunk numbers, are filtered where they can be: files outside a wave's rows aren't read
-        bound = F.col("chunk_id").between(low, high) if "chunk_id" in base.columns else F.col("row_nr").between(low * options.chunk_size, (high + 1) * options.chunk_size - 1)
-        left = whole.filter(bound)
-        for step in range(options.repool_passes + 1):
-            if step and left.isEmpty():
-                break
-            left = _known(run, left)
-            if left.isEmpty():
-                break
-            left = _round(run, left)
-        if options.singleton_fallback and not left.isEmpty():
-            left = _known(run, left)
-            left = left if left.isEmpty() else _singles(run, left)
-        noise.append(left)
+        bound = F.col("row_nr").between(low * options.chunk_size, (high + 1) * options.chunk_size - 1) if by_number else F.col("chunk_id").between(low, high)
+        left = _wave(run, whole.filter(bound))
+        noise.append(saved(left) if manifest else left)
+        if manifest:
+            step += 1
+            manifest.write(step, _state(run, lines, noise, (high + 1, wave[1], 2 * size), before + time.monotonic() - start))
+        saved.clear(*ready, *run.parts, *noise, *([] if run.known is None else [run.known]))
     rest = None
     for left in noise:
         rest = left if rest is None else rest.unionByName(left)
@@ -201,13 +246,16 @@ def discover(
         rest = _known(run, rest)
     null = [F.lit(None).cast(t).alias(c) for c, t in cat.FOUND]
     every = lines.filter("Content is null").select("*", *null)
-    for p in [*run.parts, *([rest.select("*", *null)] if rest is not None else [])]:
+    for p in [*(p.filter("EventTemplate is not null") for p in run.parts), *([rest.select("*", *null)] if rest is not None else [])]:
         every = every.unionByName(p.select(*every.columns))
     found = run.saved(every.drop("chunk_id"))
-    known = run.known if run.known is not None else cat.entries(logs.sparkSession.createDataFrame([], "template string"))
+    known = run.known if run.known is not None else cat.entries(spark.createDataFrame([], "template string"))
+    known = saved(known) if last else known  # not in the folder of the run that was stopped
     totals = dict(zip(("llm_calls", "input_tokens", "output_tokens"), run.asked, strict=True))
-    stats = cat.run_stats(found).withColumns({k: F.lit(v).cast("long") for k, v in totals.items()}).withColumn("total_time", F.lit(time.monotonic() - start))
+    stats = cat.run_stats(found).withColumns({k: F.lit(v).cast("long") for k, v in totals.items()}).withColumn("total_time", F.lit(before + time.monotonic() - start))
     if not options.answers:
-        remove(logs.sparkSession, run.answers)
+        remove(spark, run.answers)
     run.saved.clear(found, known)
+    if manifest:
+        manifest.end(saved.folder)
     return Discovery(cat.counted(known, found), stats, found, run.saved)

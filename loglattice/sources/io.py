@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from dataclasses import asdict
@@ -76,8 +77,8 @@ def complete_table(spark: SparkSession, path: str) -> bool:
 class Saved:
     """Tables written to the shared folder to cut lineage; ``clear`` removes all but those named."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.paths, self.count = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", {}, 0
+    def __init__(self, spark: SparkSession, within: str | None = None) -> None:
+        self.spark, self.folder, self.paths, self.count = spark, f"{within or shared_folder(spark)}/run-{uuid.uuid4().hex}", {}, 0
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -87,6 +88,15 @@ class Saved:
         self.paths[id(out)] = (path, out)
         return out
 
+    def path(self, df: DataFrame) -> str:
+        return self.paths[id(df)][0]
+
+    def adopt(self, path: str) -> DataFrame:
+        """A table that an earlier run wrote, as if it were written here."""
+        out = self.spark.read.parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
     def clear(self, *keep: DataFrame) -> None:
         for i, (path, _) in self.paths.items():
             if i not in map(id, keep):
@@ -96,6 +106,30 @@ class Saved:
             remove(self.spark, self.folder)
 
 
+class Manifest:
+    """What a run has finished: one small JSON row per step in ``folder``/state, of which a reader takes the last complete one."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def write(self, step: int, state: dict) -> None:
+        row = self.spark.createDataFrame([(json.dumps(state),)], "state string")
+        row.coalesce(1).write.mode("overwrite").text(f"{self.folder}/state/v={step}")
+
+    def last(self) -> tuple[int, dict] | None:
+        steps = [int(name[2:]) for name in complete(self.spark, f"{self.folder}/state")]
+        if not steps:
+            return None
+        return max(steps), json.loads(self.spark.read.text(f"{self.folder}/state/v={max(steps)}").first()[0])
+
+    def end(self, keep: str) -> None:
+        """Remove all that is in the folder but ``keep``."""
+        p, fs = _filesystem(self.spark, f"{self.folder}/*")
+        for found in fs.globStatus(p) or []:
+            if found.getPath().getName() != keep.rsplit("/", 1)[1]:
+                fs.delete(found.getPath(), True)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> bool:
     """Whether a derived table has at most ``rows`` rows, counted on the cluster."""
     return df.limit(rows + 1).count() <= rows
@@ -146,10 +180,6 @@ def write_result(result: DataFrame, path: str, kind: str = "parquet") -> None:
         out.withColumns({c: text.listed(F.col(c)) for c in ("ParameterList", "SlotTypes")}).write.mode("overwrite").options(header=True, quote=chr(34), escape=chr(34)).csv(path)
 
 
-def append_matches(matched: DataFrame, path: str) -> None:
-    matched.write.mode("append").partitionBy("chunk_id").parquet(path)
-
-
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").options(header=True, quote=chr(34), escape=chr(34)).csv(path)
 

@@ -1,6 +1,5 @@
 """Jobs as a whole: discovery, streams, files."""
 
-from pyspark.sql import functions as F
 
 from loglattice.operators import partition
 from loglattice.options import Options
@@ -62,8 +61,6 @@ def test_files(spark, tmp_path):
     assert back[2]["ParameterList"] == "['a', 'b']" and back[2]["SlotTypes"] is None and back[1]["EventTemplate"] is None
     io.write_result(result, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
-    io.append_matches(result.withColumn("chunk_id", F.lit(3)), str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).select("chunk_id").distinct().first()[0] == 3
     io.write_config(spark, Options(), str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "c")).first()["repool_passes"] == 2
     numbered = io.row_index(spark.range(100).withColumnRenamed("id", "x"))
