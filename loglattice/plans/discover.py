@@ -36,6 +36,7 @@ class Discovery:
     catalogue: DataFrame
     stats: DataFrame
     matched: DataFrame  # as result, with row_nr instead of event ids
+    first_new: int  # entries of the catalogue with this insert_seq or more are new; those of a seed are numbered from 0
     tables: Saved  # what these read, in the shared folder; ``tables.clear()`` when they are done with
 
     @cached_property
@@ -258,4 +259,4 @@ def discover(
     run.saved.clear(found, known)
     if manifest:
         manifest.end(saved.folder)
-    return Discovery(cat.counted(known, found), stats, found, run.saved)
+    return Discovery(cat.counted(known, found), stats, found, _STEP, run.saved)

@@ -162,7 +162,10 @@ def test_event_ids_stay_over_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/result"))
     assert got.select("v").distinct().count() == 2
     assert {tuple(r) for r in got.select("EventId", "EventTemplate").distinct().collect()} == {("E1", "zebra number <*> seen"), ("E2", "apple number <*> seen")}
-    assert io.complete(spark, str(tmp_path / "out/catalogue")) == ["v=0", "v=1"]
+    entries = [spark.read.parquet(str(tmp_path / f"out/entries/v={n}")).select("insert_seq", "template", "match_frequency").collect() for n in range(2)]
+    assert [set(map(tuple, e)) for e in entries] == [{(0, "zebra number <*> seen", 5)}, {(1, "apple number <*> seen", 5), (0, None, 5)}]
+    state = streams.State(spark, str(tmp_path / "out")).catalogue()
+    assert {tuple(r) for r in state.select("template", "match_frequency").collect()} == {("zebra number <*> seen", 10), ("apple number <*> seen", 5)}
 
 
 def test_row_index_keeps_every_column(spark):
