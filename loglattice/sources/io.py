@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import text
 from loglattice.options import Options
+from loglattice.sources.records import read_csv
 
 TRUTH = "LineId long, Content string, EventTemplate string"
 RESULT = "LineId long, EventId string, Content string, EventTemplate string, ParameterList string, SlotTypes string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=True)
-    return reader.schema(schema).csv(path) if schema else reader.csv(path)
-
-
 def read_truth(spark: SparkSession, path: str, correction: bool = False) -> DataFrame:
     out = read_csv(spark, path, TRUTH)
     return corrected(out) if correction else out

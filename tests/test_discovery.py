@@ -122,14 +122,6 @@ def test_long_path(spark):
     assert got == ["open <*> now", f"open {long}/ now", "<*>"]
 
 
-def test_captures_are_bounded_in_time():
-    template = "<*>".join("a" * 12) + "<*>"
-    start = time.time()
-    assert len(slots.captures(template, ["a" * 60 + "\n", "ab" * 13], seconds=0.2)) == 12
-    assert time.time() - start < 5
-    assert slots.captures("x", ["x"]) == [] and slots.inferred("a <*>", [], ["OTP"]) == [".+"]
-
-
 def test_prompts():
     seen = []
     proposer = propose.prompted(lambda p: seen.append(p) or ("a <OID>", 3, 1), "Lines:\n{}\nEnd")

@@ -64,14 +64,11 @@ def test_third_step(spark, pairs, ordered, static):
         assert got == want
 
 
-def test_slot_rule():
-    assert slots.slot_regex(["1", "22"], "OBA", True) == r"\d+"
-    assert slots.slot_regex(["1f", "a0"], "CRS", True) == "[0-9a-fA-F]+"
-    assert slots.slot_regex(["1", "2"], "OID", True) == r"\S+"
-    assert slots.slot_regex(["1"], "OTP", True) == ".+"
-    assert slots.slot_regex(["x y"], "OTP", False) == ".+?"
-    assert slots.slot_regex([], "TDA", True) == ".+"
-    assert slots.slot_regex([], "OID", True) == r"\S+"
+def test_slot_rule(spark):
+    cases = [(["1", "22"], "OBA", True, r"\d+"), (["1f", "a0"], "CRS", True, "[0-9a-fA-F]+"), (["1", "2"], "OID", True, r"\S+"), (["1"], "OTP", True, ".+")]
+    cases += [(["x y"], "OTP", False, ".+?"), ([], "TDA", True, ".+"), ([], "OID", True, r"\S+")]
+    df = spark.createDataFrame(cases, "v array<string>, kind string, trailing boolean, want string")
+    assert not df.filter(slots.slot_regex(F.col("v"), F.col("kind"), F.col("trailing")) != F.col("want")).collect()
 
 
 def test_cheapest_match_wins(spark):
