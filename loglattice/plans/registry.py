@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,8 +111,6 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
 
 def _stream(s: SparkSession, d: str, step) -> DataFrame:
     """Run a streaming query over the events as a source; returns what it wrote."""
-    import uuid
-
     folder = f"{io.shared_folder(s)}/stream-{uuid.uuid4().hex}"
     schema = s.read.parquet(f"{d}/events.parquet").schema
     source = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")
@@ -143,6 +142,62 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("c_custkey").cast("long").alias("id"), raw.alias("raw"))
 
 
+def _narrow(lines: list[str]) -> str:
+    """A stand-in for a model that goes by what it sees first: lines with an ``a``, if it is shown any."""
+    mark = "a" if any(" a-" in x for x in lines) else "b"
+    return f"Job {mark}-<SID> ends at step <OID>"
+
+
+def _second_pass(s: SparkSession, d: str) -> DataFrame:
+    """A leaf whose first proposal leaves a tenth of its lines, which another pass partitions and proposes again."""
+    found = discover(views.jobs(s, d, False), Options(repool_passes=1, singleton_fallback=False), lambda lists: [_narrow(x) for x in lists])
+    return found.matched.select("LineId", "EventTemplate", text.listed(F.col("ParameterList")).alias("ParameterList"))
+
+
+def _late(lines: list[str]) -> str:
+    """A stand-in for a model that names ``Job`` lines, if it is shown any: in the first chunk the others stay noise, in the second they alone are left."""
+    return f"{'Job' if any(x.startswith('Job') for x in lines) else 'Run'} <TID>-<SID> ends at step <OID>"
+
+
+def _recovered(s: SparkSession, d: str) -> DataFrame:
+    """Noise of the first chunk that the second chunk's entries explain."""
+    found = discover(views.jobs(s, d, True), Options(repool_passes=0, singleton_fallback=False, template_correction=False), lambda lists: [_late(x) for x in lists])
+    return found.matched.select("LineId", "EventTemplate", text.listed(F.col("ParameterList")).alias("ParameterList"))
+
+
+def _inferred(s: SparkSession, d: str) -> DataFrame:
+    """Slots of the event log's templates and of two looser ones, from up to 50 lines each."""
+    seen = propose.samples(views.logs(s, d), ["EventTemplate"], 50).select(F.col("EventTemplate").alias("template"), "samples", F.array(F.lit("SID"), F.lit("TDA")).alias("slot_types"))
+    loose = seen.filter("template like 'View%' or template like 'Click%'").withColumn("template", F.regexp_replace("template", "^(View|Click).*", "$1 <*> user <*>"))
+    return slots.infer(seen.unionByName(loose)).select("template", text.listed(F.col("slot_regexes")).alias("slot_regexes"))
+
+
+def _new_folder(s: SparkSession) -> str:
+    return f"{io.shared_folder(s)}/csv-{uuid.uuid4().hex}"
+
+
+def _csv_documents(s: SparkSession, d: str) -> DataFrame:
+    """All documents written as CSV, with quotes and line breaks in their texts, and read back in blocks."""
+    path = _new_folder(s)
+    t = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    t.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    return io.read_csv(s, path, "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _csv_result(s: SparkSession, d: str) -> DataFrame:
+    """The result of a run in files, as the evaluation reads it."""
+    path = _new_folder(s)
+    io.write_result(cat.result(_matched(s, d)), path, "csv")
+    return io.read_parsed(s, path).select("LineId", "EventId", "Content", "EventTemplate", "ParameterList")
+
+
+def _csv_truth(s: SparkSession, d: str) -> DataFrame:
+    """Ground truth in files, its templates corrected as they are read: the lines themselves stand for hand-made templates."""
+    path = _new_folder(s)
+    views.logs(s, d).select("LineId", "Content", F.col("Content").alias("EventTemplate")).write.options(header=True, quote='"', escape='"').csv(path)
+    return io.read_truth(s, path, correction=True)
+
+
 def _messy(s: SparkSession, d: str) -> DataFrame:
     return views.lines(s, d)
 
@@ -177,7 +232,13 @@ def queries() -> dict[str, Query]:
         "correct_templates": lambda s, d: views.logs(s, d).select("LineId", text.correct(F.col("Content")).alias("template")),
         "correct_paths": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.correct(F.concat(F.lit("GET  "), F.regexp_replace("url", "^[a-z]+://[^/]+", ""), F.lit(" 200"))).alias("template")),
         "compile_patterns": lambda s, d: _true_catalogue(s, d).select("template", "pattern", F.col("literal_len").cast("long").alias("literal_len"), F.col("n_slots").cast("long").alias("n_slots")),
-        "infer_slots": lambda s, d: slots.infer(propose.samples(views.logs(s, d), ["EventTemplate"], 50).select(F.col("EventTemplate").alias("template"), "samples", F.array(F.lit("SID"), F.lit("OID")).alias("slot_types"))).select("template", "slot_regexes"),
+        "infer_slots": _inferred,
+        "finish_templates": lambda s, d: _raw(s, d).select("id", text.finish(F.col("raw")).alias("template")),
+        "csv_records": _csv_documents,
+        "parsed_csv": _csv_result,
+        "truth_csv": _csv_truth,
+        "repool_pass": _second_pass,
+        "final_recovery": _recovered,
         "match_static": lambda s, d: cat.match_by_join(views.logs(s, d), _true_catalogue(s, d)),
         "match_catalogue": lambda s, d: _matched(s, d).select("row_nr", "EventTemplate", text.listed(F.col("ParameterList")).alias("ParameterList")),
         "match_counts": lambda s, d: cat.counts(_matched(s, d)),
@@ -250,6 +311,7 @@ def oracle_sql() -> dict[str, str]:
     ga = "sum(CASE WHEN good THEN n ELSE 0 END) / sum(n)"
     per = "per AS (SELECT dataset, gt AS gt_template, string_agg(DISTINCT pred, ', ' ORDER BY pred) AS pred_templates, cast(sum(n) AS bigint) AS total, cast(sum(CASE WHEN ok THEN n ELSE 0 END) AS bigint) AS correct FROM pairs GROUP BY ALL)"
     kinds = "k AS (SELECT dataset, gt AS t, 1 AS g, 0 AS p FROM pairs UNION SELECT dataset, pred, 0, 1 FROM pairs WHERE pred IS NOT NULL), k1 AS (SELECT dataset, t, max(g) AS g, max(p) AS p FROM k GROUP BY ALL), k2 AS (SELECT dataset, cast(sum(g) AS bigint) AS n_gt_templates, cast(sum(p) AS bigint) AS n_pred_templates, cast(sum(g*p) AS bigint) AS exact_template_matches FROM k1 GROUP BY ALL)"
+    params = "CASE WHEN EventTemplate LIKE 'New%' THEN NULL WHEN EventTemplate LIKE 'Order%' THEN concat('[''', split_part(split_part(Content, 'Order ', 2), ' total', 1), ''', ''', split_part(split_part(Content, 'total=', 2), ' ', 1), ''']') ELSE concat('[''', array_to_string(regexp_extract_all(Content, '[0-9]+'), ''', '''), ''']') END"
     n_gt = "(SELECT dataset AS d2, count(DISTINCT gt) AS n_gt FROM pairs GROUP BY ALL)"
     return {
         "tokenise": f"{logs} SELECT row_nr, array_to_string({words}, '|') AS words, cast(len({words}) AS bigint) AS token_len FROM logs",
@@ -279,8 +341,15 @@ def oracle_sql() -> dict[str, str]:
         "correct_templates": f"{logs} SELECT LineId, {_duck('Content')} AS template FROM logs",
         "correct_paths": f"WITH u AS (SELECT page_id, concat('GET  ', regexp_replace(url, '^[a-z]+://[^/]+', ''), ' 200') AS c FROM pages) SELECT page_id, {_duck('c')} AS template FROM u",
         "compile_patterns": f"{logs}, {true_cat} SELECT template, {pat('template', 'sU')} AS pattern, cast(length(replace(template, '<*>', '')) AS bigint) AS literal_len, cast(len(string_split(template, '<*>')) - 1 AS bigint) AS n_slots FROM cat",
+        "infer_slots": f"{logs}, {views.SQL_SLOTS} SELECT template, slot_regexes FROM slots",
+        "finish_templates": f"{raw}, h AS (SELECT id, {holes} AS h FROM raw) SELECT id, trim({_duck('h')}) AS template FROM h",
+        "csv_records": "SELECT cast(doc_id AS bigint) AS doc_id, coalesce(text, '') AS text FROM documents",
+        "parsed_csv": f"{logs}, {ids} SELECT LineId, EventId, Content, EventTemplate, {params} AS ParameterList FROM logs JOIN ids USING (EventTemplate)",
+        "truth_csv": f"{logs} SELECT LineId, Content, {_duck('Content')} AS EventTemplate FROM logs",
+        "repool_pass": f"WITH l AS (SELECT cast(event_id AS bigint) AS LineId, {views.JOB} AS c, user_id FROM events) SELECT LineId, concat(c[1:6], '<*> ends at step <*>') AS EventTemplate, concat('[''', LineId, ''', ''', user_id, ''']') AS ParameterList FROM l",
+        "final_recovery": f"WITH l AS (SELECT cast(event_id AS bigint) AS LineId, {views.JOB_CHUNKS} AS c, user_id FROM events) SELECT LineId, concat(c[1:4], '<*>-<*> ends at step <*>') AS EventTemplate, concat('[''', c[5:5], ''', ''', LineId, ''', ''', user_id, ''']') AS ParameterList FROM l",
         "match_static": f"{logs}, {true_cat}, hit AS (SELECT row_nr, template, row_number() OVER (PARTITION BY row_nr ORDER BY length(replace(template, '<*>', '')) DESC, len(string_split(template, '<*>')) DESC, template) AS r FROM logs JOIN cat ON regexp_matches(Content, {pat('template')})) SELECT row_nr, template AS EventTemplate FROM hit WHERE r = 1",
-        "match_catalogue": f"{logs} SELECT row_nr, EventTemplate, CASE WHEN EventTemplate LIKE 'New%' THEN NULL WHEN EventTemplate LIKE 'Order%' THEN concat('[''', split_part(split_part(Content, 'Order ', 2), ' total', 1), ''', ''', split_part(split_part(Content, 'total=', 2), ' ', 1), ''']') ELSE concat('[''', array_to_string(regexp_extract_all(Content, '[0-9]+'), ''', '''), ''']') END AS ParameterList FROM logs",
+        "match_catalogue": f"{logs} SELECT row_nr, EventTemplate, {params} AS ParameterList FROM logs",
         "match_counts": f"{logs} SELECT EventTemplate AS template, count(*) AS match_frequency FROM logs GROUP BY ALL",
         "catalogue_listing": f"{logs} SELECT EventTemplate AS template, count(*) AS match_frequency FROM logs GROUP BY ALL",
         "validate_proposals": f"{logs}, o AS (SELECT DISTINCT {views.OWN} AS own, Content FROM logs), h AS (SELECT own, Content FROM o WHERE (own = 1 AND regexp_full_match(Content, 'View page \\S+ by user \\S+ now')) OR (own = 4 AND regexp_full_match(Content, 'Click by user \\S+ on widget:\\S+ ok'))) SELECT DISTINCT cast(own AS bigint) AS own FROM h",

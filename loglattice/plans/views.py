@@ -25,6 +25,10 @@ PREDICTED = """CASE WHEN event_id % 20 = 0 THEN NULL
   WHEN event_type = 'error' THEN 'Error code <*>: retry in <*> s' ELSE 'New account created' END"""
 #: The leaf that a line of the event log is taken to be in, by number: view lines are dealt to the first three.
 OWN = "CASE substring(Content, 1, 4) WHEN 'View' THEN 1 + row_nr % 3 WHEN 'Clic' THEN 4 ELSE 5 END"
+#: Lines of one leaf, with ids that begin with ``a`` or, in a tenth of the lines, ``b``.
+JOB = "concat('Job', CASE WHEN event_id % 10 = 0 THEN ' b-' ELSE ' a-' END, event_id, ' ends at step ', user_id)"
+#: Lines of one leaf in two chunks, by whether the id is odd: two kinds of event in each, whose ids begin with ``a`` or, in the second chunk, ``z``.
+JOB_CHUNKS = "concat(CASE WHEN event_id % 4 < 2 THEN 'Job' ELSE 'Run' END, CASE WHEN event_id % 2 = 0 THEN ' a-' ELSE ' z-' END, event_id, ' ends at step ', user_id)"
 #: A second dataset without null predictions.
 PREDICTED_FULL = "coalesce(" + PREDICTED + ", 'lost')"
 CUSTOMER = "CASE WHEN c_custkey < 120 THEN concat('cust ', c_custkey, ' ', n_name, ' ', replace(r_name,' ','_')) ELSE concat('acct ', c_custkey, ' ', n_nationkey, ' ', n_name) END"
@@ -37,6 +41,13 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jobs(spark: SparkSession, sf_dir: str, chunks: bool) -> DataFrame:
+    """Lines by JOB, or by JOB_CHUNKS with their chunk."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    own = [(F.col("event_id") % 2).cast("long").alias("chunk_id")] if chunks else []
+    return e.select(F.col("event_id").cast("long").alias("row_nr"), F.col("event_id").cast("long").alias("LineId"), F.expr(JOB_CHUNKS if chunks else JOB).alias("Content"), *own)
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = logs(spark, sf_dir).drop("row_nr")
     return one.withColumn("dataset", F.lit("nulls")).unionByName(one.withColumn("dataset", F.lit("full")))
@@ -122,6 +133,17 @@ SQL_PRUNED = """t0 AS (SELECT chunk_id, count(*) AS total FROM cust GROUP BY ALL
 SQL_EVENTS = """o1 AS (SELECT *, min(f) OVER (PARTITION BY chunk_id, token_len) AS a, min(f) OVER (PARTITION BY chunk_id, token_len, s2_value) AS b FROM pruned),
   events_ AS (SELECT *, concat(CASE WHEN outlier IS NULL THEN 'e' ELSE 'outlier_e' END, row_number() OVER (PARTITION BY chunk_id, outlier IS NULL
     ORDER BY outlier, a, b, CASE WHEN s3_side IS NULL THEN 0 WHEN s3_side = 'v1' THEN 1 ELSE 2 END, f)) AS event FROM o1)"""
+#: Slots of the event log's templates and of two looser ones, from 50 lines each; after ``logs``.
+SQL_SLOTS = r"""u AS (SELECT EventTemplate AS t, Content, row_number() OVER (PARTITION BY EventTemplate ORDER BY row_nr) AS r FROM logs),
+  w AS (SELECT t AS template, Content FROM u WHERE r <= 50 UNION ALL
+    SELECT regexp_replace(t, '^(View|Click).*', '\1 <*> user <*>'), Content FROM u WHERE r <= 50 AND (t LIKE 'View%' OR t LIKE 'Click%')),
+  p AS (SELECT template, Content, len(string_split(template, '<*>')) - 1 AS n, concat('^', array_to_string(list_transform(string_split(template, '<*>'), lambda p: regexp_escape(p)), '(.+?)'), '$') AS pat FROM w),
+  g AS (SELECT template, n, CASE WHEN n > 0 THEN [regexp_extract(Content, pat, 1), regexp_extract(Content, pat, 2)] ELSE [''] END AS g FROM p),
+  c AS (SELECT template, n, generate_subscripts(g, 1) AS i, unnest(g) AS v FROM g),
+  s AS (SELECT template, n, i, i = n AND template LIKE '%<*>' AS tail, bool_or(regexp_matches(trim(v), '\s')) AS blanks, bool_and(regexp_full_match(trim(v), '[0-9]+')) AS digits,
+    bool_and(regexp_full_match(trim(v), '[0-9a-fA-F]+')) AS hex FROM c GROUP BY ALL),
+  slots AS (SELECT template, CASE WHEN any_value(n) > 0 THEN concat('[''', string_agg(CASE WHEN (i = 2 AND tail) OR blanks THEN CASE WHEN tail THEN '.+' ELSE '.+?' END
+    WHEN digits THEN '\d+' WHEN hex THEN '[0-9a-fA-F]+' ELSE '\S+' END, ''', ''' ORDER BY i), ''']') END AS slot_regexes FROM s GROUP BY template)"""
 SQL_ORDER = """u0 AS (SELECT chunk_id, token_len, s2_pos, s2_value, s3_side, s3_value, count(*) AS n, min(row_nr) AS f FROM leaf GROUP BY ALL),
   u1 AS (SELECT *, min(f) OVER (PARTITION BY chunk_id, token_len) AS a, min(f) OVER (PARTITION BY chunk_id, token_len, s2_pos, s2_value) AS b FROM u0),
   ordered AS (SELECT *, row_number() OVER (ORDER BY chunk_id, a, b, CASE WHEN s3_side IS NULL THEN 0 WHEN s3_side = 'v1' THEN 1 ELSE 2 END, f) - 1 AS leaf_ord,

@@ -82,7 +82,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(piece(_BEGIN if kind == _WHOLE else kind, held))
             key, inside, held, nth = here, bool(part.column("_inside")[0].as_py()), [], 0
             kind = _REST if inside else _HEADER if here[2] == 0 else _WHOLE
-        for line, quoted in zip(part.column("value").to_pylist(), pc.match_substring(part.column("value"), '"').to_pylist(), strict=True):
+        values = part.column("value")
+        quotes = pc.match_substring(values, '"')
+        if kind == _WHOLE and not inside and not pc.any(quotes).as_py():  # every line is a record
+            n = len(values)
+            fixed = [pa.repeat(pa.scalar(x, t), n) for x, t in zip((*key, 0, _WHOLE), _PIECES.types, strict=False)]
+            fixed[3] = pa.array(range(nth, nth + n), pa.int64())
+            if rows:
+                yield table(rows)
+            yield pa.RecordBatch.from_arrays([*fixed, values.cast(pa.string())], schema=_PIECES)
+            nth += n
+            continue
+        for line, quoted in zip(values.to_pylist(), quotes.to_pylist(), strict=True):
             held.append(line)
             inside = ends_inside(line, inside) if quoted else inside
             if not inside and not (kind == _HEADER and not line.strip()):  # empty lines may come before a header

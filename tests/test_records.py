@@ -88,6 +88,18 @@ def test_headers_alone_and_empty_files(spark, tmp_path):
     assert records.read_csv(spark, str(tmp_path), SCHEMA).collect() == []
 
 
+def test_lines_without_quotes(spark, tmp_path, blocks):
+    """Batches without a quote, between ones with quotes, in two files."""
+    odd = (9_000, 9_001, 25_000)
+    for i in range(2):
+        (tmp_path / f"{i}.csv").write_text("a,b,c\n" + "".join(f'{i * 10**6 + k},x,"y\nz"\n' if k in odd else f"{i * 10**6 + k},x,y\r\n" for k in range(30_000)), newline="")
+    for size in (10**8, 10_000):
+        blocks(size)
+        got = [tuple(r) for r in records.read_csv(spark, str(tmp_path), SCHEMA, place="nr").orderBy("nr").select("a", "b", "c").collect()]
+        assert sorted(got) == [(i * 10**6 + k, "x", "y\nz" if k in odd else "y") for i in range(2) for k in range(30_000)]
+        assert sum(a[0] + 1 != b[0] for a, b in zip(got, got[1:], strict=False)) == 1  # in order but for the step to the other file
+
+
 def test_lines_end_as_told():
     cases = [("a,b", 0, 0), ('a,"b', 0, 1), ('a,"b"', 0, 0), ('a"b', 0, 0), ('x""', 1, 1), ('x"', 1, 0), ('x","y', 1, 1), ('""",', 1, 0), ('"', 0, 1), ('""', 0, 0), ('"a"b",c', 0, 0), ("", 1, 1)]
     assert [records.ends_inside(line, bool(s)) for line, s, _ in cases] == [bool(e) for _, _, e in cases]
