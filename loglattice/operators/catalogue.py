@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import text
-from loglattice.operators.slots import compiled
+from loglattice.operators.slots import UNSURE, compiled, scanned
 from loglattice.sources.io import Saved, free_name, joinable, row_index, small
 
 #: Entries that are held by the driver and sent to the workers at once.
@@ -33,6 +33,7 @@ SLICE = 20_000
 AT_ONCE = 200_000
 ORDER = ["literal_len", "n_slots", "match_frequency"]
 FOUND = [("EventTemplate", "string"), ("ParameterList", "array<string>"), ("SlotTypes", "array<string>"), ("entry", "long")]
+LISTS = ["ParameterList", "SlotTypes"]
 _ENTRY = ["template", "slot_regexes", "slot_types", "insert_seq"]
 
 
@@ -123,25 +124,35 @@ def _all_hits(lines: DataFrame, catalogue: DataFrame, own: str | None, saved: Sa
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, re.Pattern | None] = {}
+
+        def fitted(line: str, t: str, s: list[str]) -> list[str] | None:
+            if not s:
+                values = scanned(line, t)
+                if values is not UNSURE:
+                    return values
+            key = (t, tuple(s))
+            if key not in known:
+                if len(known) > SLICE:
+                    known.clear()
+                known[key] = compiled(t, s)
+            m = known[key].fullmatch(line)
+            return list(m.groups()) if m else None
+
         for b in batches:
             fits, values = [], []
             for i, (line, t, s) in enumerate(zip(*(b.column(c).to_pylist() for c in ("Content", "template", "slot_regexes")), strict=True)):
-                key = (t, tuple(s) if s is not None else None)
-                if key not in known:
-                    if len(known) > SLICE:
-                        known.clear()
-                    known[key] = compiled(t, s) if text.SLOT in t else None
-                m = known[key].fullmatch(line) if known[key] is not None else line == t
-                if m:
+                found = fitted(line, t, s)
+                if found is not None:
                     fits.append(i)
-                    values.append([] if m is True else list(m.groups()))
+                    values.append(found)
             cut = b.take(pa.array(fits, pa.int64()))
             columns = {c: cut.column(c) for c in ("row_nr", "rank", "template", "slot_types", "insert_seq")}
             columns["values"] = pa.array(values, pa.list_(pa.string()))
             columns |= {c: cut.column(c) for c in mine}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    out = candidates(lines, listed, own).mapInArrow(check, schema)
+    filled = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("slot_regexes", "slot_types")}
+    out = candidates(lines, listed.withColumns(filled), own).mapInArrow(check, schema)
     loose = row_index(listed.filter("key is null").select("rank", *_ENTRY), F.col("rank"), saved=saved).withColumnRenamed("rank", "place").withColumnRenamed("row_nr", "rank")
     loose = saved(loose)
     for at, rows in enumerate(_slices(loose)):
@@ -245,12 +256,20 @@ def match(lines: DataFrame, catalogue: DataFrame, own: str | None = None, keep_e
     names = [c for c, _ in FOUND]
     plain = [c for c in lines.columns if c not in names]
     sure = free_name(lines, "sure")
-    out = lines.select(*plain, *[F.lit(None).cast(t).alias(c) for c, t in FOUND], F.lit(False).alias(sure))
+    schema = lines.select(*plain, *[F.lit(None).cast(t).alias(c) for c, t in FOUND], F.lit(False).alias(sure)).schema
+    out = lines.select(*plain)
     for rows in [few] if few is not None else _slices(ranked(catalogue, saved)):
-        out = out.mapInArrow(_best(_sent(lines.sparkSession, rows), own, sure), out.schema)
+        out = out.withColumns(_filled(out)).mapInArrow(_best(_sent(lines.sparkSession, rows), own, sure), schema)
+    told = F.col("EventTemplate").isNotNull()
+    out = out.withColumns({c: F.when(told, F.col(c)) for c in LISTS})
     return out.drop(sure) if keep_entry else out.drop(sure, "entry")
 
 
+def _filled(rows: DataFrame) -> dict[str, Column]:
+    """The list columns of what was found so far with empty lists for nulls: a batch's nulls of a list column cost the square of their number on the way to Python."""
+    return {c: F.coalesce(c, F.array().cast("array<string>")) for c in LISTS if c in rows.columns}
+
+
 def _best(index, own: str | None, sure: str):
     kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.bool_())
     names = [*(c for c, _ in FOUND), sure]
@@ -270,7 +289,10 @@ def _best(index, own: str | None, sure: str):
             return spare
 
         for b in batches:
-            old = [b.column(c).to_pylist() if b.column(c).null_count < b.num_rows else [None] * b.num_rows for c in names]
+            if sure in b.schema.names:
+                old = [b.column(c).to_pylist() for c in names]
+            else:  # nothing was looked for yet
+                old = [*([[None] * b.num_rows] * len(FOUND)), [False] * b.num_rows]
             mine = b.column(own).to_pylist() if own else [None] * b.num_rows
             out = []
             for i, line in enumerate(b.column("Content").to_pylist()):

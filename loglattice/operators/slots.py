@@ -25,6 +25,36 @@ def compiled(template: str, slots: list[str] | None) -> re.Pattern:
     return re.compile(body, re.S)
 
 
+#: What ``scanned`` gives where only the regex can tell.
+UNSURE = object()
+_BLANKS = re.compile(_NO_BLANKS.replace("[^", "[").removesuffix("+"))
+
+
+def scanned(line: str, template: str) -> list[str] | object | None:
+    """The values that ``compiled(template, None)`` captures from a line, found without a regex; None where it doesn't fit, UNSURE where blanks leave it open.
+
+    From the end, each literal is taken where it occurs last before a slot of a character or more: the regex takes the last places that fit too.
+    Where such a slot has a blank, an earlier place of the literal behind it may do, unless that is the line's end.
+    """
+    parts = template.split(SLOT)
+    if len(parts) == 1:
+        return [] if line == template else None
+    low, end = len(parts[0]), len(line) - len(parts[-1])
+    if end <= low or not line.startswith(parts[0]) or not line.endswith(parts[-1]):
+        return None
+    values = []
+    for k in range(len(parts) - 2, -1, -1):
+        at = line.rfind(parts[k], low + 1, end - 1) if k else 0
+        if at < 0:
+            return None
+        value = line[at + len(parts[k]) : end]
+        if _BLANKS.search(value):
+            return None if k == len(parts) - 2 else UNSURE
+        values.append(value)
+        end = at
+    return values[::-1]
+
+
 def captured(line: Column, literals: Column) -> Column:
     """The values of the slots between ``literals`` (one more than slots) in a line, each as short as the literals allow; null where the line doesn't fit.
 

@@ -86,7 +86,7 @@ def _by_key(s: SparkSession, d: str) -> DataFrame:
     lines = orders.select(F.col("o_orderkey").cast("long").alias("row_nr"), F.concat(F.lit("Order "), "o_orderkey", F.lit(" of cust"), "o_custkey", F.lit(": state "), "o_orderstatus").alias("Content"))
     made = [F.concat(F.lit("Order <*> of cust"), "o_custkey", F.lit(f": state {x}")) for x in ("<*>", "F")]
     every = orders.select(F.explode(F.array(*made)).alias("template")).distinct().unionByName(s.range(1).select(F.lit("Order <*> of <*> state <*>").alias("template")))
-    return cat.match_by_key(lines, cat.entries(every)).select("row_nr", "EventTemplate", text.listed(F.col("ParameterList")).alias("ParameterList"))
+    return cat.match_by_key(io.spread(lines), cat.entries(every)).select("row_nr", "EventTemplate", text.listed(F.col("ParameterList")).alias("ParameterList"))
 
 
 def _ordered(s: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def _true_catalogue(s: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
-    return cat.match(views.logs(s, d).select("row_nr", "LineId", "Content"), _true_catalogue(s, d))
+    return cat.match(io.spread(views.logs(s, d).select("row_nr", "LineId", "Content")), _true_catalogue(s, d))
 
 
 def _metrics(s: SparkSession, d: str) -> DataFrame:

@@ -136,6 +136,12 @@ def joinable(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table as it is read, dealt to all cores if it comes in fewer parts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_index(df: DataFrame, *order: Column, saved: Saved | None = None) -> DataFrame:
     """row_nr 0..n-1, by ``order`` or in the table's own order, without pulling all rows into one task.
 
