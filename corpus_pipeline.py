@@ -28,7 +28,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word Jaccard similarity 0.8 or more; the smallest doc_id)."""
+    """One document of each group of near-duplicates (five-word Jaccard similarity 0.8 or more; the smallest doc_id).
+
+    SimHash fingerprints and their pivot tables (op4) give the first pairs, a prefix filter those that they miss; all are verified on whole sets.
+    """
     return shinglesets.keep_one(docs)
 
 

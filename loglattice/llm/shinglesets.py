@@ -2,6 +2,9 @@
 
 * A row's shingles are 64-bit hashes of five lower-cased words in a row (of all words where there are fewer); rows with
   equal sets are one node.
+* SimHash: rows get op4's fingerprint, of five-word shingles; fingerprints at most two bits apart (found by its keys and pivot
+  tables, see ``simhash``) are the first pairs.  Fingerprints miss edited copies and may join others, so their pairs are
+  verified like all, and the prefix filter finds every link that they miss.
 * Prefix filter: in any fixed order of all shingles, two sets of similarity 0.8 share one of the first
   n - ceil(0.8 n) + 1 shingles of each, so they meet under one of these keys (exact: no link is lost).  The order puts
   shingles that are frequent in a sixteenth of the documents last.  It only decides how many candidates meet, not the result.
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import DID, TKEY, identified, joinable, one_each, small, stash, without
 from .components import components
 
@@ -65,7 +69,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """_did, _tk, the node, its number of shingles n and its keys, of every row."""
+    """_did, _tk, the node, its number of shingles n, its keys and the fingerprint fp, of every row."""
     known, weight = frequent
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -79,14 +83,28 @@ def _keyed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingles(t) for t in texts]
+            fp = np.array([simhash.fingerprint(t, SHINGLE) for t in texts], np.uint64).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = [first(s).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(DID), b.column(TKEY), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [DID, TKEY, "node", "n", "keys"]
+                [b.column(DID), b.column(TKEY), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp)], [DID, TKEY, "node", "n", "keys", "fp"]
             )
 
-    return docs.select(DID, TKEY, "text").mapInArrow(run, f"{DID} long, {TKEY} long, node long, n long, keys array<long>")
+    return docs.select(DID, TKEY, "text").mapInArrow(run, f"{DID} long, {TKEY} long, node long, n long, keys array<long>, fp long")
+
+
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes (u, v) with equal or linked fingerprints; of the nodes of one fingerprint the smallest stands for all."""
+    own = rows.select("fp", "node").distinct()
+    low = stash(own.groupBy("fp").agg(F.min("node").alias("lo")))
+    equal = own.join(low, "fp").select(F.col("lo").alias("u"), F.col("node").alias("v"))
+    linked = simhash.links(low.select("fp"))
+    for c in "uv":
+        linked = linked.join(low.select(F.col("fp").alias(c), F.col("lo").alias(f"lo_{c}")), c)
+    linked = linked.select(F.least("lo_u", "lo_v").alias("u"), F.greatest("lo_u", "lo_v").alias("v"))
+    return equal.unionByName(linked).filter("u <> v").distinct()
 
 
 def _sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -139,7 +157,8 @@ def links(own: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     hot = stash(keyed.join(joinable(many), "k").select("k", "lo", "m", "node", "n").distinct())
     stars = hot.filter("node <> lo").groupBy("lo", "node").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     stars = stars.filter(_possible(F.col("shared"), F.col("n"), F.col("m"))).groupBy("node").agg(F.slice(F.array_sort(F.collect_set("lo")), 1, STARS).alias("lo"))
-    near = stash(_verified(stars.select(F.explode("lo").alias("u"), F.col("node").alias("v")), own, rows))
+    pairs = stars.select(F.explode("lo").alias("u"), F.col("node").alias("v")).unionByName(fingerprint_pairs(rows)).distinct()
+    near = stash(_verified(pairs, own, rows))
     more = stash(_verified(_candidates(hot, components(near), block), own, rows))
     return near.unionByName(more)
 
