@@ -40,6 +40,8 @@ SAMPLE, EPOCHS, BATCH, RATE, EVIDENCE = 12_000, 60, 128, 0.05, 4.0
 #: that one telling term can outweigh it).
 PENALTY, INNER_PENALTY, BIAS_PENALTY = 5e-7, 2e-4, 0.02
 FOLDS, THRESHOLD = 5, 0.5
+#: Sampled texts whose terms a worker holds at a time.
+PART = 200
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -149,9 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, count: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [placed(t) for t in b.column("text").to_pylist()]
             kind = pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(TKEY), b.column("y"), pa.array(found, kind)], [TKEY, "y", "x"])
+            for low in range(0, b.num_rows, PART):  # what a worker holds as Python objects
+                part = b.slice(low, PART)
+                found = [placed(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(TKEY), part.column("y"), pa.array(found, kind)], [TKEY, "y", "x"])
 
     rows = stash(texts.mapInArrow(run, f"{TKEY} long, y int, x array<struct<t:long,c:long>>"))
     buckets = telling(rows, count, evidence)
