@@ -83,7 +83,7 @@ def patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
 
         press, told = zstandard.ZstdCompressor(level=3).compress, set()
         for b in batches:
-            b = b.filter(b.column("cuts").is_valid())
+            b = b.filter(b.column("z").is_valid())
             rows: list[tuple] = []
             for did, tk, text, cuts in zip(b.column(DID).to_pylist(), b.column(TKEY).to_pylist(), unpressed(b.column("z")), b.column("cuts").to_pylist(), strict=True):
                 if tk:  # only rows of a doc_id with several rows have one: they may be repeated
@@ -97,7 +97,9 @@ def patterns(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     key = ["f_did", "f_tk", "f_s", "words"]
     cuts = found.select(*key).distinct().groupBy(F.col("f_did").alias(DID), F.col("f_tk").alias(TKEY)).agg(F.collect_list(F.struct("f_s", "words")).alias("cuts"))
-    cut = texts.join(cuts.hint("shuffle_hash"), [DID, TKEY], "left").select(*texts.columns, "cuts").mapInArrow(run, kind)
+    some = F.coalesce("cuts", F.array().cast("array<struct<f_s:long,words:long>>")).alias("cuts")
+    looked = [F.when(F.col("cuts").isNotNull(), F.col(c)).alias(c) if c == "z" else c for c in texts.columns]
+    cut = texts.join(cuts.hint("shuffle_hash"), [DID, TKEY], "left").select(*looked, some).mapInArrow(run, kind)
     return cut.join(found, key).select("shard", "f_did", "f_s", "words", "z")
 
 

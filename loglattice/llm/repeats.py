@@ -339,7 +339,7 @@ def window_rows(texts: DataFrame, lists: DataFrame, encode: Callable[[bytes], np
         out: list[list[np.ndarray]] = []
         held = 0
         for batch in batches:
-            batch = batch.filter(batch.column("spans").is_valid())
+            batch = batch.filter(batch.column("z").is_valid())
             if not batch.num_rows:
                 continue
             row, s, n, _ = listed_spans(batch.column("spans"))
@@ -359,7 +359,10 @@ def window_rows(texts: DataFrame, lists: DataFrame, encode: Callable[[bytes], np
             yield made(out)
 
     joined = texts.join(lists.hint("shuffle_hash"), [DID, TKEY], "left")
-    return joined.select(*texts.columns, "spans").mapInArrow(run, f"deal long, {DID} long, {TKEY} long, s long, later boolean, f_did long, f_tk long, f_s long")
+    # a batch's null lists cost the square of their number on the way to Python, and texts that aren't looked at needn't go there
+    some = F.coalesce("spans", F.array().cast("array<struct<s:long,n:long,off:long>>")).alias("spans")
+    looked = [F.when(F.col("spans").isNotNull(), F.col(c)).alias(c) if c == "z" else c for c in texts.columns]
+    return joined.select(*looked, some).mapInArrow(run, f"deal long, {DID} long, {TKEY} long, s long, later boolean, f_did long, f_tk long, f_s long")
 
 
 def equal_windows(rows: DataFrame) -> DataFrame:
