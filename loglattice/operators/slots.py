@@ -25,8 +25,10 @@ def compiled(template: str, slots: list[str] | None) -> re.Pattern:
     return re.compile(body, re.S)
 
 
-#: What ``scanned`` gives where only the regex can tell.
-UNSURE = object()
+class UNSURE:
+    """What ``scanned`` gives where only the regex can tell; a class, since a worker gets a copy of any other object."""
+
+
 _BLANKS = re.compile(_NO_BLANKS.replace("[^", "[").removesuffix("+"))
 
 
