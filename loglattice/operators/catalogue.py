@@ -318,12 +318,36 @@ def hits(lines: DataFrame, catalogue: DataFrame, own: str, saved: Saved | None =
     if few is None and "row_nr" in lines.columns:
         found = _all_hits(lines, catalogue, own, saved or Saved(lines.sparkSession)).filter(F.col("insert_seq") <= F.col(own))
         return found.groupBy("row_nr", own).agg(F.array_sort(F.collect_list("insert_seq")).alias("hits")).select(own, "hits").distinct()
+    if few is not None:
+        return lines.select("Content", own).mapInArrow(_each_once(_sent(lines.sparkSession, few), own), f"{own} long, hits array<long>").distinct()
     out = lines.select("Content", own, F.array().cast("array<long>").alias("hits"))
-    for rows in [few] if few is not None else _slices(ranked(catalogue, saved)):
+    for rows in _slices(ranked(catalogue, saved)):
         out = out.mapInArrow(_every(_sent(lines.sparkSession, rows), own), out.schema)
     return out.select(own, F.array_sort("hits").alias("hits")).filter(F.size("hits") > 0).distinct()
 
 
+def _each_once(index, own: str):
+    """What each line hits, in a task's batches what is new only: lines don't come back from Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = index()
+        told: set[tuple] = set()
+        for b in batches:
+            new = []
+            for line, mine in set(zip(b.column("Content").to_pylist(), b.column(own).to_pylist(), strict=True)):
+                if line is None:
+                    continue
+                found = mine, tuple(sorted(s for s in (entries.rows[rank][3] for rank, _ in entries.hits(line)) if s <= mine))
+                if found[1] and found not in told:
+                    if len(told) > 100_000:
+                        told.clear()
+                    told.add(found)
+                    new.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in new], pa.int64()), pa.array([f[1] for f in new], pa.list_(pa.int64()))], [own, "hits"])
+
+    return run
+
+
 def _every(index, own: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = index()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import text
-from loglattice.sources.io import Saved, row_index
+from loglattice.sources.io import Saved, joinable, row_index
 
 PART = ["chunk_id", "token_len", "s2_pos", "s2_value"]
 
@@ -45,12 +45,30 @@ def split_position(cards: DataFrame, keys: list[str]) -> DataFrame:
     return low.select(*keys, F.col("low.pos").alias("s2_pos"), F.col("low.nu").alias("min_nu"))
 
 
-def s2(vec: DataFrame) -> DataFrame:
-    """Vectors with s2_pos and s2_value (null where a constant position exists or there are no tokens)."""
+def constants(vec: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether each position of each partition has one token (``same``), by two hashes; tasks pass on a row per position, no tokens."""
+    at = vec.select(*keys, F.posexplode("words").alias("pos", "token"))
+    at = at.select(*keys, "pos", F.xxhash64("token").alias("h"), F.xxhash64(F.lit("2"), "token").alias("g"))
+    return at.groupBy(*keys, "pos").agg(((F.min("h") == F.max("h")) & (F.min("g") == F.max("g"))).alias("same"))
+
+
+def _settled(table: DataFrame, saved: Saved | None) -> DataFrame:
+    """A table of keys, written and broadcast where it is small, so that what it is joined with isn't shuffled by few keys."""
+    return joinable(saved(table)) if saved else table
+
+
+def s2(vec: DataFrame, saved: Saved | None = None) -> DataFrame:
+    """Vectors with s2_pos and s2_value (null where a constant position exists or there are no tokens).
+
+    Tokens are counted only for lengths without a constant position, whose first one is the split position otherwise.
+    """
     keys = ["chunk_id", "token_len"]
-    split = split_position(cardinality(vec, keys), keys)
-    out = vec.join(split, keys, "left")
-    return out.withColumn("s2_value", F.when(F.col("min_nu") > 1, F.get("words", F.col("s2_pos")))).drop("min_nu")
+    fixed = constants(vec, keys).groupBy(*keys).agg(F.min(F.when(F.col("same"), F.col("pos"))).alias("_fixed"))
+    fixed = _settled(fixed, saved)
+    split = split_position(cardinality(vec.join(fixed.filter("_fixed is null"), keys, "left_semi"), keys), keys)
+    split = fixed.join(split, keys, "left").select(*keys, F.coalesce("_fixed", "s2_pos").alias("s2_pos"), F.col("_fixed").isNull().alias("_split"))
+    out = vec.join(_settled(split, saved), keys, "left")
+    return out.withColumn("s2_value", F.when(F.col("_split"), F.get("words", F.col("s2_pos")))).drop("_split")
 
 
 def goodness(vec: DataFrame) -> DataFrame:
@@ -59,6 +77,17 @@ def goodness(vec: DataFrame) -> DataFrame:
     return cards.groupBy(*PART).agg(F.avg((F.col("nu") == 1).cast("int")).alias("goodness"), F.array_sort(F.collect_list(F.struct("pos", "nu"))).alias("nus"))
 
 
+def pairs_of(part: DataFrame, limit: float, saved: Saved | None = None) -> DataFrame:
+    """Partitions whose share of constant positions is at most ``limit``, with the pair of positions to compare (``pp``), if they have one.
+
+    Tokens are counted in these alone; others are told by ``constants``.
+    """
+    poor = constants(part, PART).groupBy(*PART).agg(F.avg(F.col("same").cast("int")).alias("goodness")).filter(F.col("goodness") <= limit)
+    todo = goodness(join_parts(part, _settled(poor.select(*PART), saved), "left_semi"))
+    todo = todo.select(*PART, position_pair(F.col("nus")).alias("pp")).filter("pp is not null")
+    return _settled(todo, saved)
+
+
 def position_pair(nus: Column) -> Column:
     """The pair of positions to compare, from a sorted array<struct<pos,nu>>; null if there is none."""
     size = F.size(nus)
@@ -154,19 +183,18 @@ def leaves(
     sequential third step (not ``static``) writes its tables to ``saved``.
     """
     pruning = file_support > 0 or partition_support > 0
-    part = s2(vec)
+    part = s2(vec, saved)
     if pruning:
         part = join_parts(part, _supports(part, file_support, partition_support), "inner")
         part = part.withColumns({c: F.when(F.col("outlier") == "S1", None).otherwise(F.col(c)) for c in ("s2_pos", "s2_value")})
     else:
         part = part.withColumn("outlier", F.lit(None).cast("string"))
-    good = goodness(part.filter("outlier is null") if pruning else part)
-    todo = good.filter(F.col("goodness") <= limit).select(*PART, position_pair(F.col("nus")).alias("pp")).filter("pp is not null")
+    todo = pairs_of(part.filter("outlier is null") if pruning else part, limit, saved)
     keyed = join_parts(part, todo, "left").withColumns({"p1": F.col("pp.p1"), "p2": F.col("pp.p2")}).drop("pp")
     keyed = keyed.withColumns({"v1": F.get("words", F.col("p1")), "v2": F.get("words", F.col("p2"))})
     table = keyed.filter("p1 is not null").groupBy(*PART, "v1", "v2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     rel = relations(table, lower_bound) if static else relations_in_order(table, lower_bound, saved or Saved(vec.sparkSession))
-    out = join_parts(keyed, rel.select(*PART, "v1", "v2", "s3_side"), "left", ["v1", "v2"])
+    out = join_parts(keyed, _settled(rel.select(*PART, "v1", "v2", "s3_side"), saved), "left", ["v1", "v2"])
     out = out.withColumn("s3_value", F.when(F.col("s3_side") == "v1", F.col("v1")).when(F.col("s3_side") == "v2", F.col("v2")))
     if pruning:
         third = [*PART, "s3_side", "s3_value"]
@@ -184,16 +212,17 @@ def leaf_id(chunk: bool = True) -> Column:
     return F.concat_ws("|", *first, F.col("token_len").cast("string"), part("s2_pos"), part("s2_value"), part("s3_side"), part("s3_value"))
 
 
-def assignment(lines: DataFrame, found: DataFrame) -> DataFrame:
+def assignment(lines: DataFrame, found: DataFrame, saved: Saved | None = None) -> DataFrame:
     """Every line with content, with its leaf.
 
     A line finds its leaf by three tables of keys (the split position of its length, the compared positions of its part, the
-    side of its pair); lines aren't joined with token vectors.  ``found`` is read several times; if it is a written table, the planner
-    knows the sizes and broadcasts the small ones.
+    side of its pair); lines aren't joined with token vectors.  ``found`` is read several times, so it should be a written table; with ``saved`` the
+    tables of keys are written too and broadcast where they are small.
     """
     split = found.select("chunk_id", "token_len", "s2_pos", F.col("s2_value").isNotNull().alias("_split")).distinct()
     places = found.filter("p1 is not null").select(*PART, "p1", "p2").distinct()
     sides = found.filter("s3_side is not null").select(*PART, "v1", "v2", "s3_side").distinct()
+    split, places, sides = (_settled(table, saved) for table in (split, places, sides))
     out = lines.join(split, ["chunk_id", "token_len"])
     out = out.withColumn("s2_value", F.when(F.col("_split"), F.get("words", F.col("s2_pos")))).drop("_split")
     out = join_parts(out, places, "left").withColumns({"v1": F.get("words", F.col("p1")), "v2": F.get("words", F.col("p2"))})
@@ -204,9 +233,10 @@ def assignment(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 def leaf_summary(found: DataFrame) -> DataFrame:
     """One row per leaf: lines, first line, the steps that made it (``trace``) and whether it is an outlier."""
-    out = found.groupBy(*PART, "s3_side", "s3_value").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max(F.coalesce("outlier", F.lit(""))).alias("outlier"))
+    # all vectors of a leaf have one outlier: as a key it costs no sort, as the largest text it would
+    out = found.groupBy(*PART, "s3_side", "s3_value", "outlier").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     trace = F.concat(F.lit("S1 "), F.when(F.col("s2_value").isNotNull(), "S2 ").otherwise(""), F.when(F.col("s3_side").isNotNull(), "S3 ").otherwise(""))
-    return out.withColumns({"trace": trace, "outlier": F.nullif("outlier", F.lit(""))})
+    return out.withColumn("trace", trace)
 
 
 def in_order(summary: DataFrame, saved: Saved | None = None) -> DataFrame:

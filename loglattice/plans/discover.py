@@ -24,7 +24,7 @@ from loglattice.functions import text
 from loglattice.operators import catalogue as cat
 from loglattice.operators import partition, propose, slots
 from loglattice.options import Options
-from loglattice.sources.io import Manifest, Saved, remove, row_index
+from loglattice.sources.io import Manifest, Saved, joinable, remove, row_index, spread
 
 #: Each reconcile numbers its entries from a multiple of this.
 _STEP = 1 << 40
@@ -65,7 +65,7 @@ def _leaves(run: _Run, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("chunk_id").alias("chunk_id"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("outlier").alias("outlier")
     )
     order = partition.in_order(one, run.saved)
-    return found, order.select(*_KEYS, "n", F.col("first").alias("start"), (F.col("leaf_ord") + run.next_seq).alias("insert_seq"))
+    return found, run.saved(order.select(*_KEYS, "n", F.col("first").alias("start"), (F.col("leaf_ord") + run.next_seq).alias("insert_seq")))
 
 
 def _sampled(run: _Run, lines: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -121,8 +121,8 @@ def _round(run: _Run, lines: DataFrame) -> DataFrame:
     """Propose a template for each leaf of ``lines`` and match them; what is left."""
     o, tokens = run.options, partition.tokenise(lines)
     found, leaves = _leaves(run, tokens)
-    named = leaves.select(*_KEYS, F.col("insert_seq").alias("own"), "start")
-    keyed = propose.null_safe_join(partition.assignment(tokens, found), named, _KEYS)
+    named = joinable(leaves.select(*_KEYS, F.col("insert_seq").alias("own"), "start"))
+    keyed = propose.null_safe_join(partition.assignment(tokens, found, run.saved), named, _KEYS)
     keyed = run.saved(keyed.select(*lines.columns, "own", "start"))
     grouped = _sampled(run, keyed, leaves.select(F.col("insert_seq").alias("own"), "n"))
     if run.proposer is None:
@@ -181,9 +181,6 @@ def _prepared(run: _Run, logs: DataFrame, seed: DataFrame | None) -> DataFrame:
         numbered = row_index(cat.distinct(seed), *cat.insertion(), saved=run.saved)
         run.known = run.saved(numbered.drop("insert_seq").withColumnRenamed("row_nr", "insert_seq"))
         run.next_seq = _STEP
-    cores = logs.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < cores:  # a small table in few files: all cores get a part of it
-        return run.saved(lines.repartition(cores))
     return run.saved(lines) if o.resume else lines
 
 
@@ -234,7 +231,8 @@ def discover(
     for low, high, size in _waves(*wave):
         # rows, not chunk numbers, are filtered where they can be: files outside a wave's rows aren't read
         bound = F.col("row_nr").between(low * options.chunk_size, (high + 1) * options.chunk_size - 1) if by_number else F.col("chunk_id").between(low, high)
-        left = _wave(run, whole.filter(bound))
+        some = spread(whole.filter(bound))
+        left = _wave(run, saved(some) if run.known is None else some)  # without known entries they are read several times
         noise.append(saved(left) if manifest else left)
         if manifest:
             step += 1

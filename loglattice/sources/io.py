@@ -137,9 +137,12 @@ def joinable(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, a table as it is read, dealt to all cores if it comes in fewer parts."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` (with row_nr), rows as they are read, dealt evenly to all cores.
+
+    The number of parts doesn't tell whether they hold rows: a row group of a file is read by one task, in however many parts the file is cut, and a range
+    of rows lies in few row groups.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), "row_nr")
 
 
 def row_index(df: DataFrame, *order: Column, saved: Saved | None = None) -> DataFrame:
