@@ -154,20 +154,24 @@ def _waves(low: int | None, high: int | None, size: int = 1):
         low, size = low + size, 2 * size
 
 
-def _wave(run: _Run, left: DataFrame) -> DataFrame:
-    """Match, propose, repool and finish single lines; what is left then."""
+def _wave(run: _Run, left: DataFrame) -> DataFrame | None:
+    """Match, propose, repool and finish single lines; what is left then, None if nothing is."""
     o = run.options
     for step in range(o.repool_passes + 1):
         if step and left.isEmpty():
-            break
+            return None
         left = _known(run, left)
         if left.isEmpty():
-            break
+            return None
         left = _round(run, left)
-    if o.singleton_fallback and not left.isEmpty():
+    if o.singleton_fallback:
+        if left.isEmpty():
+            return None
         left = _known(run, left)
-        left = left if left.isEmpty() else _singles(run, left)
-    return left
+        if left.isEmpty():
+            return None
+        left = _singles(run, left)
+    return None if left.isEmpty() else left
 
 
 def _prepared(run: _Run, logs: DataFrame, seed: DataFrame | None) -> DataFrame:
@@ -184,10 +188,10 @@ def _prepared(run: _Run, logs: DataFrame, seed: DataFrame | None) -> DataFrame:
     return run.saved(lines) if o.resume else lines
 
 
-def _state(run: _Run, lines: DataFrame, noise: list[DataFrame], wave: tuple, seconds: float) -> dict:
+def _state(run: _Run, lines: DataFrame, noise: list[DataFrame | None], wave: tuple, seconds: float) -> dict:
     path = run.saved.path
     return {
-        "options": _told(run.options), "lines": path(lines), "known": None if run.known is None else path(run.known), "parts": [path(p) for p in run.parts], "noise": [path(n) for n in noise],
+        "options": _told(run.options), "lines": path(lines), "known": None if run.known is None else path(run.known), "parts": [path(p) for p in run.parts], "noise": [None if n is None else path(n) for n in noise],
         "next_seq": run.next_seq, "asked": run.asked, "wave": list(wave), "seconds": seconds,
     }
 
@@ -196,6 +200,26 @@ def _told(options: Options) -> str:
     return repr({k: v for k, v in asdict(options).items() if k not in ("resume", "answers", "max_concurrent", "timeout")})
 
 
+def _found(run: _Run, lines: DataFrame, nulls: bool, rest: DataFrame | None, adopted: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Every line with what it matched, and the written tables that hold it.
+
+    The waves' tables are one scan, not a branch of a union each, and aren't written again unless they are an earlier run's (``adopted``).
+    """
+    none = [F.lit(None).cast(t).alias(c) for c, t in cat.FOUND]
+    others = [lines.filter("Content is null")] if nulls or not run.parts else []
+    others += [] if rest is None else [rest.select(*lines.columns)]
+    tables, found = list(run.parts), None
+    if tables:
+        found = run.saved.together(tables).filter("EventTemplate is not null").drop("chunk_id")
+    for some in others:
+        tables.append(run.saved(some.select("*", *none).drop("chunk_id")))
+        found = tables[-1] if found is None else found.unionByName(tables[-1])
+    if adopted:
+        found = run.saved(found)
+        tables = [found]
+    return found, tables
+
+
 def discover(
     logs: DataFrame, options: Options = Options(), proposer: propose.Proposer | None = None, seed: DataFrame | None = None, model: Callable[[str], object] | None = None  # noqa: B008
 ) -> Discovery:
@@ -215,16 +239,17 @@ def discover(
         step, state = last
         if state["options"] != _told(options):
             raise ValueError(f"the run in {options.resume} has other options: {state['options']}")
-        lines, run.parts, noise = saved.adopt(state["lines"]), list(map(saved.adopt, state["parts"])), list(map(saved.adopt, state["noise"]))
+        lines, run.parts, noise = saved.adopt(state["lines"]), list(map(saved.adopt, state["parts"])), [None if n is None else saved.adopt(n) for n in state["noise"]]
         run.known = state["known"] and saved.adopt(state["known"])
         run.next_seq, run.asked, wave, before = state["next_seq"], state["asked"], state["wave"], state["seconds"]
     else:
         step, lines = 0, _prepared(run, logs, seed)
-    by_number = "chunk_id" not in logs.columns
+    by_number, nulls = "chunk_id" not in logs.columns, True
     ready = [t for _, t in saved.paths.values()]
     whole = lines.filter("Content is not null")
     if wave is None:
-        low, high = whole.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+        number = F.when(F.col("Content").isNotNull(), F.col("chunk_id"))
+        low, high, nulls = lines.agg(F.min(number), F.max(number), F.count_if(F.col("Content").isNull()) > 0).first()
         wave = (low, high, 1)
         if manifest:
             manifest.write(step, _state(run, lines, noise, wave, time.monotonic() - start))
@@ -233,28 +258,24 @@ def discover(
         bound = F.col("row_nr").between(low * options.chunk_size, (high + 1) * options.chunk_size - 1) if by_number else F.col("chunk_id").between(low, high)
         some = spread(whole.filter(bound))
         left = _wave(run, saved(some) if run.known is None else some)  # without known entries they are read several times
-        noise.append(saved(left) if manifest else left)
+        noise.append(saved(left) if manifest and left is not None else left)
         if manifest:
             step += 1
             manifest.write(step, _state(run, lines, noise, (high + 1, wave[1], 2 * size), before + time.monotonic() - start))
-        saved.clear(*ready, *run.parts, *noise, *([] if run.known is None else [run.known]))
+        saved.clear(*ready, *run.parts, *(n for n in noise if n is not None), *([] if run.known is None else [run.known]))
     rest = None
-    for left in noise:
+    for left in (n for n in noise if n is not None):
         rest = left if rest is None else rest.unionByName(left)
-    if rest is not None and run.known is not None and len(noise) > 1 and not rest.isEmpty():
+    if rest is not None and run.known is not None and len(noise) > 1:
         rest = _known(run, rest)
-    null = [F.lit(None).cast(t).alias(c) for c, t in cat.FOUND]
-    every = lines.filter("Content is null").select("*", *null)
-    for p in [*(p.filter("EventTemplate is not null") for p in run.parts), *([rest.select("*", *null)] if rest is not None else [])]:
-        every = every.unionByName(p.select(*every.columns))
-    found = run.saved(every.drop("chunk_id"))
+    found, tables = _found(run, lines, nulls, rest, bool(last))
     known = run.known if run.known is not None else cat.entries(spark.createDataFrame([], "template string"))
     known = saved(known) if last else known  # not in the folder of the run that was stopped
     totals = dict(zip(("llm_calls", "input_tokens", "output_tokens"), run.asked, strict=True))
     stats = cat.run_stats(found).withColumns({k: F.lit(v).cast("long") for k, v in totals.items()}).withColumn("total_time", F.lit(before + time.monotonic() - start))
     if not options.answers:
         remove(spark, run.answers)
-    run.saved.clear(found, known)
+    run.saved.clear(*tables, known)
     if manifest:
         manifest.end(saved.folder)
     return Discovery(cat.counted(known, found), stats, found, _STEP, run.saved)

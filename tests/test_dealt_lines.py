@@ -80,3 +80,32 @@ def test_leaves_are_those_of_plain_counts(spark):
         plain = partition.goodness(part).filter("goodness <= 0.3").select(*partition.PART, partition.position_pair(F.col("nus")).alias("pp")).filter("pp is not null")
         mine = partition.pairs_of(part, 0.3, saved)
         assert plain.count() == mine.count() > 0 and plain.exceptAll(mine).isEmpty()
+
+
+def test_what_lines_match_is_written_once_and_read_in_one_scan(spark, monkeypatch):
+    """Three waves, of which the first leaves a line that a later one explains; one line that nothing matches, and null lines."""
+    seen, plain = [], io.Saved.__call__
+
+    def named(lists):  # knows a line's kind if it is shown several
+        known = {"Job": "Job <*> ends", "Late": "Late <*> came now"}
+        return [known[lines[0].split(" ")[0]] if len(lines) > 1 else "nothing of this" for lines in lists]
+
+    def call(self, df):
+        out = plain(self, df)
+        if {"row_nr", "EventTemplate"} <= set(df.columns):
+            seen.append(out.filter("EventTemplate is not null").count())
+        return out
+
+    monkeypatch.setattr(io.Saved, "__call__", call)
+    rows = [(i, None if i % 10 == 9 else f"Job {i} ends" if i != 3 and i < 1000 else "Late 3 came now" if i == 3 else "odd one of them all" if i == 1500 else f"Late {i} came now") for i in range(2000)]
+    lines = spark.createDataFrame(rows, "row_nr long, Content string")
+    found = discover(lines, Options(chunk_size=500, repool_passes=0, singleton_fallback=False, template_correction=False), named)
+    known = {"Job": "Job <*> ends", "Late": "Late <*> came now"}
+    want = {i: None if c is None or c.startswith("odd") else known[c.split(" ")[0]] for i, c in rows}
+    assert {r[0]: r[1] for r in found.matched.select("row_nr", "EventTemplate").collect()} == want
+    assert found.matched.count() == found.result.count() == len(rows)
+    assert sum(seen) == sum(v is not None for v in want.values())
+    # the waves' tables and that of the lines without a template
+    assert found.matched._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 3
+    assert found.stats.select("matched", "noise").first()[:] == (sum(seen), 1)
+    found.tables.clear()
